@@ -1,0 +1 @@
+"""Nothing here: the product has no streaming queries, only monthly batches."""
