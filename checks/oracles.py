@@ -382,8 +382,8 @@ from cols join g using (doc, page, grp)"""),
         "page_text": _with("dense_words", _LINES + """--main
 select doc, page, string_agg(text, chr(10) order by line) as text from lines group by all"""),
         "clean_cells": _with("table_cells", _CLEAN + """--main
-select doc, page, grp, cand, r.r as row_no, string_agg(coalesce(v, ''), '|' order by c.c) as "values"
-from shape, unnest(range(nrows)) as r(r), unnest(range(ncols)) as c(c)
+select doc, page, grp, cand, r as row_no, string_agg(coalesce(v, ''), '|' order by c) as "values"
+from (select doc, page, grp, cand, rr.r, cc.c from shape, unnest(range(nrows)) as rr(r), unnest(range(ncols)) as cc(c))
   left join clean using (doc, page, grp, cand, r, c) group by all"""),
         "unify_candidates": _with("table_cells", _UNIFIED + """--main
 select doc, page, grp, r as row_no, line as "values" from lines"""),
@@ -427,7 +427,7 @@ body as (
   select page_id, i + 1 as line_no, j->>('$.rows[' || i || '].column_1') as column_1,
     j->>('$.rows[' || i || '].column_2') as column_2, j->>('$.rows[' || i || '].column_3') as column_3,
     j->>('$.rows[' || i || '].column_4') as column_4
-  from good, unnest(range(json_array_length(j->'$.rows'))) as x(i)
+  from good, unnest(range(json_array_length(j->'$.rows')::bigint)) as x(i)
 ) --main
 select page_id, line_no::int as line_no, column_1, column_2, column_3, column_4 from body
 union all select page_id, 0, trim(j->>'$.agency'), '', '', '' from good

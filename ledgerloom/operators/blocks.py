@@ -21,31 +21,31 @@ def _blocked(df: DataFrame, order: list[str], span: float) -> DataFrame:
     return df.withColumn("_block", F.floor(F.col(order[0]) / F.lit(span)))
 
 
-def _with_seeds(rows: DataFrame, seeds: DataFrame) -> DataFrame:
-    return rows.withColumn("_seed", F.lit(False)).unionByName(
-        seeds.withColumn("_seed", F.lit(True)), allowMissingColumns=True
-    )
-
-
 def _in_block(keys: list[str], order: list[str]) -> WindowSpec:
-    return Window.partitionBy(*keys, "_block").orderBy(F.desc("_seed"), *order)
+    return Window.partitionBy(*keys, "_block").orderBy("_seed", *order)
 
 
-def _up_to_here(keys: list[str], order: list[str]) -> WindowSpec:
-    return _in_block(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def _scan(rows: DataFrame, seeds: DataFrame, values: dict[str, Column], *helpers: str) -> DataFrame:
+    """Evaluate window ``values`` over the blocks with their seed rows, then drop the seeds.
 
-
-def _scan(rows: DataFrame, seeds: DataFrame, window: WindowSpec, out: str, value: Column) -> DataFrame:
-    """Evaluate ``value`` over each block, its seed row first, and drop the seeds."""
-    return (
-        _with_seeds(rows, seeds).withColumn(out, value.over(window)).filter(~F.col("_seed")).drop("_seed", "_block")
-    )
+    ``_seed`` is negative for a row that leads its block and positive for one that ends it.
+    """
+    both = rows.withColumn("_seed", F.lit(0)).unionByName(seeds, allowMissingColumns=True)
+    return both.withColumns(values).filter("_seed = 0").drop("_seed", "_block", *helpers)
 
 
 def _earlier(keys: list[str]) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
 
 
+def _later(keys: list[str]) -> WindowSpec:
+    return Window.partitionBy(*keys).orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _up_to_here(window: WindowSpec) -> WindowSpec:
+    return window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
 def forward_fill(
     df: DataFrame, keys: list[str], order: list[str], column: str, out: str, span: float = ROWS_PER_BLOCK
 ) -> DataFrame:
@@ -57,8 +57,49 @@ def forward_fill(
         .agg(F.max_by("_fill", position).alias("_fill"))
         .withColumn("_fill", F.last("_fill", ignorenulls=True).over(_earlier(keys)))
         .filter("_fill is not null")
+        .withColumn("_seed", F.lit(-1))
+    )
+    filled = F.last("_fill", ignorenulls=True).over(_up_to_here(_in_block(keys, order)))
+    return _scan(rows, seeds, {out: filled}, "_fill")
+
+
+def nearest_both_ways(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    column: str,
+    before: str,
+    after: str,
+    span: float = ROWS_PER_BLOCK,
+) -> DataFrame:
+    """Nearest non-NULL ``column`` at or before, and at or after, each row of its group."""
+    rows = _blocked(df, order, span).withColumn("_fill", F.col(column))
+    position = F.when(F.col("_fill").isNotNull(), F.struct(*order))
+    ends = (
+        rows.groupBy(*keys, "_block")
+        .agg(F.min_by("_fill", position).alias("first"), F.max_by("_fill", position).alias("last"))
+        .select(
+            *keys,
+            "_block",
+            F.last("last", ignorenulls=True).over(_earlier(keys)).alias("earlier"),
+            F.last("first", ignorenulls=True).over(_later(keys)).alias("later"),
+        )
     )
-    return _scan(rows, seeds, _up_to_here(keys, order), out, F.last("_fill", ignorenulls=True)).drop("_fill")
+    seeds = ends.select(
+        *keys,
+        "_block",
+        F.inline(
+            F.array(
+                F.struct(F.lit(-1).alias("_seed"), F.col("earlier").alias("_fill")),
+                F.struct(F.lit(1).alias("_seed"), F.col("later").alias("_fill")),
+            )
+        ),
+    ).filter("_fill is not null")
+    # Both directions run up to the current row; a frame from there to the end is quadratic.
+    backwards = Window.partitionBy(*keys, "_block").orderBy(F.desc("_seed"), *[F.desc(c) for c in order])
+    fill = F.last("_fill", ignorenulls=True)
+    values = {before: fill.over(_up_to_here(_in_block(keys, order))), after: fill.over(_up_to_here(backwards))}
+    return _scan(rows, seeds, values, "_fill")
 
 
 def running_sum(
@@ -71,8 +112,9 @@ def running_sum(
         .agg(F.sum("_amount").alias("_amount"))
         .withColumn("_amount", F.sum("_amount").over(_earlier(keys)))
         .filter("_amount is not null")
+        .withColumn("_seed", F.lit(-1))
     )
-    return _scan(rows, seeds, _up_to_here(keys, order), out, F.sum("_amount")).drop("_amount")
+    return _scan(rows, seeds, {out: F.sum("_amount").over(_up_to_here(_in_block(keys, order)))}, "_amount")
 
 
 def row_numbers(
@@ -92,5 +134,7 @@ def previous_value(
         .agg(F.max_by("_value", F.struct(*order)).alias("_value"))
         .withColumn("_value", F.last("_value").over(_earlier(keys)))
         .filter("_value is not null")
+        .withColumn("_seed", F.lit(-1))
     )
-    return _scan(rows, seeds, _in_block(keys, order), out, F.lag("_value")).withColumn(out, F.col(out)["v"]).drop("_value")
+    before = F.lag("_value").over(_in_block(keys, order))["v"]
+    return _scan(rows, seeds, {out: before}, "_value")

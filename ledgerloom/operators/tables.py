@@ -35,25 +35,31 @@ _VECTOR_BLOCK = 256
 
 
 def clean_tables(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Cleaned cells as rows; empty rows and columns are dropped and the rest renumbered from 0."""
-    rows = (
+    """Cleaned cells as rows; empty rows and columns are dropped and the rest renumbered from 0.
+
+    Cells meet by row and are written once; numbering the rows and listing a table's
+    columns then read only what they need.
+    """
+    rows = stage(
         cells.withColumn("value", clean_cell(F.col("value")))
         .filter("value <> ''")
         .groupBy(*keys, "row_no")
-        .agg(F.map_from_entries(F.collect_list(F.struct("col_no", "value"))).alias("cells"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("col_no", "value"))).alias("cells")),
+        "table-rows",
     )
     columns = (
         rows.select(*keys, F.explode(F.map_keys("cells")).alias("col_no"))
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_set("col_no")).alias("columns"))
     )
-    dense = rows.join(columns, keys).select(
-        *keys,
-        "row_no",
-        F.transform("columns", lambda c: F.coalesce(F.try_element_at("cells", c), F.lit(""))).alias("values"),
-    )
-    return row_numbers(dense, keys, ["row_no"], "n", _ROW_SPAN).select(
-        *keys, (F.col("n") - 1).alias("row_no"), "values"
+    return (
+        row_numbers(rows, keys, ["row_no"], "n", _ROW_SPAN)
+        .join(columns, keys)
+        .select(
+            *keys,
+            (F.col("n") - 1).alias("row_no"),
+            F.transform("columns", lambda c: F.coalesce(F.try_element_at("cells", c), F.lit(""))).alias("values"),
+        )
     )
 
 

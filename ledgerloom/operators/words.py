@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from .blocks import forward_fill
+from ..session import stage
+from .blocks import nearest_both_ways
 
 # Year headers, the numeric pattern, and distances in points.
 YEARS = ("2023-24", "2024-25", "2025-26")
@@ -44,17 +45,27 @@ def number_words(words: DataFrame) -> DataFrame:
     return words.filter(F.replace("txt", F.lit(","), F.lit("")).rlike(NUMERIC))
 
 
-def _header_bands(headers: DataFrame, tolerance: float) -> DataFrame:
-    """Headers combined into bands of half the tolerance and numbered by group.
+def _header_spots(headers: DataFrame, tolerance: float, *spot: str) -> DataFrame:
+    """Headers combined by page, band of half the tolerance, and ``spot`` columns."""
+    return headers.groupBy(*PAGE, F.floor(F.col("top") / (tolerance / 2)).alias("band"), *spot).agg(
+        F.min("top").alias("first_top"),
+        F.max("top").alias("last_top"),
+        F.max("bottom").alias("bottom"),
+        F.count("*").alias("headers"),
+    )
+
+
+def _numbered_bands(spots: DataFrame, tolerance: float) -> DataFrame:
+    """Bands of headers, numbered by header group.
 
     Words in one band always belong together, so only a band's extremes matter, and a
     page has as many bands as its height allows, however many words it holds.
     """
-    bands = headers.groupBy(*PAGE, F.floor(F.col("top") / (tolerance / 2)).alias("band")).agg(
-        F.min("top").alias("first_top"),
-        F.max("top").alias("last_top"),
+    bands = spots.groupBy(*PAGE, "band").agg(
+        F.min("first_top").alias("first_top"),
+        F.max("last_top").alias("last_top"),
         F.max("bottom").alias("bottom"),
-        F.count("*").alias("headers"),
+        F.sum("headers").alias("headers"),
     )
     down = Window.partitionBy(*PAGE).orderBy("band")
     starts = F.when(F.col("first_top") - F.lag("last_top").over(down) <= tolerance, 0).otherwise(1)
@@ -76,7 +87,7 @@ def header_groups(
     page_height: float = PAGE_HEIGHT,
 ) -> DataFrame:
     """Header rows of each page: a gap above ``tolerance`` to the header before starts a new one."""
-    return _groups(_header_bands(header_words(words, years), tolerance), page_height)
+    return _groups(_numbered_bands(_header_spots(header_words(words, years), tolerance), tolerance), page_height)
 
 
 def matched_columns(
@@ -93,16 +104,11 @@ def matched_columns(
     numbers. Among equally near numbers the first in reading order (top, then x) wins.
     Groups without any number below give no rows.
     """
-    headers = header_words(words, years)
-    bands = _header_bands(headers, tolerance)
+    places = stage(_header_spots(header_words(words, years), tolerance, "x0", "x1"), "header-places")
+    bands = _numbered_bands(places, tolerance)
     groups = _groups(bands, page_height)
-
     spots = (
-        headers.select(*PAGE, F.floor(F.col("top") / (tolerance / 2)).alias("band"), "x0", "x1")
-        .distinct()
-        .join(bands.select(*PAGE, "band", "grp"), [*PAGE, "band"])
-        .select(*GROUP, "x0", "x1")
-        .distinct()
+        places.join(bands.select(*PAGE, "band", "grp"), [*PAGE, "band"]).select(*GROUP, "x0", "x1").distinct()
     )
     # Groups of a page are at least a tolerance apart, so this array is as short as a page is high.
     bottoms = groups.groupBy(*PAGE).agg(F.collect_list(F.struct("grp", "hdr_bottom")).alias("groups"))
@@ -124,10 +130,7 @@ def matched_columns(
     merged = numbers.withColumns({"x1": F.lit(None).cast("double"), "is_header": F.lit(0)}).unionByName(
         spots.withColumns({"number": F.lit(None).cast("struct<x0: double, top: double>"), "is_header": F.lit(1)})
     )
-    leftwards = forward_fill(merged, GROUP, ["x0", "is_header"], "number", "left", _X_BAND)
-    both = forward_fill(
-        leftwards.withColumn("from_right", -F.col("x0")), GROUP, ["from_right", "is_header"], "number", "right", _X_BAND
-    )
+    both = nearest_both_ways(stage(merged, "merged-columns"), GROUP, ["x0", "is_header"], "number", "left", "right", _X_BAND)
 
     def candidate(side: str) -> Column:
         number = F.col(side)

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..operators import tables as T
+from ..session import stage
 
 
 def candidate_tables(cells: DataFrame) -> DataFrame:
@@ -31,5 +31,5 @@ def accepted_tables(rows: DataFrame, vectors: DataFrame | None = None) -> DataFr
 
 def document_tables(cells: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
     """Final rows per document: ``(doc, row_no, values)``."""
-    rows = candidate_tables(cells)
-    return T.assemble(rows, accepted_tables(rows, vectors))
+    rows = stage(candidate_tables(cells), "tables")
+    return T.assemble(rows, stage(accepted_tables(rows, vectors), "accepted"))

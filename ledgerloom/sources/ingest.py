@@ -45,10 +45,15 @@ def _unique_names(names: Column) -> Column:
     return F.transform(named, suffixed)
 
 
-def _fields(line: Column, count: int) -> Column:
-    """Fields of one CSV line; empty fields are NULL."""
-    parsed = F.from_csv(line, ", ".join(f"f{i} STRING" for i in range(count)), {"escape": '"'})
-    return F.array(*[F.nullif(parsed[f"f{i}"], F.lit("")) for i in range(count)])
+def _parsed(line: str, count: int) -> Column:
+    """Fields ``f0, f1, …`` of a CSV line, from one parse; to be selected next to other columns."""
+    schema = ", ".join(f"f{i} STRING" for i in range(count))
+    return F.inline(F.array(F.from_csv(line, schema, {"escape": '"'})))
+
+
+def _fields(count: int) -> Column:
+    """The parsed fields as an array; empty ones are NULL."""
+    return F.array(*[F.nullif(F.col(f"f{i}"), F.lit("")) for i in range(count)])
 
 
 def file_headers(lines: DataFrame, header_row: int = HEADER_ROW) -> DataFrame:
@@ -73,10 +78,9 @@ def read_tables(lines: DataFrame, header_row: int = HEADER_ROW) -> DataFrame:
     unquoted = F.regexp_replace("header", '"([^"]|"")*"', "")
     headers = headers.withColumn("ncols", F.size(F.split(unquoted, ",")))
     width = headers.agg(F.max("ncols")).first()[0] or 1
-    headers = headers.withColumn("raw", _fields(F.col("header"), width)).select(
-        LINEAGE,
-        "first_seq",
-        _unique_names(F.slice("raw", F.lit(1), F.col("ncols"))).alias("names"),
+    names = _unique_names(F.slice(_fields(width), F.lit(1), F.col("ncols")))
+    headers = headers.select(LINEAGE, "first_seq", "ncols", _parsed("header", width)).select(
+        LINEAGE, "first_seq", names.alias("names")
     )
     columns = [
         r["name"]
@@ -86,18 +90,17 @@ def read_tables(lines: DataFrame, header_row: int = HEADER_ROW) -> DataFrame:
         .orderBy("at")
         .collect()
     ]
+    # Where each column stands in a file's lines; NULL where the file lacks it.
+    places = {f"p{i}": F.nullif(F.array_position("names", F.lit(c)), F.lit(0)) - 1 for i, c in enumerate(columns)}
+    layouts = headers.select(LINEAGE, "first_seq", *[p.cast("int").alias(n) for n, p in places.items()])
     is_data = (F.col("block") > 0) | (F.col("seq") >= F.col("first_seq") + header_row)
     cells = (
-        lines.join(broadcast_if_small(headers), LINEAGE)
+        lines.join(broadcast_if_small(layouts), LINEAGE)
         .filter(is_data)
-        .select(LINEAGE, "names", _fields(F.col("value"), width).alias("fields"))
+        .select(LINEAGE, *places, _parsed("value", width))
+        .select(LINEAGE, *places, _fields(width).alias("fields"))
     )
-
-    def field(name: str) -> Column:
-        at = F.array_position("names", F.lit(name)).cast("int")
-        return F.when(at > 0, F.try_element_at("fields", at)).alias(name)
-
-    return cells.select(*[field(c) for c in columns], LINEAGE)
+    return cells.select(*[F.get("fields", F.col(p)).alias(c) for p, c in zip(places, columns)], LINEAGE)
 
 
 def has_value(columns: Iterable[str]) -> Column:
