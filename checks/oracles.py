@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ledgerloom.schema import EXCLUDED_AGENCIES
 
-from .queries import PART_ROWS
+from .queries import LOOSE_THRESHOLD, PART_ROWS
 from .views import duckdb_view
 
 _EXCLUDED = ", ".join(f"'{code}'" for code in EXCLUDED_AGENCIES)
@@ -197,6 +197,19 @@ select bands.*, {_BEGIN.format(end="ending")} as beginning_balance, ending as en
 from bands left join last using (fy, ueid, position_number, benefit_id)
   left join moved using (fy, ueid, position_number, benefit_id)""")
 
+    def near_duplicates(threshold: float) -> str:
+        return _with("vectors", f"""
+wide as (select page, ord, embedding::double[] as v from vectors),
+walk as (
+  select page, ord, [v] as kept, true as keep from wide where ord = 0
+  union all
+  select page, ord, case when near then kept else list_append(kept, v) end, not near
+  from (select wide.page, wide.ord, v, kept,
+      len(list_filter(kept, lambda k: list_cosine_similarity(k, v) > {threshold})) > 0 as near
+    from walk join wide on wide.page = walk.page and wide.ord = walk.ord + 1)
+) --main
+select page, ord from walk where keep""")
+
     quarter = "round(sum({}) * 4) / 4"
     return {
         "r1_headcount": _ledger("""
@@ -388,22 +401,14 @@ from (select doc, page, grp, cand, rr.r, cc.c from shape, unnest(range(nrows)) a
         "unify_candidates": _with("table_cells", _UNIFIED + """--main
 select doc, page, grp, r as row_no, line as "values" from lines"""),
         "junk_tables": _with("table_cells", _UNIFIED + """--main
-select doc, page, grp, nrows, ncols, filled, incomplete, junk from judged"""),
+select doc, page, grp, nrows, ncols::int as ncols, filled, incomplete, junk from judged"""),
         "exact_dup_tables": _with("table_cells", _UNIFIED + """--main
-select doc, page, grp, nrows, ncols from judged
+select doc, page, grp, nrows, ncols::int as ncols from judged
 qualify row_number() over (partition by doc, page, content order by grp) = 1"""),
-        "near_dup_vectors": _with("vectors", """
-walk as (
-  select page, ord, [embedding] as kept, true as keep from vectors where ord = 0
-  union all
-  select v.page, v.ord, case when near then kept else list_append(kept, embedding) end, not near
-  from (select vectors.page, vectors.ord, embedding, kept,
-      len(list_filter(kept, lambda k: list_cosine_similarity(k, embedding) > 0.5)) > 0 as near
-    from walk join vectors on vectors.page = walk.page and vectors.ord = walk.ord + 1) v
-) --main
-select page, ord from walk where keep"""),
+        "near_dup_vectors": near_duplicates(0.95),
+        "near_dup_vectors_loose": near_duplicates(LOOSE_THRESHOLD),
         "consecutive_dup": _with("table_cells", _ACCEPTED + """--main
-select doc, page, grp, nrows, ncols from accepted"""),
+select doc, page, grp, nrows, ncols::int as ncols from accepted"""),
         "document_tables": _with("table_cells", _DOCUMENT + "--main select * from document"),
         "review_flags": _with("table_cells", _DOCUMENT + """--main
 select doc, coalesce(max(split_part("values", '|', 4)) filter (row_no = 5), '') = '' as needs_review
