@@ -13,8 +13,12 @@ PAGE = f"agency STRING, page INT, rows {ROWS}"
 
 
 def parse_pages(pages: DataFrame, json: str = "js") -> DataFrame:
-    """Add the parsed page as ``parsed``, NULL where the text is no JSON; the text stays."""
-    valid = F.try_parse_json(F.col(json)).isNotNull()
+    """Add the parsed page as ``parsed``, NULL where the text is no JSON; the text stays.
+
+    JSON functions stop after the first value, so the text is checked as the only element
+    of an array, where trailing text is an error.
+    """
+    valid = F.json_array_length(F.concat(F.lit("["), json, F.lit("]"))) == 1
     return pages.withColumn("parsed", F.when(valid, F.from_json(json, PAGE)))
 
 

@@ -24,7 +24,8 @@ def file_lines(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFr
         spark.read.option("pathGlobFilter", pattern)
         .text(path)
         .select(
-            F.col("_metadata.file_name").alias(LINEAGE),
+            # The name comes URL-encoded, except that a plus sign stands for itself.
+            F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B"))).alias(LINEAGE),
             F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("seq"),
             "value",

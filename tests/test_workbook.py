@@ -1,0 +1,99 @@
+from __future__ import annotations
+
+from ledgerloom.operators import journal, page_json, workbook
+from tests.conftest import rows
+
+CELLS = "file string, sheet string, sheet_no int, rw int, cl int, val string"
+
+
+def test_required_cell_reports_first_failing_sheet(frame):
+    cells = frame(
+        CELLS,
+        ("a.xlsx", "Diff 1", 1, 14, 6, None),
+        ("a.xlsx", "ok", 2, 14, 6, "FY Beginning Balance"),
+        ("a.xlsx", "no cell", 3, 1, 1, "x"),
+        ("a.xlsx", "wrong", 4, 14, 6, "Ending"),
+        ("b R19.xlsx", "s", 1, 14, 6, None),
+        ("c Report 19.xlsx", "s", 1, 14, 6, None),
+        ("d.xls", "s", 1, 14, 6, None),
+        ("e.xlsx", "s", 1, 14, 6, None),
+    )
+    failing = workbook.failing_sheets(cells)
+    assert rows(failing) == [("a.xlsx", 3, "no cell"), ("e.xlsx", 1, "s")]
+    assert workbook.failing_sheets(cells, first_only=False).count() == 3
+    assert rows(workbook.quarantine_list(failing)) == [("a.xlsx",), ("e.xlsx",)]
+
+
+def test_first_row_occupied(frame):
+    cells = frame(
+        CELLS, ("a.xlsx", "s", 1, 1, 2, "v"), ("a.xlsx", "t", 2, 1, 3, "v"), ("b.xls", "s", 1, 1, 1, "v"),
+        ("b.xls", "s", 1, 1, 2, "v"), ("c.txt", "s", 1, 1, 1, "v"), ("d.xlsx", "s", 1, 1, 1, None),
+    )
+    assert rows(workbook.first_row_occupied(cells)) == [
+        ("a.xlsx", "s", "a.xlsx - Sheet: s"), ("b.xls", "s", "b.xls - Sheet: s"),
+    ]
+
+
+def test_catalogue_and_subsets(frame):
+    sheets = frame(
+        "filename string, sheet_name string",
+        ("\\w\\LESSEE\\1.xlsx", "LS-Fund Journal"), ("\\w\\lessee\\1.xlsx", "ls lease journal"),
+        ("\\w\\lessor\\1.xlsx", "LS Lease"), ("\\w\\lessees\\1.xlsx", "LS Lease"), (None, "LS Lease"),
+        ("\\w\\Lessee\\1.xlsx", "ls-department note disclosure"),
+    )
+    catalogue = workbook.sheet_catalogue(sheets)
+    assert ("LS Lease", "\\w\\lessor\\1.xlsx", "\\w\\lessor\\1.xlsx|||LS Lease$'") in rows(catalogue)
+    flags = workbook.lessee_subsets(catalogue).select(
+        "sheet_name", "is_journal_ls", "is_department_note", "is_lease_ls"
+    )
+    assert rows(flags) == [
+        ("LS-Fund Journal", True, False, False), ("ls lease journal", True, False, True),
+        ("ls-department note disclosure", False, True, False),
+    ]
+
+
+def test_combine_sheets(frame):
+    cells = frame(CELLS, ("a", "s", 1, 1, 1, "x"), ("a", "s", 1, 1, 3, "z"), ("a", "t", 2, 1, 2, "y"))
+    found = workbook.combine_sheets(cells, 3).select("source_sheet", "c1", "c2", "c3")
+    assert rows(found) == [("s", "x", None, "z"), ("t", None, "y", None)]
+
+
+def test_clean_journal(frame):
+    df = frame(
+        "f int, row_no long, je_title string, debit_credit string, amount double, col_11 double",
+        (1, 1, "A", "Dr 1100 Cash", 5.0, 9.0), (1, 2, None, "Cr 2000 AP", None, 9.0), (1, 3, None, "x", None, None),
+        (1, 4, "B", "Cr Dr 12 a 3", 1.0, None), (1, 5, None, None, 2.0, None), (2, 1, None, "n", 0.0, None),
+    )
+    found = journal.clean_journal(df, ["f"]).select("f", "row_no", "je_title", "amount", "d_c", "account_number", "account_name")
+    assert rows(found) == [
+        (1, 1, "A", 5.0, "D", "1100", "Dr  Cash"), (1, 2, "A", -9.0, "C", "2000", "Cr  AP"),
+        (1, 3, "A", None, "ERROR", "XXXX", "x"), (1, 4, "B", 1.0, "D", "12", "Cr Dr  a"),
+        (1, 5, "B", 2.0, "ERROR", "XXXX", ""), (2, 1, None, 0.0, "ERROR", "XXXX", "n"),
+    ]
+
+
+def test_journal_rows_match_headings_by_name(frame):
+    head = [("JE_Title", 2), ("Debit/Credit", 1), ("Amount", 3), ("11", 4)]
+    cells = frame(
+        CELLS, ("a", "s", 1, 1, 1, "title"), *[("a", "s", 1, 9, c, name) for name, c in head],
+        ("a", "s", 1, 10, 1, "Dr 1 x"), ("a", "s", 1, 10, 2, "J"), ("a", "s", 1, 10, 4, "2.5"),
+    )
+    assert rows(journal.journal_rows(cells)) == [("a", "s", 10, "J", "Dr 1 x", None, 2.5)]
+
+
+def test_spaced_names(frame):
+    assert journal.with_spaced_names(frame("JE_Title int, b int", (1, 2))).columns == ["JE Title", "b"]
+
+
+def test_page_json(frame):
+    pages = frame(
+        "id int, js string",
+        (1, '{"agency": " 0855 X ", "page": 1, "rows": [{"column_1": "a", "column_2": "$1"}]}'), (2, "{bad"),
+        (3, '{"page": 2}'), (4, None), (5, '{"rows": []} trailing'),
+    )
+    parsed = page_json.parse_pages(pages)
+    assert rows(page_json.flatten_pages(parsed, "id")) == [
+        (1, 0, "0855 X", "", "", ""), (1, 1, "a", "$1", None, None), (1, 2, "", "", "", ""),
+        (3, 0, "", "", "", ""), (3, 1, "", "", "", ""),
+    ]
+    assert [r.id for r in page_json.rejected_pages(parsed).orderBy("id").collect()] == [2, 4, 5]
