@@ -296,8 +296,10 @@ from base where june group by all"""),
         "employee_liability": _ledger("""
 select fy, ueid, left(full_no, 3) as agency_code, org_code, sum(b) as hours, sum(b * r) as total_employee_liability
 from base group by all"""),
-        "last_balances": _ledger(f"""{last} --main
-select fy, ueid, position_number, benefit_id, ending as ending_balance from last"""),
+        "position_totals": _ledger(f"""{last} --main
+select fy, ueid, position_number, benefit_id, ending as ending_balance, sum(e) as total_earned,
+  sum(u) as total_used, sum(m) as total_misc
+from last join base using (fy, ueid, position_number, benefit_id) group by all"""),
         "nonnumeric_audit": _with("dirty_ledger", """
 select distinct source_file from dirty_ledger
 where end_balance is not null and try_cast(end_balance as double) is null"""),

@@ -27,6 +27,11 @@ def _on(view: str, build: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: build(spark_view(spark, sf_dir, view))
 
 
+def _on_years(build: Callable[[DataFrame], DataFrame]) -> Query:
+    """On the ledger with its fiscal years, labelled in the result."""
+    return _on("ledger", lambda df: A.with_year_label(build(A.with_report_columns(df))))
+
+
 def _joined(column: str, as_text: bool = False):
     """Arrays are compared as text."""
     c = F.transform(column, lambda x: x.cast("string")) if as_text else F.col(column)
@@ -176,17 +181,15 @@ def queries() -> dict[str, Query]:
         # Functions, filters and building blocks of the ledger
         "fiscal_year": _on("ledger", _functions),
         "measures": _on("ledger", _measures),
-        "yearly_activity": _on(
-            "ledger", lambda df: A.yearly_activity(A.with_report_columns(df), "ueid", "benefit_id")
-        ),
-        "june_endings": _on("ledger", lambda df: A.june_endings(A.with_report_columns(df))),
-        "employee_liability": _on("ledger", lambda df: A.employee_liability(A.with_report_columns(df))),
-        "last_balances": _on("ledger", lambda df: A.last_balances(A.with_report_columns(df))),
+        "yearly_activity": _on_years(lambda df: A.yearly_activity(df, "ueid", "benefit_id")),
+        "june_endings": _on_years(A.june_endings),
+        "employee_liability": _on_years(A.employee_liability),
+        "position_totals": _on_years(A.position_totals),
         "nonnumeric_audit": _on("dirty_ledger", filters.non_numeric_sources),
         "malformed_positions": _on("dirty_ledger", filters.malformed_positions),
         "distinct_periods": _on("ledger", lambda df: filters.distinct_periods(df, "1-URGENT")),
         "row_count": _on("ledger", filters.row_count),
-        "multi_position_employees": _on("ledger", lambda df: A.multi_position_employees(A.with_report_columns(df))),
+        "multi_position_employees": _on_years(A.multi_position_employees),
         "distinct_combos": _on(
             "ledger", lambda df: A.distinct_combinations(A.with_report_columns(df), "ueid", "fy", "position_number")
         ),

@@ -6,10 +6,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def fiscal_year_start(period: Column) -> Column:
+    """First calendar year of the July-to-June year of a ``YYYY-MM`` period, 0 for a NULL period.
+
+    Reports group by this number and turn it into a label once per result row.
+    """
+    year = F.substring(period, 1, 4).cast("int")
+    return F.coalesce(year - F.when(period_month(period).cast("int") < 7, 1).otherwise(0), F.lit(0))
+
+
+def fiscal_year_label(start: Column) -> Column:
+    """``Y-(Y+1)``, and ``-`` for an unknown year."""
+    return F.when(start == 0, "-").otherwise(
+        F.concat_ws("", start.cast("string"), F.lit("-"), (start + 1).cast("string"))
+    )
+
+
 def fiscal_year(period: Column) -> Column:
-    """July-to-June year of a ``YYYY-MM`` period, as ``Y-(Y+1)``; a NULL period gives ``-``."""
-    first = F.substring(period, 1, 4).cast("int") - F.when(period_month(period).cast("int") < 7, 1).otherwise(0)
-    return F.concat_ws("", first.cast("string"), F.lit("-"), (first + 1).cast("string"))
+    return fiscal_year_label(fiscal_year_start(period))
 
 
 def fiscal_year_from_label(period: Column) -> Column:

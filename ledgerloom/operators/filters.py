@@ -27,7 +27,9 @@ def reported_agency(position: Column, padded: bool = True, excluded: tuple[str,
 def in_fiscal_year(period: Column, fy: str) -> Column:
     """Equality on the fiscal year, with a period range the scan can use to skip data."""
     first = int(fy[:4])
-    return (period >= str(first)) & (period < str(first + 2)) & (L.fiscal_year(period) == fy)
+    if fy != f"{first}-{first + 1}":
+        raise ValueError(f"{fy} is no fiscal year")
+    return (period >= str(first)) & (period < str(first + 2)) & (L.fiscal_year_start(period) == first)
 
 
 def non_numeric_sources(ledger: DataFrame, column: str = "end_balance") -> DataFrame:

@@ -17,15 +17,20 @@ MOVEMENTS = ("total_earned", "total_used", "total_misc")
 
 
 def with_report_columns(ledger: DataFrame, padded: bool = True) -> DataFrame:
-    """Add the fiscal year and the agency code."""
+    """Add the first year of the fiscal year as ``fy``, and the agency code."""
     return ledger.withColumns(
         {
-            "fy": L.fiscal_year(F.col("leave_period")),
+            "fy": L.fiscal_year_start(F.col("leave_period")),
             "agency_code": L.agency_code(F.col("position_number"), padded),
         }
     )
 
 
+def with_year_label(df: DataFrame) -> DataFrame:
+    """Turn the number ``fy`` of grouped rows into its label."""
+    return df.withColumn("fy", L.fiscal_year_label(F.col("fy")))
+
+
 def movement_sums() -> list[Column]:
     return [
         F.sum(L.number(F.col(c))).alias(total)
@@ -81,23 +86,48 @@ def employee_liability(ledger_fy: DataFrame) -> DataFrame:
 
 
 def pay_bands(ledger_fy: DataFrame) -> DataFrame:
-    """Movements per pay band of a position, with the band's own last period and balance.
-
-    ``last`` orders by period, then balance, then file, so that ties have one winner.
-    """
-    ending = L.number(F.col("end_balance"))
+    """Movements per pay band of a position and benefit."""
     return ledger_fy.groupBy(
         "fy", "ueid", "department_name", "position_number", "benefit_name", "benefit_id", "base_pay", "hourly_rate"
-    ).agg(*movement_sums(), F.max(F.struct("leave_period", ending.alias("balance"), "source_file")).alias("last"))
+    ).agg(*movement_sums())
+
+
+def _month_of_year() -> Column:
+    """0 for July to 11 for June; other months are an error."""
+    month = L.period_month(F.col("leave_period")).cast("int")
+    in_year = F.when(month.between(1, 12), (month + 5) % 12)
+    invalid = F.concat(F.lit("no month in period "), F.col("leave_period"))
+    return F.when(F.col("leave_period").isNull(), 0).otherwise(F.coalesce(in_year, F.raise_error(invalid).cast("int")))
+
+
+def last_balance_sums() -> list[Column]:
+    """Highest balance of each month of the year, and the months that have rows as bits.
+
+    A year has twelve months, so the last period's balance needs only these numbers; the
+    aggregate keeps its hash table, which it would not with a text or struct maximum.
+    """
+    month, ending = F.col("month_of_year"), L.number(F.col("end_balance"))
+    return [
+        F.bit_or(F.expr("shiftleft(1, month_of_year)")).alias("months"),
+        *[F.max(F.when(month == m, ending)).alias(f"month_{m}") for m in range(12)],
+    ]
+
+
+def last_balance() -> Column:
+    """Balance of the highest month that has rows; of several rows in it, the highest balance."""
+    found = F.lit(None).cast("double")
+    for m in range(12):
+        found = F.when(F.col("months") >= 2**m, F.col(f"month_{m}")).otherwise(found)
+    return found
 
 
-def last_balances(ledger_fy: DataFrame) -> DataFrame:
-    """Balance of the last period per fiscal year, employee, position and benefit."""
-    ending = L.number(F.col("end_balance"))
+def position_totals(ledger_fy: DataFrame) -> DataFrame:
+    """Movements and last balance per fiscal year, employee, position and benefit."""
     return (
-        ledger_fy.groupBy("fy", "ueid", "position_number", "benefit_id")
-        .agg(F.max(F.struct("leave_period", ending.alias("balance"), "source_file")).alias("last"))
-        .select("fy", "ueid", "position_number", "benefit_id", F.col("last.balance").alias("ending_balance"))
+        ledger_fy.withColumn("month_of_year", _month_of_year())
+        .groupBy("fy", "ueid", "position_number", "benefit_id")
+        .agg(*movement_sums(), *last_balance_sums())
+        .select("fy", "ueid", "position_number", "benefit_id", *MOVEMENTS, last_balance().alias("ending_balance"))
     )
 
 
@@ -108,8 +138,6 @@ def multi_position_employees(ledger_fy: DataFrame) -> DataFrame:
         positions.groupBy("ueid", "fy")
         .agg(
             F.count("position_number").alias("position_count"),
-            F.min("position_number").alias("first"),
-            F.max("position_number").alias("last"),
             F.sort_array(F.collect_set("position_number")).alias("positions"),
         )
         .filter("position_count > 1")

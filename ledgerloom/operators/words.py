@@ -38,7 +38,8 @@ def year_pattern(years: tuple[str, ...] = YEARS) -> str:
 
 
 def header_words(words: DataFrame, years: tuple[str, ...] = YEARS) -> DataFrame:
-    return words.withColumn("txt", strip(F.col("txt"))).filter(F.col("txt").rlike(year_pattern(years)))
+    """Words that are a year header, trimmed; white space around them cannot change the match."""
+    return words.filter(F.col("txt").rlike(year_pattern(years))).withColumn("txt", strip(F.col("txt")))
 
 
 def number_words(words: DataFrame) -> DataFrame:

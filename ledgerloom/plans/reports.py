@@ -27,6 +27,7 @@ def _org_number() -> Column:
 
 # Row order of each report.
 ORDER = {
+    "headcount_by_agency": lambda: [F.desc_nulls_last("fy"), *_asc("agency_code")],
     "headcount": lambda: [F.desc_nulls_last("fy"), *_asc("agency_code", "org_code")],
     "leave_balance": lambda: [F.desc_nulls_last("fy"), *_asc("org_code", "cbid", "benefit_id", "benefit_name")],
     "earned_used": lambda: [F.desc_nulls_last("fy"), _org_number(), *_asc("cbid", "benefit_id", "benefit_name")],
@@ -40,6 +41,7 @@ ORDER = {
 
 
 def _report(df: DataFrame, order: str, ordered: bool) -> DataFrame:
+    df = A.with_year_label(df)
     return df.orderBy(*ORDER[order]()) if ordered else df
 
 
@@ -48,7 +50,7 @@ def headcount(ledger: DataFrame, by_org: bool = True, ordered: bool = True) -> D
     keys = ["fy", "agency_code", "org_code"] if by_org else ["fy", "agency_code"]
     june = A.with_report_columns(ledger.filter(P.is_june(F.col("leave_period"))))
     df = june.groupBy(*keys).agg(F.count_distinct("ueid").alias("employee_count"))
-    return df.orderBy(F.desc_nulls_last("fy"), *_asc(*keys[1:])) if ordered else df
+    return _report(df, "headcount" if by_org else "headcount_by_agency", ordered)
 
 
 def non_classified_headcount(ledger: DataFrame, non_classified: DataFrame, ordered: bool = True) -> DataFrame:
@@ -62,11 +64,12 @@ def non_classified_headcount(ledger: DataFrame, non_classified: DataFrame, order
         A.with_report_columns(ledger.filter(P.is_june(F.col("leave_period")))).select(*keys, "ueid").distinct()
     )
     df = (
-        employees.join(non_classified.select("ueid", "fy"), ["ueid", "fy"], "left_semi")
+        A.with_year_label(employees)
+        .join(non_classified.select("ueid", "fy"), ["ueid", "fy"], "left_semi")
         .groupBy(*keys)
         .agg(F.count("ueid").alias("employee_count"))
     )
-    return _report(df, "headcount", ordered)
+    return df.orderBy(*ORDER["headcount"]()) if ordered else df
 
 
 def _reported_rows(ledger: DataFrame) -> DataFrame:
@@ -189,29 +192,31 @@ def rollforward_position(
     """Roll-forward per pay band of a position, for one fiscal year or all.
 
     Beginning and ending balance belong to the position and benefit and repeat on each of
-    its pay bands. Bands per position are not bounded, so their totals come back through
-    a join, whose skewed partitions adaptive execution splits.
+    its pay bands. Bands per position are not bounded, so the totals come in through a
+    join, whose skewed partitions adaptive execution splits.
     """
     rows = ledger.filter(P.reported_agency(F.col("position_number"), padded))
     if fy is not None:
         rows = rows.filter(P.in_fiscal_year(F.col("leave_period"), fy))
-    bands = A.pay_bands(A.with_report_columns(rows, padded))
-    positions = bands.groupBy(*POSITION_KEYS).agg(
-        *[F.sum(c).alias(f"position_{c}") for c in A.MOVEMENTS], F.max("last").alias("position_last")
-    )
-    ending = F.col("position_last.balance")
-    df = bands.join(positions, POSITION_KEYS, "left").select(
-        "fy",
-        "ueid",
-        "department_name",
-        "position_number",
-        "benefit_name",
-        "benefit_id",
-        "base_pay",
-        "hourly_rate",
-        L.beginning_balance(ending, *[F.col(f"position_{c}") for c in A.MOVEMENTS]).alias("beginning_balance"),
-        *A.MOVEMENTS,
-        ending.alias("ending_balance"),
+    rows = A.with_report_columns(rows, padded)
+    totals = A.position_totals(rows).withColumnsRenamed({c: f"position_{c}" for c in A.MOVEMENTS})
+    ending = F.col("ending_balance")
+    df = (
+        A.pay_bands(rows)
+        .join(totals, POSITION_KEYS, "left")
+        .select(
+            "fy",
+            "ueid",
+            "department_name",
+            "position_number",
+            "benefit_name",
+            "benefit_id",
+            "base_pay",
+            "hourly_rate",
+            L.beginning_balance(ending, *[F.col(f"position_{c}") for c in A.MOVEMENTS]).alias("beginning_balance"),
+            *A.MOVEMENTS,
+            "ending_balance",
+        )
     )
     return _report(df, "rollforward_position", ordered)
 
@@ -226,9 +231,4 @@ def july_begin_june_end(ledger: DataFrame, fy: str | None = None) -> DataFrame:
     rows = A.with_report_columns(ledger)
     begins = A.boundary_balances(rows, "07", "begin_balance", "beginning_balance")
     ends = A.boundary_balances(rows, "06", "end_balance", "ending_balance")
-    return (
-        A.pay_bands(rows)
-        .drop("last")
-        .join(begins, POSITION_KEYS, "left")
-        .join(ends, POSITION_KEYS, "left")
-    )
+    return A.with_year_label(A.pay_bands(rows).join(begins, POSITION_KEYS, "left").join(ends, POSITION_KEYS, "left"))

@@ -113,9 +113,25 @@ def test_null_position_matches_nothing(ledger):
     assert (row.beginning_balance, row.ending_balance) == (None, None)
 
 
+def test_null_period_is_its_own_year(ledger):
+    df = ledger({"leave_period": None, "end_balance": "7", "leave_earned": "2"})
+    (row,) = reports.rollforward_position(df).collect()
+    assert (row.fy, row.beginning_balance, row.total_earned, row.ending_balance) == ("-", 5.0, 2.0, 7.0)
+
+
+def test_last_period_without_balance_counts(ledger):
+    df = ledger({"leave_period": "2023-07", "end_balance": "7"}, {"leave_period": "2023-12", "end_balance": None})
+    assert reports.rollforward_position(df).select("ending_balance").distinct().collect()[0][0] is None
+
+
+def test_impossible_month_is_an_error(ledger):
+    with pytest.raises(Exception, match="no month in period 2024-13"):
+        reports.rollforward_position(ledger({"leave_period": "2024-13"})).collect()
+
+
 def test_multi_position_list(ledger):
     df = ledger({}, {"position_number": "0001"}, {"ueid": "E2"})
-    assert rows(A.multi_position_employees(A.with_report_columns(df))) == [("E1", "2023-2024", 2, "0001, 0511234567890")]
+    assert rows(A.with_year_label(A.multi_position_employees(A.with_report_columns(df)))) == [("E1", "2023-2024", 2, "0001, 0511234567890")]
 
 
 def test_conservation_without_fan_out(ledger):
