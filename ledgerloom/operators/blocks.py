@@ -17,8 +17,12 @@ from pyspark.sql.window import WindowSpec
 ROWS_PER_BLOCK = 1_000_000
 
 
+def block_of(order: Column, span: float) -> Column:
+    return F.floor(order / F.lit(span))
+
+
 def _blocked(df: DataFrame, order: list[str], span: float) -> DataFrame:
-    return df.withColumn("_block", F.floor(F.col(order[0]) / F.lit(span)))
+    return df.withColumn("_block", block_of(F.col(order[0]), span))
 
 
 def _in_block(keys: list[str], order: list[str]) -> WindowSpec:
@@ -64,25 +68,28 @@ def forward_fill(
 
 
 def nearest_both_ways(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    column: str,
-    before: str,
-    after: str,
-    span: float = ROWS_PER_BLOCK,
+    df: DataFrame, keys: list[str], order: list[str], columns: list[str], span: float = ROWS_PER_BLOCK
 ) -> DataFrame:
-    """Nearest non-NULL ``column`` at or before, and at or after, each row of its group."""
-    rows = _blocked(df, order, span).withColumn("_fill", F.col(column))
-    position = F.when(F.col("_fill").isNotNull(), F.struct(*order))
+    """``columns`` of the nearest filled row at or before, and at or after, each row of its group.
+
+    They come as ``before_…`` and ``after_…``. A row is filled when the first of
+    ``columns`` is not NULL; filled rows differ in ``order[0]``.
+    """
+    fills = [f"_fill_{c}" for c in columns]
+    rows = _blocked(df, order, span).withColumns({f: F.col(c) for f, c in zip(fills, columns)})
+    position = F.when(F.col(columns[0]).isNotNull(), F.col(order[0]))
+    first, last = [f"first{f}" for f in fills], [f"last{f}" for f in fills]
     ends = (
         rows.groupBy(*keys, "_block")
-        .agg(F.min_by("_fill", position).alias("first"), F.max_by("_fill", position).alias("last"))
+        .agg(
+            *[F.min_by(f, position).alias(n) for f, n in zip(fills, first)],
+            *[F.max_by(f, position).alias(n) for f, n in zip(fills, last)],
+        )
         .select(
             *keys,
             "_block",
-            F.last("last", ignorenulls=True).over(_earlier(keys)).alias("earlier"),
-            F.last("first", ignorenulls=True).over(_later(keys)).alias("later"),
+            *[F.last(n, ignorenulls=True).over(_earlier(keys)).alias(n) for n in last],
+            *[F.last(n, ignorenulls=True).over(_later(keys)).alias(n) for n in first],
         )
     )
     seeds = ends.select(
@@ -90,20 +97,29 @@ def nearest_both_ways(
         "_block",
         F.inline(
             F.array(
-                F.struct(F.lit(-1).alias("_seed"), F.col("earlier").alias("_fill")),
-                F.struct(F.lit(1).alias("_seed"), F.col("later").alias("_fill")),
+                F.struct(F.lit(-1).alias("_seed"), *[F.col(n).alias(f) for f, n in zip(fills, last)]),
+                F.struct(F.lit(1).alias("_seed"), *[F.col(n).alias(f) for f, n in zip(fills, first)]),
             )
         ),
-    ).filter("_fill is not null")
+    ).filter(F.col(fills[0]).isNotNull())
     # Both directions run up to the current row; a frame from there to the end is quadratic.
     backwards = Window.partitionBy(*keys, "_block").orderBy(F.desc("_seed"), *[F.desc(c) for c in order])
-    fill = F.last("_fill", ignorenulls=True)
-    values = {before: fill.over(_up_to_here(_in_block(keys, order))), after: fill.over(_up_to_here(backwards))}
-    return _scan(rows, seeds, values, "_fill")
+    values = {}
+    for f, c in zip(fills, columns):
+        fill = F.last(f, ignorenulls=True)
+        values[f"before_{c}"] = fill.over(_up_to_here(_in_block(keys, order)))
+        values[f"after_{c}"] = fill.over(_up_to_here(backwards))
+    return _scan(rows, seeds, values, *fills)
 
 
 def running_sum(
-    df: DataFrame, keys: list[str], order: list[str], amount: Column, out: str, span: float = ROWS_PER_BLOCK
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    amount: Column,
+    out: str,
+    span: float = ROWS_PER_BLOCK,
+    block: str | None = None,
 ) -> DataFrame:
     """Sum of ``amount`` up to and including each row of its group."""
     rows = _blocked(df, order, span).withColumn("_amount", amount)
@@ -114,14 +130,26 @@ def running_sum(
         .filter("_amount is not null")
         .withColumn("_seed", F.lit(-1))
     )
-    return _scan(rows, seeds, {out: F.sum("_amount").over(_up_to_here(_in_block(keys, order)))}, "_amount")
+    values = {out: F.sum("_amount").over(_up_to_here(_in_block(keys, order)))}
+    if block:
+        values[block] = F.col("_block")
+    return _scan(rows, seeds, values, "_amount")
 
 
 def row_numbers(
-    df: DataFrame, keys: list[str], order: list[str], out: str, span: float = ROWS_PER_BLOCK
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    out: str,
+    span: float = ROWS_PER_BLOCK,
+    block: str | None = None,
 ) -> DataFrame:
-    """Position of each row in its group, from 1."""
-    return running_sum(df, keys, order, F.lit(1), out, span)
+    """Position of each row in its group, from 1.
+
+    ``block`` names a column that keeps the row's block; the result is partitioned by
+    ``keys`` and that column, so a join on them moves no rows.
+    """
+    return running_sum(df, keys, order, F.lit(1), out, span, block)
 
 
 def previous_value(

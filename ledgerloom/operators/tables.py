@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_cell, strip
 from ..session import stage
-from .blocks import previous_value, row_numbers, running_sum
+from .blocks import block_of, previous_value, row_numbers, running_sum
+from .skew import join_by_block
 
 # Limits of the table filters and of near duplicates, the reviewed cell.
 MIN_ROWS, MIN_COLUMNS, MIN_CELLS = 2, 2, 2
@@ -48,13 +49,13 @@ def clean_tables(cells: DataFrame, keys: list[str]) -> DataFrame:
         "table-rows",
     )
     columns = (
-        rows.select(*keys, F.explode(F.map_keys("cells")).alias("col_no"))
+        rows.select(*keys, _block(), F.explode(F.map_keys("cells")).alias("col_no"))
         .groupBy(*keys)
-        .agg(F.sort_array(F.collect_set("col_no")).alias("columns"))
+        .agg(F.sort_array(F.collect_set("col_no")).alias("columns"), *_block_range())
     )
     return (
-        row_numbers(rows, keys, ["row_no"], "n", _ROW_SPAN)
-        .join(columns, keys)
+        row_numbers(rows, keys, ["row_no"], "n", _ROW_SPAN, "block")
+        .join(_in_every_block(columns), [*keys, "block"])
         .select(
             *keys,
             (F.col("n") - 1).alias("row_no"),
@@ -63,6 +64,19 @@ def clean_tables(cells: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def _block() -> Column:
+    return block_of(F.col("row_no"), _ROW_SPAN).alias("block")
+
+
+def _block_range() -> list[Column]:
+    return [F.min("block").alias("first_block"), F.max("block").alias("last_block")]
+
+
+def _in_every_block(tables: DataFrame) -> DataFrame:
+    """Repeat a table's record for each block of its rows, so that long tables join in many tasks."""
+    return tables.withColumn("block", F.explode(F.sequence("first_block", "last_block"))).drop("first_block", "last_block")
+
+
 def _filled(values: Column) -> Column:
     return F.size(F.filter(values, lambda v: v != ""))
 
@@ -84,7 +98,7 @@ def unify_candidates(rows: DataFrame) -> DataFrame:
         .filter("ncols = best_ncols")
         .withColumn("above", F.sum("nrows").over(best_first) - F.col("nrows"))
     )
-    return rows.join(kept.select(*TABLE, "cand", "above"), [*TABLE, "cand"]).select(
+    return join_by_block(rows, kept.select(*TABLE, "cand", "nrows", "above"), [*TABLE, "cand"], _ROW_SPAN).select(
         *TABLE, (F.col("above") + F.col("row_no")).alias("row_no"), "values"
     )
 
@@ -219,7 +233,7 @@ def assemble(rows: DataFrame, stats: DataFrame) -> DataFrame:
     width = stats.groupBy("doc").agg(F.max("ncols").alias("width"))
     placed = placed.join(width, "doc").withColumn("above", F.col("below") - F.col("nrows") - 1)
     blank = F.array_repeat(F.lit(""), F.col("width"))
-    body = rows.join(placed, TABLE).select(
+    body = join_by_block(rows, placed, TABLE, _ROW_SPAN).select(
         "doc",
         (F.col("above") + F.col("row_no")).alias("row_no"),
         F.slice(F.concat("values", blank), F.lit(1), F.col("width")).alias("values"),
@@ -237,9 +251,9 @@ def review_flags(assembled: DataFrame) -> DataFrame:
 
 def text_to_columns(rows: DataFrame, keys: list[str], pattern: str = COLUMN_GAP_OR_NUMBER) -> DataFrame:
     """Split single-column rows at gaps, padded to the table's widest row."""
-    parts = rows.select(*keys, "row_no", F.split(strip(F.coalesce("value", F.lit(""))), pattern).alias("parts"))
-    width = parts.groupBy(*keys).agg(F.max(F.size("parts")).alias("width"))
-    return parts.join(width, keys).select(
+    parts = rows.select(*keys, "row_no", _block(), F.split(strip(F.coalesce("value", F.lit(""))), pattern).alias("parts"))
+    width = parts.groupBy(*keys).agg(F.max(F.size("parts")).alias("width"), *_block_range())
+    return parts.join(_in_every_block(width), [*keys, "block"]).select(
         *keys,
         "row_no",
         F.concat("parts", F.array_repeat(F.lit(""), F.col("width") - F.size("parts"))).alias("values"),

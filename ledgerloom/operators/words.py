@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import strip
 from ..session import stage
 from .blocks import nearest_both_ways
+from .skew import salted_join
 
 # Year headers, the numeric pattern, and distances in points.
 YEARS = ("2023-24", "2024-25", "2025-26")
@@ -113,11 +114,9 @@ def matched_columns(
     )
     # Groups of a page are at least a tolerance apart, so this array is as short as a page is high.
     bottoms = groups.groupBy(*PAGE).agg(F.collect_list(F.struct("grp", "hdr_bottom")).alias("groups"))
+    numbers = number_words(words).select(*PAGE, "x0", "top")
     numbers = (
-        number_words(words)
-        .select(*PAGE, "x0", "top")
-        .distinct()
-        .join(bottoms, PAGE)
+        salted_join(numbers, bottoms, PAGE)
         .select(
             *PAGE,
             "x0",
@@ -125,24 +124,26 @@ def matched_columns(
             F.explode(F.filter("groups", lambda g: g["hdr_bottom"] < F.col("top"))["grp"]).alias("grp"),
         )
         .groupBy(*GROUP, "x0")
-        .agg(F.min("top").alias("top"))
-        .select(*GROUP, "x0", F.struct(F.col("x0").alias("x0"), F.col("top").alias("top")).alias("number"))
+        .agg(F.min("top").alias("number_top"))
+        .withColumn("number_x", F.col("x0"))
     )
-    merged = numbers.withColumns({"x1": F.lit(None).cast("double"), "is_header": F.lit(0)}).unionByName(
-        spots.withColumns({"number": F.lit(None).cast("struct<x0: double, top: double>"), "is_header": F.lit(1)})
+    merged = stage(
+        numbers.withColumn("is_header", F.lit(0)).unionByName(
+            spots.withColumn("is_header", F.lit(1)), allowMissingColumns=True
+        ),
+        "merged-columns",
     )
-    both = nearest_both_ways(stage(merged, "merged-columns"), GROUP, ["x0", "is_header"], "number", "left", "right", _X_BAND)
+    both = nearest_both_ways(merged, GROUP, ["x0", "is_header"], ["number_x", "number_top"], _X_BAND)
 
     def candidate(side: str) -> Column:
-        number = F.col(side)
+        x, top = F.col(f"{side}_number_x"), F.col(f"{side}_number_top")
         return F.when(
-            number.isNotNull(),
-            F.struct(F.abs(number["x0"] - F.col("x0")).alias("dist"), number["top"].alias("top"), number["x0"].alias("x0")),
+            x.isNotNull(), F.struct(F.abs(x - F.col("x0")).alias("dist"), top.alias("top"), x.alias("x0"))
         )
 
     return (
         both.filter("is_header = 1")
-        .withColumn("near", F.least(candidate("left"), candidate("right")))
+        .withColumn("near", F.least(candidate("before"), candidate("after")))
         .filter("near is not null")
         .select(
             *GROUP,

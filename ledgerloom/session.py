@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 BROADCAST_ROW_LIMIT = 200_000
 
@@ -36,11 +35,3 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def broadcast_if_small(staged: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast a staged lookup only when its counted rows stay within ``limit``.
-
-    A larger lookup is returned unmarked: the join then shuffles, and adaptive
-    execution splits its skewed partitions.
-    """
-    return F.broadcast(staged) if staged.count() <= limit else staged

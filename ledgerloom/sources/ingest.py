@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.skew import lookup_join
 from ..schema import HEADER_ROW
-from ..session import broadcast_if_small, stage
+from ..session import stage
 
 LINEAGE = "source_file"
 
@@ -96,7 +97,7 @@ def read_tables(lines: DataFrame, header_row: int = HEADER_ROW) -> DataFrame:
     layouts = headers.select(LINEAGE, "first_seq", *[p.cast("int").alias(n) for n, p in places.items()])
     is_data = (F.col("block") > 0) | (F.col("seq") >= F.col("first_seq") + header_row)
     cells = (
-        lines.join(broadcast_if_small(layouts), LINEAGE)
+        lookup_join(lines, layouts, [LINEAGE])
         .filter(is_data)
         .select(LINEAGE, *places, _parsed("value", width))
         .select(LINEAGE, *places, _fields(width).alias("fields"))

@@ -55,7 +55,7 @@ def test_nearest_both_ways(df, data):
             before = [v for m, v in rows if m <= n and v is not None]
             after = [v for m, v in rows if m >= n and v is not None]
             expected.add((k, n, before[-1] if before else None, after[0] if after else None))
-    found = as_set(B.nearest_both_ways(df, ["k"], ["n"], "v", "b", "a", SPAN), "k", "n", "b", "a")
+    found = as_set(B.nearest_both_ways(df, ["k"], ["n"], ["v"], SPAN), "k", "n", "before_v", "after_v")
     assert found == expected
 
 
