@@ -30,12 +30,12 @@ def _in_block(keys: list[str], order: list[str]) -> WindowSpec:
 
 
 def _scan(rows: DataFrame, seeds: DataFrame, values: dict[str, Column], *helpers: str) -> DataFrame:
-    """Evaluate window ``values`` over the blocks with their seed rows, then drop the seeds.
+    """Evaluate window ``values`` over the blocks with their seed rows, then drop the seeds and helpers.
 
     ``_seed`` is negative for a row that leads its block and positive for one that ends it.
     """
     both = rows.withColumn("_seed", F.lit(0)).unionByName(seeds, allowMissingColumns=True)
-    return both.withColumns(values).filter("_seed = 0").drop("_seed", "_block", *helpers)
+    return both.withColumns(values).filter("_seed = 0").drop("_seed", *helpers)
 
 
 def _earlier(keys: list[str]) -> WindowSpec:
@@ -64,7 +64,7 @@ def forward_fill(
         .withColumn("_seed", F.lit(-1))
     )
     filled = F.last("_fill", ignorenulls=True).over(_up_to_here(_in_block(keys, order)))
-    return _scan(rows, seeds, {out: filled}, "_fill")
+    return _scan(rows, seeds, {out: filled}, "_fill", "_block")
 
 
 def nearest_both_ways(
@@ -109,7 +109,7 @@ def nearest_both_ways(
         fill = F.last(f, ignorenulls=True)
         values[f"before_{c}"] = fill.over(_up_to_here(_in_block(keys, order)))
         values[f"after_{c}"] = fill.over(_up_to_here(backwards))
-    return _scan(rows, seeds, values, *fills)
+    return _scan(rows, seeds, values, *fills, "_block")
 
 
 def running_sum(
@@ -119,7 +119,7 @@ def running_sum(
     amount: Column,
     out: str,
     span: float = ROWS_PER_BLOCK,
-    block: str | None = None,
+    keep_block: bool = False,
 ) -> DataFrame:
     """Sum of ``amount`` up to and including each row of its group."""
     rows = _blocked(df, order, span).withColumn("_amount", amount)
@@ -131,9 +131,7 @@ def running_sum(
         .withColumn("_seed", F.lit(-1))
     )
     values = {out: F.sum("_amount").over(_up_to_here(_in_block(keys, order)))}
-    if block:
-        values[block] = F.col("_block")
-    return _scan(rows, seeds, values, "_amount")
+    return _scan(rows, seeds, values, "_amount", *([] if keep_block else ["_block"]))
 
 
 def row_numbers(
@@ -142,14 +140,14 @@ def row_numbers(
     order: list[str],
     out: str,
     span: float = ROWS_PER_BLOCK,
-    block: str | None = None,
+    keep_block: bool = False,
 ) -> DataFrame:
     """Position of each row in its group, from 1.
 
-    ``block`` names a column that keeps the row's block; the result is partitioned by
-    ``keys`` and that column, so a join on them moves no rows.
+    With ``keep_block`` the row's block stays as ``_block``; the result is partitioned by
+    ``keys`` and ``_block``, so a join on them moves no rows.
     """
-    return running_sum(df, keys, order, F.lit(1), out, span, block)
+    return running_sum(df, keys, order, F.lit(1), out, span, keep_block)
 
 
 def previous_value(
@@ -165,4 +163,4 @@ def previous_value(
         .withColumn("_seed", F.lit(-1))
     )
     before = F.lag("_value").over(_in_block(keys, order))["v"]
-    return _scan(rows, seeds, {out: before}, "_value")
+    return _scan(rows, seeds, {out: before}, "_value", "_block")

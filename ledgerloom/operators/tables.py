@@ -54,8 +54,8 @@ def clean_tables(cells: DataFrame, keys: list[str]) -> DataFrame:
         .agg(F.sort_array(F.collect_set("col_no")).alias("columns"), *_block_range())
     )
     return (
-        row_numbers(rows, keys, ["row_no"], "n", _ROW_SPAN, "block")
-        .join(_in_every_block(columns), [*keys, "block"])
+        row_numbers(rows, keys, ["row_no"], "n", _ROW_SPAN, keep_block=True)
+        .join(_in_every_block(columns), [*keys, "_block"])
         .select(
             *keys,
             (F.col("n") - 1).alias("row_no"),
@@ -65,16 +65,17 @@ def clean_tables(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _block() -> Column:
-    return block_of(F.col("row_no"), _ROW_SPAN).alias("block")
+    return block_of(F.col("row_no"), _ROW_SPAN).alias("_block")
 
 
 def _block_range() -> list[Column]:
-    return [F.min("block").alias("first_block"), F.max("block").alias("last_block")]
+    return [F.min("_block").alias("first_block"), F.max("_block").alias("last_block")]
 
 
 def _in_every_block(tables: DataFrame) -> DataFrame:
     """Repeat a table's record for each block of its rows, so that long tables join in many tasks."""
-    return tables.withColumn("block", F.explode(F.sequence("first_block", "last_block"))).drop("first_block", "last_block")
+    blocks = F.explode(F.sequence("first_block", "last_block"))
+    return tables.withColumn("_block", blocks).drop("first_block", "last_block")
 
 
 def _filled(values: Column) -> Column:
@@ -253,7 +254,7 @@ def text_to_columns(rows: DataFrame, keys: list[str], pattern: str = COLUMN_GAP_
     """Split single-column rows at gaps, padded to the table's widest row."""
     parts = rows.select(*keys, "row_no", _block(), F.split(strip(F.coalesce("value", F.lit(""))), pattern).alias("parts"))
     width = parts.groupBy(*keys).agg(F.max(F.size("parts")).alias("width"), *_block_range())
-    return parts.join(_in_every_block(width), [*keys, "block"]).select(
+    return parts.join(_in_every_block(width), [*keys, "_block"]).select(
         *keys,
         "row_no",
         F.concat("parts", F.array_repeat(F.lit(""), F.col("width") - F.size("parts"))).alias("values"),

@@ -36,7 +36,12 @@ ORDER = {
         F.desc_nulls_last("fy"),
         *_asc("agency_code", "org_code", "cbid", "benefit_id", "benefit_name"),
     ],
-    "rollforward_position": lambda: [F.col("ueid").asc_nulls_last(), F.desc_nulls_last("fy")],
+    # The columns after the year only let the sort divide an employee with many rows.
+    "rollforward_position": lambda: [
+        *_asc("ueid"),
+        F.desc_nulls_last("fy"),
+        *_asc("position_number", "benefit_id", "benefit_name", "department_name", "base_pay", "hourly_rate"),
+    ],
 }
 
 
