@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_ROW_LIMIT
-
 SALTS = 16
 
+# Rows times columns up to which a lookup is broadcast.
+BROADCAST_VALUES = 1_000_000
+
 
 def salted_join(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
     """Join with every key spread over ``salts`` tasks, however many rows share it.
@@ -21,11 +22,9 @@ def salted_join(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str =
     return dealt.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
-def lookup_join(
-    rows: DataFrame, staged_lookup: DataFrame, keys: list[str], limit: int = BROADCAST_ROW_LIMIT
-) -> DataFrame:
-    """Inner join with a staged lookup: broadcast up to ``limit`` counted rows, salted beyond."""
-    if staged_lookup.count() <= limit:
+def lookup_join(rows: DataFrame, staged_lookup: DataFrame, keys: list[str], limit: int = BROADCAST_VALUES) -> DataFrame:
+    """Inner join with a staged lookup: broadcast up to ``limit`` counted values, salted beyond."""
+    if staged_lookup.count() * len(staged_lookup.columns) <= limit:
         return rows.join(F.broadcast(staged_lookup), keys)
     return salted_join(rows, staged_lookup, keys)
 

@@ -92,20 +92,10 @@ def header_groups(
     return _groups(_numbered_bands(_header_spots(header_words(words, years), tolerance), tolerance), page_height)
 
 
-def matched_columns(
-    words: DataFrame,
-    years: tuple[str, ...] = YEARS,
-    tolerance: float = ROW_TOLERANCE,
-    distance: float = VALUE_DISTANCE,
-    page_height: float = PAGE_HEIGHT,
-) -> DataFrame:
-    """Column position of every header: the nearest number below its group, else its own centre.
-
-    Only the nearest number to the left and to the right can win, so headers and numbers
-    are merged in x order and filled from both sides; no header meets more than two
-    numbers. Among equally near numbers the first in reading order (top, then x) wins.
-    Groups without any number below give no rows.
-    """
+def _match(
+    words: DataFrame, years: tuple[str, ...], tolerance: float, distance: float, page_height: float
+) -> tuple[DataFrame, DataFrame]:
+    """Header groups and the column position of every header; header places are found once."""
     places = stage(_header_spots(header_words(words, years), tolerance, "x0", "x1"), "header-places")
     bands = _numbered_bands(places, tolerance)
     groups = _groups(bands, page_height)
@@ -141,7 +131,7 @@ def matched_columns(
             x.isNotNull(), F.struct(F.abs(x - F.col("x0")).alias("dist"), top.alias("top"), x.alias("x0"))
         )
 
-    return (
+    matched = (
         both.filter("is_header = 1")
         .withColumn("near", F.least(candidate("before"), candidate("after")))
         .filter("near is not null")
@@ -154,22 +144,44 @@ def matched_columns(
             .alias("column_x"),
         )
     )
+    return groups, matched
+
+
+def matched_columns(
+    words: DataFrame,
+    years: tuple[str, ...] = YEARS,
+    tolerance: float = ROW_TOLERANCE,
+    distance: float = VALUE_DISTANCE,
+    page_height: float = PAGE_HEIGHT,
+) -> DataFrame:
+    """Column position of every header: the nearest number below its group, else its own centre.
+
+    Only the nearest number to the left and to the right can win, so headers and numbers
+    are merged in x order and filled from both sides; no header meets more than two
+    numbers. Among equally near numbers the first in reading order (top, then x) wins.
+    Groups without any number below give no rows.
+    """
+    return _match(words, years, tolerance, distance, page_height)[1]
 
 
 def column_areas(
-    words: DataFrame, page_width: float = PAGE_WIDTH, page_height: float = PAGE_HEIGHT, **options
+    words: DataFrame,
+    years: tuple[str, ...] = YEARS,
+    tolerance: float = ROW_TOLERANCE,
+    distance: float = VALUE_DISTANCE,
+    page_width: float = PAGE_WIDTH,
+    page_height: float = PAGE_HEIGHT,
 ) -> DataFrame:
     """Columns and bounds of each header group's table, heights measured from the page bottom."""
+    groups, matched = _match(words, years, tolerance, distance, page_height)
     columns = (
-        matched_columns(words, page_height=page_height, **options)
-        .select(*GROUP, F.round("column_x", 2).alias("x"))
+        matched.select(*GROUP, F.round("column_x", 2).alias("x"))
         .groupBy(*GROUP)
         .agg(F.sort_array(F.collect_set("x")).alias("columns"))
     )
-    group_options = {k: v for k, v in options.items() if k != "distance"}
     upper = page_height - (F.col("hdr_top") - TOP_PADDING)
     lower = page_height - (F.col("next_top") - BOTTOM_PADDING)
-    return header_groups(words, page_height=page_height, **group_options).join(columns, GROUP).select(
+    return groups.join(columns, GROUP).select(
         *GROUP,
         "columns",
         F.greatest(F.lit(0.0), F.element_at("columns", 1) - X_MARGIN).alias("left"),

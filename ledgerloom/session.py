@@ -1,4 +1,4 @@
-"""Session helpers: the shared folder and size-checked broadcasts."""
+"""The shared folder and tables staged in it."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-BROADCAST_ROW_LIMIT = 200_000
-
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder that every executor can reach, as named by ``spark.checkpoint.dir``.

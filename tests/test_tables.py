@@ -111,7 +111,7 @@ def test_near_duplicates_of_nothing(frame):
     assert T.near_duplicates_dropped(df, ["p"], "n", "v").count() == 0
 
 
-def test_pipeline_with_vectors(frame):
+def test_document_with_vectors(frame):
     wide = [["Fund x", "1", "2"], ["Fund y", "3", "4"], ["Fund z", "5", "6"]]
     third = [["Fund k", "7"], *GOOD]
     df = cells(frame, (1, 1, 1, 0, GOOD), (1, 1, 2, 0, wide), (1, 2, 1, 0, third), (1, 2, 2, 0, [["1", "2"]]))
