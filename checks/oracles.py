@@ -278,10 +278,15 @@ from ended left join moved using (fy, ueid, benefit_id) group by all"""),
         "r8_rollforward_position": position(),
         "r8_one_year": position("and fy = '1997-1998'"),
         "fiscal_year": _ledger("""
-select ueid, leave_period, fy, left(leave_period, 4) || '-' || (left(leave_period, 4)::int + 1) as label_fy,
-  leave_period || '-01' as period_date, full_no as full_position_number, left(full_no, 3) as agency_code,
-  left(position_number, 3) as raw_agency_code, lpad(org_code, 4, '0') as org_code
+select ueid, leave_period, fy, left(leave_period, 4) || '-' || (left(leave_period, 4)::int + 1) as label_fy
 from base"""),
+        "full_position": _ledger(f"""
+select position_number, full_no as full_position_number, left(full_no, 3) as agency_code,
+  left(position_number, 3) as raw_agency_code, lpad(org_code, 4, '0') as org_code,
+  left(full_no, 3) not in ({_EXCLUDED}) as reported
+from base"""),
+        "period_date": _with("ledger", """
+select leave_period, strftime(strptime(leave_period || '-01', '%Y-%m-%d'), '%Y-%m-%d') as period_date from ledger"""),
         "measures": _ledger(f"""
 select ueid, leave_period, {_BEGIN.format(end="b")} as beginning_balance, b * r as liability,
   round(b / 8 * 4) / 4 as quarter_hours, round(b / nullif(m, 0) * 100) / 100 as ratio,

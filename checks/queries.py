@@ -38,18 +38,28 @@ def _joined(column: str, as_text: bool = False):
     return F.array_join(c, "|").alias(column)
 
 
-def _functions(ledger: DataFrame) -> DataFrame:
-    period, position = F.col("leave_period"), F.col("position_number")
+def _fiscal_year(ledger: DataFrame) -> DataFrame:
+    period = F.col("leave_period")
     return ledger.select(
-        "ueid",
-        "leave_period",
-        L.fiscal_year(period).alias("fy"),
-        L.fiscal_year_from_label(period).alias("label_fy"),
-        F.date_format(L.period_date(period), "yyyy-MM-dd").alias("period_date"),
+        "ueid", "leave_period", L.fiscal_year(period).alias("fy"), L.fiscal_year_from_label(period).alias("label_fy")
+    )
+
+
+def _full_position(ledger: DataFrame) -> DataFrame:
+    position = F.col("position_number")
+    return ledger.select(
+        "position_number",
         L.full_position_number(position).alias("full_position_number"),
         L.agency_code(position).alias("agency_code"),
         L.agency_code(position, padded=False).alias("raw_agency_code"),
         L.org_code_display(F.col("org_code")).alias("org_code"),
+        filters.reported_agency(position).alias("reported"),
+    )
+
+
+def _period_date(ledger: DataFrame) -> DataFrame:
+    return ledger.select(
+        "leave_period", F.date_format(L.period_date(F.col("leave_period")), "yyyy-MM-dd").alias("period_date")
     )
 
 
@@ -179,7 +189,9 @@ def queries() -> dict[str, Query]:
         "r8_rollforward_position": _on("ledger", reports.rollforward_position),
         "r8_one_year": _on("ledger", lambda df: reports.rollforward_position(df, fy="1997-1998")),
         # Functions, filters and building blocks of the ledger
-        "fiscal_year": _on("ledger", _functions),
+        "fiscal_year": _on("ledger", _fiscal_year),
+        "full_position": _on("ledger", _full_position),
+        "period_date": _on("ledger", _period_date),
         "measures": _on("ledger", _measures),
         "yearly_activity": _on_years(lambda df: A.yearly_activity(df, "ueid", "benefit_id")),
         "june_endings": _on_years(A.june_endings),

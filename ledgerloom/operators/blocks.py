@@ -68,14 +68,18 @@ def forward_fill(
 
 
 def nearest_both_ways(
-    df: DataFrame, keys: list[str], order: list[str], columns: list[str], span: float = ROWS_PER_BLOCK
+    df: DataFrame, keys: list[str], order: list[str], columns: list[str], span: float | None = ROWS_PER_BLOCK
 ) -> DataFrame:
     """``columns`` of the nearest filled row at or before, and at or after, each row of its group.
 
     They come as ``before_…`` and ``after_…``. A row is filled when the first of
-    ``columns`` is not NULL; filled rows differ in ``order[0]``.
+    ``columns`` is not NULL; filled rows differ in ``order[0]``. Without ``span`` a group
+    is one block, for groups whose length was checked.
     """
     fills = [f"_fill_{c}" for c in columns]
+    if span is None:
+        rows = df.withColumns({"_block": F.lit(0), "_seed": F.lit(0)})
+        return rows.withColumns(_both_fills(keys, order, columns, columns)).drop("_block", "_seed")
     rows = _blocked(df, order, span).withColumns({f: F.col(c) for f, c in zip(fills, columns)})
     position = F.when(F.col(columns[0]).isNotNull(), F.col(order[0]))
     first, last = [f"first{f}" for f in fills], [f"last{f}" for f in fills]
@@ -102,14 +106,20 @@ def nearest_both_ways(
             )
         ),
     ).filter(F.col(fills[0]).isNotNull())
-    # Both directions run up to the current row; a frame from there to the end is quadratic.
-    backwards = Window.partitionBy(*keys, "_block").orderBy(F.desc("_seed"), *[F.desc(c) for c in order])
+    return _scan(rows, seeds, _both_fills(keys, order, columns, fills), *fills, "_block")
+
+
+def _both_fills(keys: list[str], order: list[str], columns: list[str], fills: list[str]) -> dict[str, Column]:
+    """Both directions run up to the current row; a frame from there to the end is quadratic."""
+    forwards = _up_to_here(_in_block(keys, order))
+    backwards = _up_to_here(
+        Window.partitionBy(*keys, "_block").orderBy(F.desc("_seed"), *[F.desc(c) for c in order])
+    )
     values = {}
     for f, c in zip(fills, columns):
-        fill = F.last(f, ignorenulls=True)
-        values[f"before_{c}"] = fill.over(_up_to_here(_in_block(keys, order)))
-        values[f"after_{c}"] = fill.over(_up_to_here(backwards))
-    return _scan(rows, seeds, values, *fills, "_block")
+        values[f"before_{c}"] = F.last(f, ignorenulls=True).over(forwards)
+        values[f"after_{c}"] = F.last(f, ignorenulls=True).over(backwards)
+    return values
 
 
 def running_sum(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from .blocks import forward_fill
+from .skew import salted_join
 
 # Rows above the heading, marks of a side, replacement of a missing account.
 HEADER_ROWS = 8
@@ -45,7 +46,7 @@ def journal_rows(cells: DataFrame, header_row: int = HEADER_ROWS + 1) -> DataFra
     names = cells.filter(F.col("rw") == header_row).select(
         "file", "sheet", "cl", F.replace("val", F.lit("_"), F.lit(" ")).alias("name")
     )
-    named = cells.filter(F.col("rw") > header_row).join(names, ["file", "sheet", "cl"])
+    named = salted_join(cells.filter(F.col("rw") > header_row), names, ["file", "sheet", "cl"])
 
     def cell(name: str) -> Column:
         return F.max(F.when(F.col("name") == name, F.col("val")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 16
@@ -22,11 +22,20 @@ def salted_join(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str =
     return dealt.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
-def lookup_join(rows: DataFrame, staged_lookup: DataFrame, keys: list[str], limit: int = BROADCAST_VALUES) -> DataFrame:
-    """Inner join with a staged lookup: broadcast up to ``limit`` counted values, salted beyond."""
-    if staged_lookup.count() * len(staged_lookup.columns) <= limit:
-        return rows.join(F.broadcast(staged_lookup), keys)
-    return salted_join(rows, staged_lookup, keys)
+def lookup_join(
+    rows: DataFrame,
+    staged_lookup: DataFrame,
+    keys: list[str],
+    values: Column | None = None,
+    limit: int = BROADCAST_VALUES,
+) -> DataFrame:
+    """Inner join with a staged lookup: broadcast up to ``limit`` counted values, salted beyond.
+
+    ``values`` is how many values a lookup row holds, if not just one per column.
+    """
+    per_row = F.lit(len(staged_lookup.columns)) if values is None else values
+    counted = staged_lookup.agg(F.sum(per_row)).first()[0] or 0
+    return rows.join(F.broadcast(staged_lookup), keys) if counted <= limit else salted_join(rows, staged_lookup, keys)
 
 
 def join_by_block(rows: DataFrame, tables: DataFrame, keys: list[str], span: int) -> DataFrame:

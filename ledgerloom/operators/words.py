@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import strip
 from ..session import stage
 from .blocks import nearest_both_ways
-from .skew import salted_join
+from .skew import lookup_join
 
 # Year headers, the numeric pattern, and distances in points.
 YEARS = ("2023-24", "2024-25", "2025-26")
@@ -26,7 +26,8 @@ LINE_HEIGHT = 3
 POINTS_PER_SPACE = 10
 PAGE_WIDTH, PAGE_HEIGHT = 612.0, 792.0
 
-# Width of the vertical bands that the nearest-number search is spread over.
+# Positions per header group above which the nearest-number search is spread over bands of this width.
+_LONG_GROUP = 200_000
 _X_BAND = 0.5
 
 PAGE = ["doc", "page"]
@@ -103,10 +104,12 @@ def _match(
         places.join(bands.select(*PAGE, "band", "grp"), [*PAGE, "band"]).select(*GROUP, "x0", "x1").distinct()
     )
     # Groups of a page are at least a tolerance apart, so this array is as short as a page is high.
-    bottoms = groups.groupBy(*PAGE).agg(F.collect_list(F.struct("grp", "hdr_bottom")).alias("groups"))
+    bottoms = stage(
+        groups.groupBy(*PAGE).agg(F.collect_list(F.struct("grp", "hdr_bottom")).alias("groups")), "header-bottoms"
+    )
     numbers = number_words(words).select(*PAGE, "x0", "top")
     numbers = (
-        salted_join(numbers, bottoms, PAGE)
+        lookup_join(numbers, bottoms, PAGE, values=2 * F.size("groups") + 2)
         .select(
             *PAGE,
             "x0",
@@ -123,7 +126,9 @@ def _match(
         ),
         "merged-columns",
     )
-    both = nearest_both_ways(merged, GROUP, ["x0", "is_header"], ["number_x", "number_top"], _X_BAND)
+    longest = merged.groupBy(*GROUP).count().agg(F.max("count")).first()[0] or 0
+    band = _X_BAND if longest > _LONG_GROUP else None
+    both = nearest_both_ways(merged, GROUP, ["x0", "is_header"], ["number_x", "number_top"], band)
 
     def candidate(side: str) -> Column:
         x, top = F.col(f"{side}_number_x"), F.col(f"{side}_number_top")

@@ -106,7 +106,7 @@ def read_tables(lines: DataFrame, header_row: int = HEADER_ROW) -> DataFrame:
 
 
 def has_value(columns: Iterable[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.col(f"`{c}`").isNotNull() for c in columns])
+    return reduce(lambda a, b: a | b, [F.col(f"`{c}`").isNotNull() for c in columns], F.lit(False))
 
 
 def _data_columns(rows: DataFrame) -> list[str]:
@@ -142,7 +142,7 @@ def ingest(
     """Imported rows and their audit. Files without data rows are audited with zero rows."""
     lines = file_lines(spark, path, pattern)
     rows = read_tables(lines, header_row)
-    files = list_files(spark, path, pattern).select("file_name")
+    files = list_files(spark, path, pattern, recursive=False).select("file_name")
     audit = files.join(import_audit(rows), "file_name", "left").na.fill(0)
     return drop_empty_rows(rows), audit
 

@@ -48,14 +48,15 @@ def test_forward_fill(df, data):
     assert found == expected and expected_null_group < expected
 
 
-def test_nearest_both_ways(df, data):
+@pytest.mark.parametrize("span", [SPAN, None])
+def test_nearest_both_ways(df, data, span):
     expected = set()
     for k, rows in groups(data).items():
         for n, _ in rows:
             before = [v for m, v in rows if m <= n and v is not None]
             after = [v for m, v in rows if m >= n and v is not None]
             expected.add((k, n, before[-1] if before else None, after[0] if after else None))
-    found = as_set(B.nearest_both_ways(df, ["k"], ["n"], ["v"], SPAN), "k", "n", "before_v", "after_v")
+    found = as_set(B.nearest_both_ways(df, ["k"], ["n"], ["v"], span), "k", "n", "before_v", "after_v")
     assert found == expected
 
 

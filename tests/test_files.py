@@ -60,6 +60,13 @@ def test_blank_and_repeated_headings(spark, tmp_path):
     assert rows(imported) == [("1", "2", "3", "4", "5", "a.csv")]
 
 
+def test_ingest_of_no_files(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "a.csv").write_text("\n".join([*TITLE, "A", "1", ""]))
+    imported, audit = ingest.ingest(spark, str(tmp_path))
+    assert imported.count() == audit.count() == 0
+
+
 def test_combine_frames(frame):
     united = ingest.combine_frames({"s1": frame("a int", (1,)), "s2": frame("b int, a int", (2, 3))})
     assert united.columns == ["SourceSheet", "a", "b"]

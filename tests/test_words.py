@@ -69,7 +69,9 @@ def test_matched_columns_need_a_number_below(frame):
     assert W.matched_columns(frame(WORDS, word(0, 10, "2023-24"), word(0, 15, "1"))).count() == 0
 
 
-def test_matched_columns_against_brute_force_on_one_hot_page(frame):
+@pytest.mark.parametrize("long_group", [0, 200_000])
+def test_matched_columns_against_brute_force_on_one_hot_page(frame, monkeypatch, long_group):
+    monkeypatch.setattr(W, "_LONG_GROUP", long_group)
     rng = random.Random(5)
     page = [word(rng.randrange(0, 6000) / 10, rng.choice([10, 14, 200, 400]), "2024-25") for _ in range(60)]
     page += [word(rng.randrange(0, 6000) / 10, rng.randrange(0, 780), "$1") for _ in range(150)]
