@@ -210,6 +210,14 @@ walk as (
 ) --main
 select page, ord from walk where keep""")
 
+    liability = _ledger(f"""
+employees as (
+  select fy, ueid, left(full_no, 3) as agency, org_code, sum(b) as hours, sum(b * r) as owed
+  from base where june and {_REPORTED} group by all
+) --main
+select fy, lpad(raw_org, 4, '0') as org_code, round(hours * 4) / 4 as total_hours,
+  round(owed / nullif(hours, 0) * 100) / 100 as weighted_avg_hourly_rate
+from (select fy, org_code as raw_org, sum(hours) as hours, sum(owed) as owed from employees group by all)""")
     quarter = "round(sum({}) * 4) / 4"
     return {
         "r1_headcount": _ledger("""
@@ -252,14 +260,7 @@ select fy, lpad(raw_org, 4, '0') as org_code, * exclude (fy, raw_org) from (
     {quarter.format("e")} as total_earned, {quarter.format("u")} as total_used,
     {quarter.format("m")} as total_misc, {quarter.format("b")} as ending_balance
   from moved where n > 0 group by all)"""),
-        "r5_liability": _ledger(f"""
-employees as (
-  select fy, ueid, left(full_no, 3) as agency, org_code, sum(b) as hours, sum(b * r) as owed
-  from base where june and {_REPORTED} group by all
-) --main
-select fy, lpad(raw_org, 4, '0') as org_code, round(hours * 4) / 4 as total_hours,
-  round(owed / nullif(hours, 0) * 100) / 100 as weighted_avg_hourly_rate
-from (select fy, org_code as raw_org, sum(hours) as hours, sum(owed) as owed from employees group by all)"""),
+        "r5_liability": liability,
         "r6_pay_rates": _ledger("""
 select fy, agency_code, org_code, avg(hourly_rate::double) as avg_pay_rate from (
   select distinct fy, left(full_no, 3) as agency_code, org_code, ueid, hourly_rate
@@ -359,6 +360,13 @@ union all select 'supplier', s_name, null, s_nationkey from supplier""",
         "part_numbers": f"""
 select o_orderkey, o_totalprice, n as row_no, (n - 1) // {PART_ROWS} + 1 as part
 from (select *, row_number() over (order by o_totalprice desc, o_orderkey) as n from orders)""",
+        "csv_parts": f"""
+select o_orderkey::varchar as o_orderkey, o_orderpriority, o_orderstatus,
+  case when total <= {PART_ROWS} then 'orders.csv'
+       else 'orders_pt' || ((n - 1) // {PART_ROWS} + 1) || '.csv' end as source_file
+from (select *, row_number() over (order by o_orderkey desc) as n, count(*) over () as total from orders)
+""",
+        "ledger_table": liability,
         "sheet_catalogue": _with("catalogue", """
 select distinct sheet_name, filename, filename || '|||' || sheet_name || '$''' as filepath from catalogue"""),
         "lessee_subsets": _with("catalogue", """

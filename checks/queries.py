@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,8 @@ from ledgerloom.functions.text import agency_from_file, safe_sheet_name
 from ledgerloom.operators import filters, journal, page_json, tables, words, workbook
 from ledgerloom.operators import ledger as A
 from ledgerloom.plans import page_tables, reports
+from ledgerloom.schema import with_numeric_measures
+from ledgerloom.session import shared_folder
 from ledgerloom.sources import ingest, sinks, text_files
 
 from .views import spark_view
@@ -148,6 +151,21 @@ def _part_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.part_numbers(orders, [F.desc("o_totalprice"), F.asc("o_orderkey")], PART_ROWS)
 
 
+def _csv_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written as filled CSV parts and read back as text."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    folder = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    sinks.write_parts(orders, f"{folder}/orders.csv", [F.desc("o_orderkey")], PART_ROWS)
+    return text_files.read_text_csv(spark, folder, lineage=True)
+
+
+def _ledger_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger saved as a table by month and read back for one report."""
+    ledger = with_numeric_measures(spark_view(spark, sf_dir, "ledger"))
+    saved = sinks.save_table(ledger, f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}")
+    return reports.liability(saved)
+
+
 def _page_tables(cells: DataFrame) -> DataFrame:
     return page_tables.document_tables(cells).select("doc", "row_no", _joined("values"))
 
@@ -213,6 +231,8 @@ def queries() -> dict[str, Query]:
         "csv_integrity": _on("csv_lines", lambda df: text_files.bad_lines(df, preview=None)),
         "csv_integrity_preview": _on("csv_lines", text_files.bad_lines),
         "part_numbers": _part_numbers,
+        "csv_parts": _csv_parts,
+        "ledger_table": _ledger_table,
         # Workbooks and journals
         "sheet_catalogue": _on("catalogue", workbook.sheet_catalogue),
         "lessee_subsets": _on("catalogue", workbook.lessee_subsets),

@@ -48,6 +48,18 @@ LEDGER = T.StructType([T.StructField(c, T.StringType()) for c in HEADINGS.values
 NON_CLASSIFIED = T.StructType([T.StructField("ueid", T.StringType()), T.StructField("fy", T.StringType())])
 
 
+# Measures; base pay and hourly rate stay text, since reports group by them as written.
+MEASURES = ("leave_earned", "leave_used", "misc_amt", "begin_balance", "end_balance")
+
+
+def with_numeric_measures(ledger: DataFrame) -> DataFrame:
+    """Measures as numbers, so that a saved ledger is not parsed again by every report.
+
+    Text that is no number raises under ANSI mode.
+    """
+    return ledger.withColumns({c: ledger[c].cast("double") for c in MEASURES if c in ledger.columns})
+
+
 def with_canonical_names(df: DataFrame) -> DataFrame:
     """Rename known headings; other columns keep their names."""
     return df.withColumnsRenamed({h: c for h, c in HEADINGS.items() if h in df.columns})

@@ -15,6 +15,11 @@ from ..session import stage
 LINEAGE = "source_file"
 
 
+def source_file() -> Column:
+    """Name of a row's file; it comes URL-encoded, except that a plus sign stands for itself."""
+    return F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B")))
+
+
 def file_lines(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
     """Lines of all matching files: ``source_file, block, seq, value``.
 
@@ -25,8 +30,7 @@ def file_lines(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFr
         spark.read.option("pathGlobFilter", pattern)
         .text(path)
         .select(
-            # The name comes URL-encoded, except that a plus sign stands for itself.
-            F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B"))).alias(LINEAGE),
+            source_file().alias(LINEAGE),
             F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("seq"),
             "value",

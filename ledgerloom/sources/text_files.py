@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..schema import EXPECTED_COMMAS, MAX_PREVIEW_LINES, MAX_SOURCE_FILE_LENGTH
-from .ingest import LINEAGE, file_lines
+from .ingest import LINEAGE, file_lines, source_file
 
 
-def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Every column as text, nothing inferred; empty fields, quoted or not, are NULL."""
+def read_text_csv(spark: SparkSession, path: str, lineage: bool = False) -> DataFrame:
+    """Every column as text, nothing inferred; empty fields, quoted or not, are NULL.
+
+    ``lineage`` adds the name of each row's file.
+    """
     df = spark.read.csv(path, header=True, inferSchema=False, escape='"')
-    return df.select(*[F.nullif(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns])
+    columns = [F.nullif(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns]
+    return df.select(*columns, *([source_file().alias(LINEAGE)] if lineage else []))
 
 
 def inspect_header(spark: SparkSession, path: str) -> tuple[int, list[str]]:

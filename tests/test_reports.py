@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import ledger as A
 from ledgerloom.plans import reports
-from ledgerloom.schema import LEDGER
+from ledgerloom.schema import LEDGER, with_numeric_measures
 from tests.conftest import rows
 
 DEFAULTS = {
@@ -168,6 +168,15 @@ def test_columns_are_named_alike(ledger):
     ]
 
 
+@pytest.mark.parametrize("report", [reports.earned_used, reports.liability, reports.rollforward_agency, reports.rollforward_position])
+def test_numeric_measures_change_no_report(ledger, report):
+    df = ledger(
+        {"leave_period": "2023-09", "leave_earned": "4.25", "misc_amt": "-1"}, {"end_balance": "10.5", "hourly_rate": "12.5"},
+        {"ueid": "E2", "end_balance": None},
+    )
+    assert rows(report(with_numeric_measures(df))) == rows(report(df))
+
+
 def test_order_puts_late_years_first(ledger):
     df = ledger({}, {"leave_period": "2023-06"}, {"org_code": "90"}).withColumn("end_balance", F.lit("1"))
     found = [(r.fy, r.org_code) for r in reports.earned_used(df).collect()]
