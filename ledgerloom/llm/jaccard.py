@@ -66,6 +66,17 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1 if n else 0
 
 
+def bitmap(own: np.ndarray) -> np.ndarray:
+    """A bit for each of at least as many hash classes as the set has shingles, in 64-bit words.
+
+    Classes are a power of two, so a map of twice the size folds onto it by OR of its halves.
+    """
+    size = max(64, 1 << int(max(len(own), 1) - 1).bit_length())
+    there = np.zeros(size, bool)
+    there[(own & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(there, bitorder="little").view(np.uint64)
+
+
 def _lists(values: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
     flat = np.concatenate(values) if values else np.zeros(0, np.uint64)
@@ -76,9 +87,11 @@ def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int, common
     """A set's first shingles: rare ones by hash, then common ones. ``common``: hashes, by hash; ranks."""
     hashes, ranks = common
     for batch in batches:
-        out, sums = [], []
+        out, sums, maps, sizes = [], [], [], []
         for _, _, own in texts_of_words(batch.column(1), size):
             sums.append(int(own.sum(dtype=np.uint64).view(np.int64)))
+            maps.append(bitmap(own))
+            sizes.append(len(own))
             length = prefix_length(len(own), percent)
             if len(hashes) and length:
                 at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
@@ -86,7 +99,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int, common
                 last = own[known][np.argsort(ranks[at[known]], kind="stable")]
                 own = np.concatenate([own[~known], last])
             out.append(own[:length])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.int64()), _lists(out)], ["doc_id", "d1", "prefix"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.int64()), _lists(out), _lists(maps), pa.array(sizes, pa.int64())], ["doc_id", "d1", "prefix", "bits", "n"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -96,6 +109,23 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
         )
 
 
+def _may_be_near(percent: int) -> str:
+    """Whether the bitmaps ma and mb of sets with na and nb shingles leave room for the similarity.
+
+    Every class that only one of the sets has stands for a shingle that only this set has, and
+    linked sets differ in at most (na + nb) (1 - t) / (1 + t) shingles.
+    """
+
+    def folded(x: str, y: str) -> str:
+        half = f"size({y})"
+        both = f"zip_with(slice({x}, 1, {half}), slice({x}, {half} + 1, {half}), (p, q) -> p | q)"
+        return f"if(size({x}) = 2 * {half}, {both}, {x})"
+
+    apart = f"zip_with({folded('ma', 'mb')}, {folded('mb', 'ma')}, (p, q) -> bit_count(p ^ q))"
+    # Maps of other sizes than these would give null words.
+    return f"coalesce(aggregate({apart}, 0, (s, v) -> s + v) * {100 + percent} <= (na + nb) * {100 - percent}, true)"
+
+
 def small(table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A staged table, marked for broadcast only up to ``limit`` counted rows."""
     return F.broadcast(table) if table.count() <= limit else table
@@ -111,6 +141,7 @@ def ngram_jaccard(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, b
     distances to them, skip pairs that the triangle inequality rules out and recurse without
     the pivot (``regions.linked_components``). Common shingles come last in the order, so
     passages in many documents make no regions; what counts as common changes cost only.
+    Before whole sets are fetched, a bitmap of each set rules out pairs that differ too much.
 
     Takes doc_id and text; returns (doc_id, n_shingles, component_id), a row per input row.
     Null and empty texts have no shingles and are alone; a null doc_id gets a row and a null
@@ -135,7 +166,7 @@ def ngram_jaccard(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, b
 
     named = docs.where("doc_id is not null")
     prefixes = named.mapInArrow(
-        lambda b: _prefixes(b, words, percent, common.value), "doc_id long, d1 long, prefix array<long>"
+        lambda b: _prefixes(b, words, percent, common.value), "doc_id long, d1 long, prefix array<long>, bits array<long>, n long"
     )
     prefixes = stage(prefixes.where("size(prefix) > 0"), "prefixes")
     rows = prefixes.select("doc_id", "d1", F.explode("prefix").alias("bucket"))
@@ -148,16 +179,23 @@ def ngram_jaccard(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, b
     members = stage(members, "members")
 
     wanted = stage(members.select("id").distinct(), "wanted")
-    texts = named.join(small(wanted, broadcast_rows), named["doc_id"] == wanted["id"], "left_semi")
-    sets = texts.mapInArrow(lambda b: _sets(b, words), "id long, hashes array<long>")
-    sets = stage(sets, "sets")
+    maps = prefixes.join(small(wanted, broadcast_rows), prefixes["doc_id"] == wanted["id"], "left_semi")
+    maps = stage(maps.groupBy(F.col("doc_id").alias("id")).agg(F.min("bits").alias("bits"), F.min("n").alias("n")), "bitmaps")
 
     def measure(pairs: DataFrame) -> DataFrame:
+        pairs = stage(pairs, "pairs")
+        a, b = maps.toDF("a", "ma", "na"), maps.toDF("b", "mb", "nb")
+        near = stage(pairs.join(a, "a").join(b, "b").where(_may_be_near(percent)).select("a", "b"), "near-pairs")
+        ids = stage(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-ids")
+        texts = named.join(small(ids, broadcast_rows), named["doc_id"] == ids["id"], "left_semi")
+        sets = stage(texts.mapInArrow(lambda t: _sets(t, words), "id long, hashes array<long>"), "sets")
         a, b = sets.toDF("a", "sa"), sets.toDF("b", "sb")
-        both = pairs.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
+        both = near.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
         both = both.withColumn("union", F.size("sa") + F.size("sb") - F.col("common"))
         dist = (1 - F.col("common") / F.col("union")).alias("dist")
-        return both.select("a", "b", dist, (100 * F.col("common") >= percent * F.col("union")).alias("linked"))
+        exact = both.select("a", "b", dist, (100 * F.col("common") >= percent * F.col("union")).alias("linked"))
+        far = pairs.join(near, ["a", "b"], "left_anti")
+        return exact.unionByName(far.select("a", "b", F.lit(None).cast("double").alias("dist"), F.lit(False).alias("linked")))
 
     possible = (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
     comp, _ = linked_components(members, measure, possible, 1 - percent / 100, "regions")
