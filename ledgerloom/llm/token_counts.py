@@ -72,7 +72,9 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(8)) == 0).select("text").limit(SAMPLE_ROWS)
+    # take() reads no more partitions than it needs for the sample.
+    taken = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(8)) == 0).select("text").take(SAMPLE_ROWS)
+    some = spark.createDataFrame(taken, "text string").repartition(8)
     found = some.mapInArrow(lambda b: _sampled(b, path), "chunk string, times long, length long")
     found = found.groupBy("chunk").agg(F.sum("times").alias("times"), F.max("length").alias("length"))
     top = found.orderBy(F.desc("times"), "chunk").limit(FREQUENT).collect()
