@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from ledgerloom.session import shared_folder, stage
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# Without file preallocation: a store of few keys then takes kilobytes, not megabytes.
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 BROADCAST_ROWS = 1_000_000
 
 
@@ -63,8 +66,9 @@ def keyed_state(spark: SparkSession, path: str, digest: Callable[[Column], Colum
     order = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "at")
     state = rows.groupBy("digest").agg(F.max(order).alias("keep"), F.count("*").alias("n"))
     folder = f"{shared_folder(spark)}/dedup-state-{uuid.uuid4().hex}"
-    before = spark.conf.get(_PROVIDER)
-    spark.conf.set(_PROVIDER, _ROCKS)
+    before = {name: spark.conf.get(name, None) for name in _STATE}
+    for name, value in _STATE.items():
+        spark.conf.set(name, value)
     try:
         running = (
             state.writeStream.outputMode("update").format("noop").option("checkpointLocation", folder)
@@ -76,7 +80,8 @@ def keyed_state(spark: SparkSession, path: str, digest: Callable[[Column], Colum
         held = held.select("key.digest", F.col(f"value.`{names[0]}`").alias("keep"), F.col(f"value.`{names[1]}`").alias("n"))
         return stage(held, "dedup-state")
     finally:
-        spark.conf.set(_PROVIDER, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def exact_dedup(
