@@ -155,10 +155,11 @@ def mixing_rates(
 def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, keep_all: bool = True, steps: int = STEPS) -> DataFrame:
     """The documents, each as often as its copies say, with their columns; nothing is shuffled.
 
-    The fitted rate is an expression over the text, so it is evaluated again beside each row.
+    The fitted rate is an expression over the shares, which are evaluated again beside each row.
     """
     _, names, model, rate = _fitted(docs, labels, targets, keep_all, steps)
     rows = _counted(docs, F.struct(*docs.columns).alias("row"))
-    rows = _memberships(rows, model, names, "row", "_key")
+    # Written once: the optimizer would copy the shares' expressions into every step of the rate.
+    rows = stage(_memberships(rows, model, names, "row", "_key"), "mixing-rows")
     rows = _with_rates(rows, rate).where("copies > 0")
     return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
