@@ -90,7 +90,7 @@ def test_mined_combinations_against_brute_force(spark):
     sets = {r.page_id: set(r.tokens) for r in rows.collect()}
     bad = {r.doc_id for r in labels.where("quality = 0").collect()}
     n, expected = 300, {}
-    for size in range(1, 8):
+    for size in range(1, 9):
         for combo in {c for i in range(n) for c in combinations(sorted(sets[i]), size)}:
             inside = [i for i in range(n) if sets[i].issuperset(combo)]
             hits = sum(i in bad for i in inside)
