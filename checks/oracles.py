@@ -341,9 +341,10 @@ bands as (
 ) --main
 select * from bands left join begins using (fy, ueid, position_number, benefit_id)
   left join ends using (fy, ueid, position_number, benefit_id)"""),
-        "ingest_files": _with("ledger", """
-select source_file, count(*) as row_count, count(distinct ueid) as employees, sum(end_balance::double) as end_balance,
-  sum(case when source_file like '% A.%' then misc_amt::double end) as misc_amt, min(leave_period) as leave_period
+        "ingest_files": _with("ledger", _PER_FILE),
+        "ingest_from_files": _with("ledger", _PER_FILE),
+        "ingest_audit_from_files": _with("ledger", """
+select source_file as file_name, count(*) + 1 as original_row_count, count(*) as imported_row_count
 from ledger group by all"""),
         "ingest_audit": _with("ledger", """
 select source_file as file_name, count(*) as original_row_count,
@@ -460,6 +461,11 @@ from catalogue"""),
     }
 
 
+_PER_FILE = """
+select source_file, count(*) as row_count, count(distinct ueid) as employees, sum(end_balance::double) as end_balance,
+  sum(case when source_file like '% A.%' then misc_amt::double end) as misc_amt, min(leave_period) as leave_period
+from ledger group by all"""
+
 _BAD_LINES = """
 select source_file, line_no, value, problems from (
   select *, concat_ws('; ', case when commas <> 17 then 'Wrong number of columns (' || commas || ' commas)' end,

@@ -24,9 +24,11 @@ def file_lines(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFr
     """Lines of all matching files: ``source_file, block, seq, value``.
 
     ``block`` is where the file split starts and ``seq`` grows along a split, so line
-    order is known without putting a file into one task.
+    order is known without putting a file into one task. Both depend on how a scan deals
+    out the files, so the lines are written once with them, by the only scan of the files;
+    whatever compares tags reads that table. Runs a job when called.
     """
-    return (
+    lines = (
         spark.read.option("pathGlobFilter", pattern)
         .text(path)
         .select(
@@ -36,6 +38,7 @@ def file_lines(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFr
             "value",
         )
     )
+    return stage(lines, "lines")
 
 
 def _unique_names(names: Column) -> Column:
@@ -78,7 +81,8 @@ def read_tables(lines: DataFrame, header_row: int = HEADER_ROW) -> DataFrame:
     """Data rows of all files, united by column name, with their source file.
 
     Columns appear in the order of the files and their headings; a column a file lacks
-    is NULL. Fully empty rows stay, see :func:`drop_empty_rows`.
+    is NULL. Fully empty rows stay, see :func:`drop_empty_rows`. ``lines`` must give a line
+    the same ``block`` and ``seq`` whenever it is read. Runs jobs when called.
     """
     headers = stage(file_headers(lines, header_row).filter("header is not null"), "headers")
     unquoted = F.regexp_replace("header", '"([^"]|"")*"', "")
@@ -143,7 +147,10 @@ def combine_frames(frames: dict[str, DataFrame]) -> DataFrame:
 def ingest(
     spark: SparkSession, path: str, pattern: str = "*.csv", header_row: int = HEADER_ROW
 ) -> tuple[DataFrame, DataFrame]:
-    """Imported rows and their audit. Files without data rows are audited with zero rows."""
+    """Imported rows and their audit. Files without data rows are audited with zero rows.
+
+    The text of the files is read once, when called.
+    """
     lines = file_lines(spark, path, pattern)
     rows = read_tables(lines, header_row)
     files = list_files(spark, path, pattern, recursive=False).select("file_name")

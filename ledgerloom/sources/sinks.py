@@ -100,7 +100,7 @@ def write_parts(
     plain = parts == 1 and not always_suffix
     targets = {n: path if plain else f"{base}_pt{n}.{ext}" for n in range(1, parts + 1)}
     for n, target in targets.items():
-        _publish(df.sparkSession, f"{folder}/part={n}", target)
+        publish(df.sparkSession, f"{folder}/part={n}", target)
     _remove(df.sparkSession, folder)
     return list(targets.values())
 
@@ -135,7 +135,7 @@ def _write_empty(df: DataFrame, path: str) -> str:
     folder = f"{path}.parts"
     empty = df.sparkSession.createDataFrame([], df.schema).repartition(1)
     empty.write.mode("overwrite").options(**_CSV).csv(folder)
-    _publish(df.sparkSession, folder, path)
+    publish(df.sparkSession, folder, path)
     _remove(df.sparkSession, folder)
     return path
 
@@ -145,7 +145,7 @@ def _hadoop_path(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _publish(spark: SparkSession, folder: str, target: str) -> None:
+def publish(spark: SparkSession, folder: str, target: str) -> None:
     """Give the single data file of ``folder`` its final name."""
     source, fs = _hadoop_path(spark, folder)
     final, _ = _hadoop_path(spark, target)

@@ -53,6 +53,29 @@ def test_ingest_of_split_files(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_ingest_survives_another_split_layout(spark, tmp_path):
+    """Splits dealt out another way between planning and running change nothing; the text is scanned once."""
+    for f in range(6):
+        body = [f"E{i},{'x' * 50}" for i in range(300)]
+        (tmp_path / f"m{f}.csv").write_text("\n".join([*TITLE, "UEID,Text", *body]) + "\n")
+    names = ("spark.sql.leafNodeDefaultParallelism", "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    try:
+        for name, value in zip(names, ("2", "1m", "1")):
+            spark.conf.set(name, value)
+        imported, audit = ingest.ingest(spark, str(tmp_path))
+        checked = text_files.check_csv(spark, str(tmp_path), preview=None)
+        for name, value in zip(names, ("40", "4096", "1")):
+            spark.conf.set(name, value)
+        assert imported.count() == imported.where("UEID rlike '^E[0-9]+$'").count() == 1800
+        assert rows(audit) == [(f"m{f}.csv", 300, 300) for f in range(6)]
+        assert checked.groupBy("source_file").agg(F.max("line_no")).distinct().count() == 6
+        for df in (imported, audit):
+            assert "FileScan text" not in df._jdf.queryExecution().toString()
+    finally:
+        for name in names:
+            spark.conf.unset(name)
+
+
 def test_blank_and_repeated_headings(spark, tmp_path):
     (tmp_path / "a.csv").write_text("\n".join([*TITLE, 'A,,A,"b, c",', "1,2,3,4,5", ""]))
     imported, _ = ingest.ingest(spark, str(tmp_path))
