@@ -10,16 +10,19 @@ from ..functions.text import strip
 COLUMNS = ("column_1", "column_2", "column_3", "column_4")
 ROWS = "ARRAY<STRUCT<" + ", ".join(f"{c}: STRING" for c in COLUMNS) + ">>"
 PAGE = f"agency STRING, page INT, rows {ROWS}"
+_STRICT = {"allowSingleQuotes": "false", "allowUnquotedControlChars": "false"}
 
 
 def parse_pages(pages: DataFrame, json: str = "js") -> DataFrame:
-    """Add the parsed page as ``parsed``, NULL where the text is no JSON; the text stays.
+    """Add the parsed page as ``parsed``, NULL where the text is no JSON object; the text stays.
 
     JSON functions stop after the first value, so the text is checked as the only element
-    of an array, where trailing text is an error.
+    of an array, where trailing text is an error. That check allows single quotes and bare
+    control characters; the parse does not, and gives NULL for a malformed array.
     """
-    valid = F.json_array_length(F.concat(F.lit("["), json, F.lit("]"))) == 1
-    return pages.withColumn("parsed", F.when(valid, F.from_json(json, PAGE)))
+    alone = F.concat(F.lit("["), json, F.lit("]"))
+    valid = (F.json_array_length(alone) == 1) & strip(F.col(json)).startswith("{")
+    return pages.withColumn("parsed", F.when(valid, F.get(F.from_json(alone, f"ARRAY<STRUCT<{PAGE}>>", _STRICT), F.lit(0))))
 
 
 def rejected_pages(parsed: DataFrame) -> DataFrame:

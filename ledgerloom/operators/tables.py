@@ -24,8 +24,9 @@ NEAR_DUPLICATE = 0.95
 REVIEW_ROW, REVIEW_COLUMN = 5, 3
 
 # Where single-column texts are split.
-COLUMN_GAP = r"\s{2,}"
-COLUMN_GAP_OR_NUMBER = r"\s{2,}|\s(?=\$?\d)"
+# White space and digits are Unicode's, with the four separators that Java leaves out.
+COLUMN_GAP = r"(?U)[\s\x1c-\x1f]{2,}"
+COLUMN_GAP_OR_NUMBER = r"(?U)[\s\x1c-\x1f]{2,}|[\s\x1c-\x1f](?=\$?\d)"
 
 TABLE = ["doc", "page", "grp"]
 

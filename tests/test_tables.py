@@ -142,3 +142,12 @@ def test_text_to_columns(frame):
         (1, 0, ["Total", "fund", "$5", "6"]), (1, 1, ["a b", "", "", ""]), (2, 0, ["x", "y", "1"]), (2, 1, ["", "", ""]),
     ]
     assert rows(T.lines_to_columns(df, ["t"])) == [(1, 0, ["Total", "fund $5 6"]), (2, 0, ["x", "y 1"])]
+
+
+def test_gaps_of_other_white_space(frame):
+    """Non-breaking spaces and information separators part columns, as blanks do."""
+    lines = frame("page int, row_no long, value string", (1, 0, "a\u00a0\u00a0b"), (1, 1, "c\x1c\u2003d"), (1, 2, "e f"))
+    found = T.lines_to_columns(lines, ["page"]).select("row_no", "values")
+    assert rows(found) == [(0, ["a", "b"]), (1, ["c", "d"])]
+    texts = T.text_to_columns(frame("page int, row_no long, value string", (1, 0, "pay\u00a0$5")), ["page"])
+    assert texts.first()["values"] == ["pay", "$5"]

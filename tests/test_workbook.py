@@ -97,3 +97,13 @@ def test_page_json(frame):
         (3, 0, "", "", "", ""), (3, 1, "", "", "", ""),
     ]
     assert [r.id for r in page_json.rejected_pages(parsed).orderBy("id").collect()] == [2, 4, 5]
+
+
+def test_page_json_is_strict(frame):
+    """Single quotes, bare control characters, arrays, other values and trailing text are rejected."""
+    good = '{"agency": "x", "page": 1, "rows": [{"column_1": "a"}], "more": {"q": [1]}}'
+    bad = ["{'agency': 'x'}", '{"agency": "a\tb"}', "[1]", "[]", "7", "null", good + " x", good + "," + good, "{", "", None]
+    pages = frame("id int, js string", (0, good), (1, f" {good}\n"), (2, "{}"), *enumerate(bad, 3))
+    parsed = page_json.parse_pages(pages)
+    assert [r.id for r in parsed.where("parsed is not null").orderBy("id").collect()] == [0, 1, 2]
+    assert [r.id for r in page_json.rejected_pages(parsed).orderBy("id").collect()] == list(range(3, 14))
