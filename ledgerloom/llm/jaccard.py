@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.session import stage
@@ -19,6 +21,8 @@ PERCENT = 75
 # Shingles in this many texts of one slice may be common; so many of the commonest come last in the order.
 COMMON_IN_SLICE = 2
 COMMON = 1 << 17
+# How far back an item's earlier buckets are kept beside each of its buckets.
+BEFORE = (1, 2)
 # Rows up to which a table of ids or shingles is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -126,6 +130,16 @@ def _may_be_near(percent: int) -> str:
     return f"coalesce(aggregate({apart}, 0, (s, v) -> s + v) * {100 + percent} <= (na + nb) * {100 - percent}, true)"
 
 
+def _met_before() -> Column:
+    """Whether two items of a bucket also share one of the buckets just before it in both their orders.
+
+    Such a pair is left to that earlier bucket. The first bucket that two items share never
+    passes it on, and every bucket goes on until it holds one component, so no link is lost.
+    """
+    same = [F.coalesce(F.col(f"a_before{i}") == F.col(f"b_before{j}"), F.lit(False)) for i in BEFORE for j in BEFORE]
+    return reduce(or_, same)
+
+
 def small(table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A staged table, marked for broadcast only up to ``limit`` counted rows."""
     return F.broadcast(table) if table.count() <= limit else table
@@ -175,8 +189,11 @@ def ngram_jaccard(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, b
     members = rows.join(small(shared, broadcast_rows), "bucket").select("bucket", "doc_id")
     # Equal sets meet in the same buckets: only the item's own row stays.
     own = items.select(F.col("id").alias("doc_id"), F.col("n_shingles").alias("n"))
-    members = members.join(own, "doc_id").select("bucket", F.col("doc_id").alias("id"), "n").distinct()
-    members = stage(members, "members")
+    members = members.join(own, "doc_id").select("bucket", F.col("doc_id").alias("id"), "n")
+    # Dealt by id once, for the distinct rows and for the buckets before each.
+    order = Window.partitionBy("id").orderBy("bucket")
+    members = members.repartition("id").distinct()
+    members = stage(members.withColumns({f"before{i}": F.lag("bucket", i).over(order) for i in BEFORE}), "members")
 
     wanted = stage(members.select("id").distinct(), "wanted")
     maps = prefixes.join(small(wanted, broadcast_rows), prefixes["doc_id"] == wanted["id"], "left_semi")
@@ -197,7 +214,7 @@ def ngram_jaccard(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, b
         far = pairs.join(near, ["a", "b"], "left_anti")
         return exact.unionByName(far.select("a", "b", F.lit(None).cast("double").alias("dist"), F.lit(False).alias("linked")))
 
-    possible = (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
+    possible = (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & ~_met_before()
     comp, _ = linked_components(members, measure, possible, 1 - percent / 100, "regions")
     groups = items.join(comp, "id", "left").select(*key, F.coalesce("comp", "id").alias("class"))
     result = prints.select("doc_id", *key).join(groups, key, "left")
