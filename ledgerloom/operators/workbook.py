@@ -91,8 +91,12 @@ def lessee_subsets(catalogue: DataFrame) -> DataFrame:
     )
 
 
-def combine_sheets(cells: DataFrame, columns: int) -> DataFrame:
-    """All header-less sheets as one table, led by the sheet name; missing cells are NULL."""
+def combine_sheets(cells: DataFrame, columns: int = 1) -> DataFrame:
+    """All header-less sheets as one table, led by the sheet name; missing cells are NULL.
+
+    ``columns`` is the least width: the table is as wide as its rightmost cell. Runs a job when called.
+    """
+    width = max(columns, cells.agg(F.max("cl")).first()[0] or 0)
     return cells.groupBy("file", "sheet_no", F.col("sheet").alias("source_sheet"), "rw").agg(
-        *[F.max(F.when(F.col("cl") == c, F.col("val"))).alias(f"c{c}") for c in range(1, columns + 1)]
+        *[F.max(F.when(F.col("cl") == c, F.col("val"))).alias(f"c{c}") for c in range(1, width + 1)]
     )

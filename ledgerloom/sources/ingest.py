@@ -13,6 +13,8 @@ from ..schema import HEADER_ROW
 from ..session import stage
 
 LINEAGE = "source_file"
+# The CSV parser's own limit; it is raised for wider lines.
+MAX_COLUMNS = 20480
 
 
 def source_file() -> Column:
@@ -57,7 +59,8 @@ def _unique_names(names: Column) -> Column:
 def _parsed(line: str, count: int) -> Column:
     """Fields ``f0, f1, …`` of a CSV line, from one parse; to be selected next to other columns."""
     schema = ", ".join(f"f{i} STRING" for i in range(count))
-    return F.inline(F.array(F.from_csv(line, schema, {"escape": '"'})))
+    options = {"escape": '"', "maxColumns": str(max(MAX_COLUMNS, count))}
+    return F.inline(F.array(F.from_csv(line, schema, options)))
 
 
 def _fields(count: int) -> Column:
@@ -65,6 +68,13 @@ def _fields(count: int) -> Column:
     return F.array(*[F.nullif(F.col(f"f{i}"), F.lit("")) for i in range(count)])
 
 
+def _field_bound(line: Column) -> Column:
+    """At least as many fields as the CSV parser finds: exactly so many unless a quote stands inside a field."""
+    single = F.replace(line, F.lit('""'), F.lit(""))
+    rest = F.regexp_replace(single, r'(^|,)"[^"]*+"(?=,|\z)', "$1")
+    return F.regexp_count(F.when(rest.contains('"'), line).otherwise(rest), F.lit(",")) + 1
+
+
 def file_headers(lines: DataFrame, header_row: int = HEADER_ROW) -> DataFrame:
     """First line number (``seq``) and header line of every file.
 
@@ -81,15 +91,29 @@ def read_tables(lines: DataFrame, header_row: int = HEADER_ROW) -> DataFrame:
     """Data rows of all files, united by column name, with their source file.
 
     Columns appear in the order of the files and their headings; a column a file lacks
-    is NULL. Fully empty rows stay, see :func:`drop_empty_rows`. ``lines`` must give a line
+    is NULL. Values right of a file's last heading get numbered columns, as below blank headings. Fully empty rows stay, see :func:`drop_empty_rows`. ``lines`` must give a line
     the same ``block`` and ``seq`` whenever it is read. Runs jobs when called.
     """
     headers = stage(file_headers(lines, header_row).filter("header is not null"), "headers")
     unquoted = F.regexp_replace("header", '"([^"]|"")*"', "")
     headers = headers.withColumn("ncols", F.size(F.split(unquoted, ",")))
-    width = headers.agg(F.max("ncols")).first()[0] or 1
-    names = _unique_names(F.slice(_fields(width), F.lit(1), F.col("ncols")))
-    headers = headers.select(LINEAGE, "first_seq", "ncols", _parsed("header", width)).select(
+    is_data = (F.col("block") > 0) | (F.col("seq") >= F.col("first_seq") + header_row)
+    over = lookup_join(lines, headers.select(LINEAGE, "first_seq", "ncols"), [LINEAGE]).filter(is_data)
+    over = over.withColumn("bound", _field_bound(F.col("value"))).filter("bound > ncols")
+    longest = over.agg(F.max("bound")).first()[0]
+    if longest:
+        # Empty fields at a line's end need no column; the last value of the longest line does.
+        last = F.array_max(F.transform(_fields(longest), lambda v, i: F.when(v.isNotNull(), i + 1)))
+        filled = over.select(LINEAGE, _parsed("value", longest)).groupBy(LINEAGE).agg(F.max(last).alias("filled"))
+        headers = stage(headers.join(filled, LINEAGE, "left"), "widths")
+        headers = headers.withColumn("filled", F.greatest("ncols", "filled"))
+    else:
+        headers = headers.withColumn("filled", F.col("ncols"))
+    width = headers.agg(F.max("filled")).first()[0] or 1
+    # Fields of the header line beyond its headings are none.
+    names = F.transform(_fields(width), lambda n, i: F.when(i < F.col("ncols"), n))
+    names = _unique_names(F.slice(names, F.lit(1), F.col("filled")))
+    headers = headers.select(LINEAGE, "first_seq", "ncols", "filled", _parsed("header", width)).select(
         LINEAGE, "first_seq", names.alias("names")
     )
     columns = [
@@ -103,7 +127,6 @@ def read_tables(lines: DataFrame, header_row: int = HEADER_ROW) -> DataFrame:
     # Where each column stands in a file's lines; NULL where the file lacks it.
     places = {f"p{i}": F.nullif(F.array_position("names", F.lit(c)), F.lit(0)) - 1 for i, c in enumerate(columns)}
     layouts = headers.select(LINEAGE, "first_seq", *[p.cast("int").alias(n) for n, p in places.items()])
-    is_data = (F.col("block") > 0) | (F.col("seq") >= F.col("first_seq") + header_row)
     cells = (
         lookup_join(lines, layouts, [LINEAGE])
         .filter(is_data)

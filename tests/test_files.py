@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,6 +84,29 @@ def test_blank_and_repeated_headings(spark, tmp_path):
     assert rows(imported) == [("1", "2", "3", "4", "5", "a.csv")]
 
 
+def test_lines_wider_than_their_header_keep_all_fields(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("\n".join([*TITLE, "A,B", "1,2,3,4", '5,"6,6",,', ",,,,7", 'x"y,z"w,8', ""]))
+    (tmp_path / "b.csv").write_text("\n".join([*TITLE, "B,Unnamed: 2,C", "1,2,3", '"4","5","6,""6",,', ""]))
+    imported, audit = ingest.ingest(spark, str(tmp_path))
+    assert imported.columns == ["A", "B", "Unnamed: 2", "Unnamed: 3", "Unnamed: 4", "C", "source_file"]
+    assert rows(imported) == sorted([
+        ("1", "2", "3", "4", None, None, "a.csv"), ("5", "6,6", None, None, None, None, "a.csv"),
+        (None, None, None, None, "7", None, "a.csv"), ('x"y', 'z"w', "8", None, None, None, "a.csv"),
+        (None, "1", "2", None, None, "3", "b.csv"), (None, "4", "5", None, None, '6,"6', "b.csv"),
+    ], key=repr)
+    assert rows(audit) == [("a.csv", 4, 4), ("b.csv", 2, 2)]
+
+
+def test_field_bound_is_never_below_the_parser(spark):
+    draw = random.Random(5)
+    lines = ["".join(draw.choices('",ab ', k=draw.randrange(1, 14))) for _ in range(4000)]
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    parsed = df.select("value", ingest._field_bound(F.col("value")).alias("bound"), ingest._parsed("value", 16))
+    # The parser gives null for missing fields, and an empty field is null or empty.
+    late = [r for r in parsed.collect() if any(v is not None for v in r[2 + r.bound :])]
+    assert not late
+
+
 def test_ingest_of_no_files(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "a.csv").write_text("\n".join([*TITLE, "A", "1", ""]))

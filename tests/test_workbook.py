@@ -58,6 +58,12 @@ def test_combine_sheets(frame):
     assert rows(found) == [("s", "x", None, "z"), ("t", None, "y", None)]
 
 
+def test_combine_sheets_is_as_wide_as_its_cells(frame):
+    cells = frame(CELLS, ("a", "s", 1, 1, 1, "x"), ("a", "s", 1, 1, 5, "z"))
+    assert rows(workbook.combine_sheets(cells, 2).drop("file", "sheet_no", "rw")) == [("s", "x", None, None, None, "z")]
+    assert workbook.combine_sheets(cells.limit(0)).columns[-1] == "c1"
+
+
 def test_clean_journal(frame):
     df = frame(
         "f int, row_no long, je_title string, debit_credit string, amount double, col_11 double",
