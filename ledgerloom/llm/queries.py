@@ -64,7 +64,7 @@ def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents"), digits=True).withColumn("dropped", F.array_join("dropped", "|"))
+    return dedup_lines(table(spark, sf_dir, "documents"), digits=True, by_grams=True).withColumn("dropped", F.array_join("dropped", "|"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
