@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .license_texts import TEXTS
+
 # Short licence notices under their SPDX names, as public licence lists give them.
 NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -76,9 +78,12 @@ def known_digests(spark: SparkSession, notices=NOTICES) -> DataFrame:
     return listed.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license").alias("license"))
 
 
-def license_scan(docs: DataFrame, notices=NOTICES) -> DataFrame:
+def license_scan(docs: DataFrame, notices=NOTICES, texts=TEXTS) -> DataFrame:
     """Licences whose known text is, in canonical form, a whole document or a whole line of it.
 
+    Known are short ``notices`` (license, text) and whole licences, ``texts`` (license, first words,
+    length, digest). :func:`licenses_within` also finds those that are wrapped over lines of a document.
+
     Texts and their lines are digested in place and joined by hash with the known digests; the
     list is a parameter of the code, so it is broadcast.
 
@@ -87,7 +92,8 @@ def license_scan(docs: DataFrame, notices=NOTICES) -> DataFrame:
     lines are licence texts, and the digest of the whole text. Null text counts as empty.
     """
     spark = docs.sparkSession
-    known = [(r.digest, r.license) for r in known_digests(spark, notices).collect()]
+    known = {digest: name for name, _, _, digest in texts} | {r.digest: r.license for r in known_digests(spark, notices).collect()}
+    known = list(known.items())
     table = F.broadcast(spark.createDataFrame(known, "digest string, license string")) if known else None
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", "text", digest(F.col("text")).alias("text_digest"))
@@ -104,6 +110,35 @@ def license_scan(docs: DataFrame, notices=NOTICES) -> DataFrame:
     )
 
 
+def licenses_within(docs: DataFrame, notices=NOTICES, texts=TEXTS) -> DataFrame:
+    """(doc_id, licenses), a row per input row: sorted licences whose known text stands anywhere in it.
+
+    The text of a document is put into canonical form as a whole, so line breaks and comment
+    signs do not matter. Wherever the first words of a known licence stand, so many characters as
+    the licence has are digested.
+    """
+    bodies = docs.sparkSession.createDataFrame(list(notices), "license string, text string").select("license", canonical(F.col("text"))).collect()
+    body = F.concat(F.lit(" "), canonical(F.col("text").cast("string")), F.lit(" "))
+    rows = docs.select("doc_id", body.alias("body"))
+    found = [F.when(F.contains("body", F.lit(f" {text} ")), F.lit(name)) for name, text in bodies]
+    by_start: dict[str, list[tuple]] = {}
+    for name, start, length, known in texts:
+        by_start.setdefault(f" {start} ", []).append((name, length, known))
+    for start, same in by_start.items():
+        parts = F.split("body", "\\Q" + start + "\\E")
+        ends = F.when(F.contains("body", F.lit(start)), F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: _from_part(parts, i, start)))
+        for name, length, known in same:
+            # The text with the spaces around it, so that it ends with a word.
+            fits = F.exists(ends, lambda x: F.substring(x, length + 2, 1).eqNullSafe(F.lit(" ")) & (F.sha2(F.substring(x, 2, length).cast("binary"), 256) == known))
+            found.append(F.when(fits, F.lit(name)))
+    return rows.select("doc_id", F.array_sort(F.array_distinct(F.array_compact(F.array(*found)))).alias("licenses"))
+
+
+def _from_part(parts: Column, i: Column, start: str) -> Column:
+    """The text from the start that stands before part ``i``, from 1, to its end."""
+    return F.concat(F.lit(start), F.array_join(F.slice(parts, i, F.size(parts)), start))
+
+
 def _canonical_sql(text: str) -> str:
     text = f"regexp_replace(replace(lower({text}), '©', '(c)'), '{_COPYRIGHT}', '', 'g')"
     text = f"' ' || trim(regexp_replace({text}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g')) || ' '"

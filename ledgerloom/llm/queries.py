@@ -43,6 +43,11 @@ def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("licenses", F.array_join("licenses", "|"))
 
 
+def _op4_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.licenses_within(table(spark, sf_dir, "documents"))
+    return found.withColumn("licenses", F.array_join("licenses", "|"))
+
+
 def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -73,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_ngram_jaccard": _op2,
         "op3_token_files": _op3,
         "op4_license_scan": _op4,
+        "op4_license_within": _op4_within,
         "op5_decontamination": _op5,
         "op6_url_filter": _op6,
         "op7_token_counts": _op7,
