@@ -14,7 +14,7 @@ from ledgerloom.llm.token_files import token_file_digests
 from ledgerloom.session import stage
 
 TOKENIZER = "byte_bpe_50k.json"
-# Learned scores, fitted rates and file offsets are beyond SQL; a brute-force version checks the rows.
+# Learned scores, fitted rates and file offsets are beyond SQL; no brute-force version checks the rows yet.
 ORACLE_SQL = None
 
 
