@@ -62,3 +62,43 @@ def test_long_tables_keep_all_rows(spark, monkeypatch):
     assert rows(unified.filter("doc = 1").select("row_no", F.col("values")[0]), "row_no") == [(i, str(i)) for i in range(180)]
     split = T.text_to_columns(cells.select("doc", "row_no", F.concat("value", F.lit("  x")).alias("value")), ["doc"])
     assert split.filter(F.size("values") == 2).count() == 200
+
+
+@pytest.mark.parametrize("how, expected", [("inner", 2001), ("left", 3000), ("left_semi", 2001), ("left_anti", 999)])
+def test_counted_join_equals_a_plain_join(spark, hot, frame, how, expected):
+    lookup = frame("k string, v int", ("hot", 1), ("2", 2), ("none", 3))
+    staged = stage(hot, "rows")
+    assert set(skew.hot_salts(staged, ["k"]).values()) == {22}
+    found, plain = skew.counted_join(staged, lookup, ["k"], how), hot.join(lookup, ["k"], how)
+    assert found.columns == plain.columns
+    assert rows(found) == rows(plain) and plain.count() == expected
+
+
+def test_counted_join_without_adaptive_execution(spark):
+    """One key with a third of the rows: no task above three times the median."""
+    whole = spark.range(60_000).select(
+        F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("a"), (F.col("id") % 2).alias("b")
+    )
+    lookup = whole.select("a", "b").distinct().withColumn("v", F.lit(1))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        staged = stage(whole, "rows")
+        salts = skew.hot_salts(staged, ["a"])
+        assert list(salts.values()) == [54]
+        assert skew.hot_salts(staged.where("a >= 0"), ["a"]) == {} == skew.hot_salts(staged.limit(0), ["a"])
+        sizes = skew.counted_join(staged, lookup, ["a", "b"]).groupBy(F.spark_partition_id()).count().collect()
+        sizes = sorted(r["count"] for r in sizes)
+        assert sum(sizes) == 60_000 and sizes[-1] <= 3 * sizes[len(sizes) // 2]
+    finally:
+        for name in ("autoBroadcastJoinThreshold", "adaptive.enabled", "shuffle.partitions"):
+            spark.conf.unset(f"spark.sql.{name}")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_counted_join_of_null_keys(spark, frame):
+    left = stage(frame("k string, id int", (None, 1), ("x", 2), ("x", 3)), "rows")
+    assert rows(skew.counted_join(left, frame("k string, v int", ("x", 1), (None, 2)), ["k"], "left")) == [
+        ("x", 2, 1), ("x", 3, 1), (None, 1, None),
+    ]
