@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, license_scan
+from . import exact_dedup, license_scan, phrases
 from .decontaminate import decontaminate
 from .jaccard import ngram_jaccard
 from .line_dedup import dedup_lines
@@ -72,6 +72,10 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents"), digits=True, by_grams=True).withColumn("dropped", F.array_join("dropped", "|"))
 
 
+def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": _op1,
@@ -85,9 +89,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": _op8,
         "op9_mixing": _op9,
         "op10_line_dedup": _op10,
+        "op11_phrase_collocations": _op11,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_license_scan": license_scan.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
+    return {"op4_license_scan": license_scan.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE, "op11_phrase_collocations": phrases.ORACLE}
