@@ -103,7 +103,7 @@ class _Filter:
         if self.bits is None:
             return np.ones(len(phrases), bool)
         hashes = (zlib.crc32(p.encode(), self.start) for p in phrases)
-        at = np.fromiter(hashes, np.int64, len(phrases)) & ((1 << FILTER_BITS) - 1)
+        at = np.fromiter(hashes, np.int64, len(phrases)) & (8 * len(self.bits) - 1)
         return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
