@@ -3,8 +3,9 @@
 Documents are dealt into a few shards. A phrase with the asked support in the whole
 corpus has its even share of it in one shard at least, so the phrases frequent in some
 shard hold all frequent ones. A shard is mined by levels: words, pairs of its frequent
-words, triples of its frequent pairs. The phrases found anywhere are then counted over
-all texts. What is frequent reaches the tasks as a bitmap of fixed size; its false hits
+words, triples of its frequent pairs. Mining knows phrases by 64-bit hashes, which can
+only add candidates. The phrases found anywhere are then counted over all texts, by
+their words. What is frequent reaches the tasks as a bitmap of fixed size; its false hits
 are counted and fall out at the support, so it saves work and never changes a count.
 
 The support is a fixed number, so more shards than that would lower a shard's own to one
@@ -13,18 +14,18 @@ and prune nothing; a shard is not a task but a part of the corpus that all tasks
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.skew import counted_join
 from ..session import stage
+from .words import LOWER, mix, text_slices, word_hashes, word_spans
 
 SUPPORT = 10
 SHARDS = 3
@@ -36,164 +37,163 @@ SCALE = 1_000_000
 FILTER_BITS = 27
 # Bits of one row of the bitmap, as the built-in aggregate makes it.
 _BUCKET = 1 << 15
-
-# A separator ends a piece; spaces and tabs end a word.
-_TOKEN = re.compile("[.,;:!?\n-\r]|[^ \t.,;:!?\n-\r]+")
-_SEPARATORS = ".,;:!?\n\x0b\x0c\r"
-_LOWER = {c: c + 32 for c in range(65, 91)}
+# Bytes of text that a task works on at a time.
+_SLICE = 1 << 19
+
+# Bytes that end a piece, and those that end a word besides.
+_SEPARATOR = np.zeros(256, bool)
+_SEPARATOR[list(b".,;:!?\n\x0b\x0c\r")] = True
+_GAP = _SEPARATOR.copy()
+_GAP[list(b" \t")] = True
 _UNKNOWN = "und"
 
-# Tokens counted at a time, and characters after which a long text is cut at its next separator.
-_MOST_TOKENS = 2_000_000
-_MOST_CHARS = 4_000_000
-_SEPARATOR = re.compile("[.,;:!?\n-\r]")
-
-_COUNTS = "shard int, lang string, phrase string, words int, times long"
-
-
-class _Vocabulary(dict):
-    """Number of each word, from 1; separators are 0."""
-
-    def __init__(self):
-        super().__init__(dict.fromkeys(_SEPARATORS, 0))
-        self.names = [""]
-
-    def __missing__(self, word: str) -> int:
-        n = self[word] = len(self.names)
-        self.names.append(word)
-        return n
-
-
-def _pieces(text: str) -> Iterator[str]:
-    at = 0
-    while len(text) - at > _MOST_CHARS:
-        cut = _SEPARATOR.search(text, at + _MOST_CHARS)
-        if not cut:
-            break
-        yield text[at : cut.end()]
-        at = cut.end()
-    yield text[at:]
-
-
-def _runs(texts: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
-    """(word numbers with 0 between pieces, words by number) of some texts at a time."""
-    ids, vocabulary = [0], _Vocabulary()
-    for text in texts:
-        for part in _pieces(text):
-            lowered = part.lower() if part.isascii() else part.translate(_LOWER)
-            ids.extend(map(vocabulary.__getitem__, _TOKEN.findall(lowered)))
-        ids.append(0)
-        if len(ids) > _MOST_TOKENS:
-            yield np.array(ids, np.int64), vocabulary.names
-            ids, vocabulary = [0], _Vocabulary()
-    yield np.array(ids, np.int64), vocabulary.names
-
-
-def _prefix(shard: int, lang: str) -> str:
-    return f"{shard}\t{lang}\t"
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+_SHARD = 0x5BD1E9955BD1E995
+
+_MINED = "shard int, key long, times long"
+_COUNTS = "lang string, phrase string, words int, times long"
+
+
+class _Words:
+    """The words of some texts: where they stand, their texts' rows, and which follow the one before in a piece."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, langs: np.ndarray):
+        self.data = data
+        self.starts, self.ends = word_spans(data, offsets, _GAP)
+        self.row = np.searchsorted(offsets, self.starts, "right") - 1
+        before = np.cumsum(_SEPARATOR[data], dtype=np.int64)[self.starts] if len(data) else self.starts
+        self.follows = (self.row[1:] == self.row[:-1]) & (before[1:] == before[:-1])
+        self.hashes = word_hashes(data, self.starts, self.ends)
+        self.langs = langs[self.row]
+
+    def keys(self, size: int, at: np.ndarray) -> np.ndarray:
+        """Hash of language and ``size`` words from each place on."""
+        with np.errstate(over="ignore"):
+            total = self.langs[at] + np.uint64(size)
+            for i in range(size):
+                total = total * _STEP + self.hashes[at + i]
+            return mix(total)
+
+    def ids(self) -> tuple[np.ndarray, pa.Array]:
+        """Number of each word and the texts by number."""
+        inside = LOWER[self.data][~_GAP[self.data]]
+        ends = np.r_[0, np.cumsum(self.ends - self.starts)].astype(np.int64)
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.starts), [None, pa.py_buffer(ends), pa.py_buffer(inside)])
+        coded = words.dictionary_encode()
+        return coded.indices.to_numpy().astype(np.int64), coded.dictionary
+
+
+def _of_shard(keys: np.ndarray, shards: np.ndarray) -> np.ndarray:
+    return (keys ^ (shards.astype(np.uint64) * np.uint64(_SHARD))).view(np.int64)
+
+
+def _passes(bits: np.ndarray | None, keys: np.ndarray) -> np.ndarray:
+    if bits is None:
+        return np.ones(len(keys), bool)
+    at = keys & (8 * len(bits) - 1)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[_Words, np.ndarray, pa.Array, np.ndarray]]:
+    """Words, shard of each text, names of the languages and number of each text's language."""
+    langs = batch.column("lang").dictionary_encode()
+    names = langs.dictionary.cast(pa.large_binary())
+    data = np.frombuffer(b"".join(names.to_pylist()), np.uint8)
+    ends = np.cumsum([len(x) for x in names.to_pylist()], dtype=np.int64)
+    sizes = np.diff(np.r_[0, ends])
+    filled = sizes > 0
+    hashes = np.zeros(len(names), np.uint64)
+    hashes[filled] = word_hashes(data, (ends - sizes)[filled], ends[filled])
+    codes = langs.indices.to_numpy().astype(np.int64)
+    shards = batch.column("shard").to_numpy()
+    for row, text, offsets in text_slices(batch.column("text"), _SLICE):
+        own = slice(row, row + len(offsets) - 1)
+        yield _Words(text, offsets, hashes[codes[own]]), shards[own], langs.dictionary, codes[own]
+
+
+def _places(words: _Words, size: int, passes) -> np.ndarray:
+    """Where phrases of ``size`` words stand whose parts one word shorter all pass."""
+    at = np.arange(len(words.starts))
+    for shorter in range(1, size):
+        good = np.zeros(len(words.starts) + 1, bool)
+        good[at[passes(words.keys(shorter, at), at)]] = True
+        at = np.flatnonzero(good[:-1] & good[1:] & np.r_[words.follows, False])
+    return at
+
+
+def _mined(docs: DataFrame, level: int, bits) -> DataFrame:
+    """Occurrences ``shard, key, times`` of the phrases of ``level`` words whose parts are in the bitmap."""
 
+    def count(batches):
+        bitmap = None if bits is None else np.frombuffer(bits.value, np.uint8)
+        for batch in batches:
+            for words, shards, _, _ in _slices(batch):
+                of = shards[words.row]
+                at = _places(words, level, lambda keys, at: _passes(bitmap, _of_shard(keys, of[at])))
+                keys, first, times = np.unique(_of_shard(words.keys(level, at), of[at]), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(of[at[first]]), pa.array(keys), pa.array(times)], names=["shard", "key", "times"])
 
-class _Filter:
-    """Which phrases of one shard and language may be frequent."""
+    return docs.mapInArrow(count, _MINED).groupBy("shard", "key").agg(F.sum("times").alias("times"))
 
-    def __init__(self, bits: np.ndarray | None, prefix: str):
-        self.bits, self.start = bits, zlib.crc32(prefix.encode())
 
-    def __call__(self, phrases: list[str]) -> np.ndarray:
-        if self.bits is None:
-            return np.ones(len(phrases), bool)
-        hashes = (zlib.crc32(p.encode(), self.start) for p in phrases)
-        at = np.fromiter(hashes, np.int64, len(phrases)) & (8 * len(self.bits) - 1)
-        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+def _counted(docs: DataFrame, bits) -> DataFrame:
+    """Exact counts ``lang, phrase, words, times`` of the phrases in the bitmap; the empty phrase counts all words."""
 
+    def count(batches):
+        bitmap = np.frombuffer(bits.value, np.uint8)
 
-def _phrases(ids: np.ndarray, names: list[str], levels: tuple[int, ...], frequent: _Filter, own: bool) -> Iterator[tuple[int, list[str], np.ndarray]]:
-    """(words, phrases, times) of the asked lengths; a longer phrase needs all its parts to pass ``frequent``.
+        def passes(keys, at=None):
+            return _passes(bitmap, keys.view(np.int64))
 
-    With ``own`` the phrases themselves must pass too.
-    """
-    counts = np.bincount(ids, minlength=len(names))
-    counts[0] = 0
-    good = counts > 0
-    if own or max(levels) > 1:
-        good[1:] &= frequent(names[1:])
-    if 1 in levels:
-        kept = np.flatnonzero(good if own else counts)
-        yield 1, [names[i] for i in kept], counts[kept]
-    if max(levels) == 1:
-        return
-    fits = good[ids]
-    pairs = np.flatnonzero(fits[:-1] & fits[1:])
-    keys, place, times = np.unique(ids[pairs] << 32 | ids[pairs + 1], return_inverse=True, return_counts=True)
-    texts = [f"{names[k >> 32]} {names[k & 0xFFFFFFFF]}" for k in keys.tolist()]
-    good = frequent(texts) if own or max(levels) > 2 else np.ones(len(keys), bool)
-    if 2 in levels:
-        kept = np.flatnonzero(good)
-        yield 2, [texts[i] for i in kept.tolist()], times[kept]
-    if max(levels) == 2:
-        return
-    place_of = np.full(len(ids), -1, np.int64)
-    place_of[pairs] = np.where(good[place], place, -1)
-    triples = np.flatnonzero((place_of[:-1] >= 0) & (place_of[1:] >= 0))
-    keys, times = np.unique(place_of[triples] << 32 | ids[triples + 2], return_counts=True)
-    texts = [f"{texts[k >> 32]} {names[k & 0xFFFFFFFF]}" for k in keys.tolist()]
-    kept = np.flatnonzero(frequent(texts)) if own else np.arange(len(keys))
-    yield 3, [texts[i] for i in kept.tolist()], times[kept]
-
-
-def _counted(docs: DataFrame, levels: tuple[int, ...], bits=None, shards: bool = True) -> DataFrame:
-    """Occurrences of phrases by shard (all in shard 0 without ``shards``) and language, summed.
-
-    Without ``shards`` the row of the empty phrase counts all words.
-    """
+        def rows(langs, phrases, size, times):
+            columns = [langs, phrases, pa.array(np.full(len(times), size, np.int32)), pa.array(times.astype(np.int64))]
+            return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "words", "times"])
 
-    def count(batches):
-        bitmap = None if bits is None else np.frombuffer(bits.value, np.uint8)
         for batch in batches:
-            groups: dict[tuple[int, str], list[str]] = {}
-            for shard, lang, text in zip(*(c.to_pylist() for c in batch.columns)):
-                groups.setdefault((shard, lang), []).append(text)
-            for (shard, lang), texts in groups.items():
-                keep = _Filter(bitmap, _prefix(shard, lang))
-                for ids, names in _runs(texts):
-                    found = list(_phrases(ids, names, levels, keep, own=not shards))
-                    if not shards:
-                        found.append((0, [""], np.array([np.count_nonzero(ids)])))
-                    for words, phrases, times in found:
-                        n = len(phrases)
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(np.full(n, shard, np.int32)),
-                                pa.array([lang] * n, pa.string()),
-                                pa.array(phrases, pa.string()),
-                                pa.array(np.full(n, words, np.int32)),
-                                pa.array(times.astype(np.int64)),
-                            ],
-                            names=["shard", "lang", "phrase", "words", "times"],
-                        )
-
-    dealt = docs if shards else docs.withColumn("shard", F.lit(0))
-    return dealt.mapInArrow(count, _COUNTS).groupBy("shard", "lang", "phrase", "words").agg(F.sum("times").alias("times"))
-
-
-def _bitmap(phrases: DataFrame):
-    """Broadcast bitmap of the hashes of ``shard, lang, phrase``; at most its 2 ** FILTER_BITS bits reach the driver."""
-    text = F.concat(F.col("shard").cast("string"), F.lit("\t"), "lang", F.lit("\t"), "phrase")
-    at = F.crc32(text.cast("binary")).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    spark = phrases.sparkSession
-    rows = phrases.select(at.alias("at")).select(F.shiftright("at", 15).alias("bucket"), (F.col("at") % _BUCKET).alias("bit"))
+            for words, _, langs, codes in _slices(batch):
+                lang = codes[words.row]
+                seen, total = np.unique(lang, return_counts=True)
+                yield rows(langs.take(pa.array(seen)), pa.array([""] * len(seen)), 0, total)
+                ids, names = words.ids()
+                for size in range(1, LONGEST + 1):
+                    at = _places(words, size, passes)
+                    at = at[passes(words.keys(size, at))]
+                    # A phrase as one number: that of its first words, put together with its last.
+                    keys = ids[at] * len(langs) + lang[at]
+                    for i in range(1, size):
+                        keys = np.unique(keys, return_inverse=True)[1] << 32 | ids[at + i]
+                    _, first, times = np.unique(keys, return_index=True, return_counts=True)
+                    first = at[first]
+                    parts = [names.take(pa.array(ids[first + i])) for i in range(size)]
+                    phrases = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())).cast(pa.string())
+                    yield rows(langs.take(pa.array(lang[first])), phrases, size, times)
+
+    return docs.mapInArrow(count, _COUNTS).groupBy("lang", "phrase", "words").agg(F.sum("times").alias("times"))
+
+
+def _bitmap(keys: DataFrame):
+    """Broadcast bitmap of the lowest bits of ``key``; its 2 ** FILTER_BITS bits are all that reaches the driver."""
+    at = F.col("key").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    rows = keys.select(at.alias("at")).select(F.shiftright("at", 15).alias("bucket"), (F.col("at") % _BUCKET).alias("bit"))
     whole = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
     for row in rows.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
         whole[row.bucket * _BUCKET // 8 :][: _BUCKET // 8] = np.frombuffer(bytes(row.bits), np.uint8)
-    return spark.sparkContext.broadcast(whole.tobytes())
+    return keys.sparkSession.sparkContext.broadcast(whole.tobytes())
+
+
+def _replaced(old, new):
+    """Executors need only one bitmap at a time; a lost one fetches it again."""
+    if old is not None:
+        old.unpersist()
+    return new
 
 
 def frequent_phrases(docs: DataFrame, support: int = SUPPORT, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
     """Exact counts ``lang, phrase, words, times`` of all phrases of one to three words with ``support``, and words per language.
 
     A null language counts as ``und``, a null text as empty; rows alike count each. Columns
-    other than ``doc_id``, ``lang`` and ``text`` are not looked at. A text is cut only at
-    separators, so one piece of any length is held by one task. Runs jobs when called.
+    other than ``doc_id``, ``lang`` and ``text`` are not looked at. Texts are taken in
+    slices; one text is not cut, so it must fit a task. Runs jobs when called.
     """
     local = -(-support // shards)
     texts = docs.select(
@@ -203,18 +203,20 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, shards: int = SHAR
     )
     found, bits = [], None
     for level in range(1, LONGEST + 1):
-        frequent = _counted(texts, (level,), bits).where(F.col("times") >= local)
-        found.append(stage(frequent.select("shard", "lang", "phrase"), f"phrases-{level}"))
+        frequent = _mined(texts, level, bits).where(F.col("times") >= local)
+        found.append(stage(frequent.select("shard", "key"), f"phrases-{level}"))
         if level < LONGEST:
-            bits = _bitmap(reduce(DataFrame.unionByName, found))
-    bits = _bitmap(reduce(DataFrame.unionByName, found).withColumn("shard", F.lit(0)))
+            bits = _replaced(bits, _bitmap(reduce(DataFrame.unionByName, found)))
+    shard = F.element_at(F.array(*[F.lit(_signed(n * _SHARD)) for n in range(shards)]), F.col("shard") + 1)
+    candidates = reduce(DataFrame.unionByName, found).select(F.col("key").bitwiseXOR(shard).alias("key"))
     # No phrase with the support is missing from the bitmap, so those that it lets through by chance fall out here.
-    levels = tuple(range(1, LONGEST + 1))
-    counted = _counted(texts, levels, bits, shards=False).drop("shard").where((F.col("times") >= support) | (F.col("words") == 0))
+    counted = _counted(texts, _replaced(bits, _bitmap(candidates))).where((F.col("times") >= support) | (F.col("words") == 0))
     counted = stage(counted, "phrase-counts")
-    frequent = counted.where("words > 0")
-    totals = counted.where("words = 0").select("lang", F.col("times").alias("n"))
-    return frequent, totals
+    return counted.where("words > 0"), counted.where("words = 0").select("lang", F.col("times").alias("n"))
+
+
+def _signed(number: int) -> int:
+    return (number + (1 << 63)) % (1 << 64) - (1 << 63)
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:

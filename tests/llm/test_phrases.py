@@ -64,16 +64,6 @@ def test_equals_brute_force(spark, monkeypatch):
     assert found(df) == expected
 
 
-def test_long_texts_are_cut_at_separators(monkeypatch):
-    texts = [t for _, t in drawn(80, 2)]
-    (whole,) = phrases._runs(texts)
-    monkeypatch.setattr(phrases, "_MOST_CHARS", 30)
-    monkeypatch.setattr(phrases, "_MOST_TOKENS", 50)
-    parts = list(phrases._runs(texts))
-    words = [[names[i] for ids, names in runs for i in ids if i] for runs in ([whole], parts)]
-    assert len(parts) > 20 and words[0] == words[1]
-
-
 def test_counts_of_all_lengths(spark):
     frequent, totals = phrases.frequent_phrases(spark.createDataFrame([(None, "a b a b c", "x")] * 10, "doc_id long, text string, lang string"))
     assert {(r.phrase, r.times) for r in frequent.collect()} == {
