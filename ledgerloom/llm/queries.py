@@ -15,6 +15,7 @@ from .jaccard import ngram_jaccard
 from .line_dedup import dedup_lines
 from .mixing import mixing_rates
 from .quality import quality_scores
+from .spelling import spelling_variants
 from .token_counts import token_counts
 from .token_files import token_file_digests
 from .url_filter import url_filter
@@ -76,6 +77,10 @@ def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": _op1,
@@ -90,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_mixing": _op9,
         "op10_line_dedup": _op10,
         "op11_phrase_collocations": _op11,
+        "op12_spelling_variants": _op12,
         "pipeline": corpus_pipeline.run,
     }
 
