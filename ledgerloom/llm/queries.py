@@ -15,6 +15,7 @@ from .jaccard import ngram_jaccard
 from .line_dedup import dedup_lines
 from .mixing import mixing_rates
 from .quality import quality_scores
+from .sharding import assign_shards
 from .spelling import spelling_variants
 from .token_counts import token_counts
 from .token_files import token_file_digests
@@ -81,6 +82,19 @@ def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_shards(table(spark, sf_dir, "documents")).select(
+        "row.doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+        "curve",
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": _op1,
@@ -96,6 +110,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_line_dedup": _op10,
         "op11_phrase_collocations": _op11,
         "op12_spelling_variants": _op12,
+        "op13_sharding": _op13,
         "pipeline": corpus_pipeline.run,
     }
 
