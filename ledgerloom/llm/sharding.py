@@ -63,8 +63,8 @@ def hilbert_index(places: list[Column], bits: int) -> Column:
     return curve(F.struct(*[p.cast("int").alias(f"p{i}") for i, p in enumerate(places)]))
 
 
-def cell_bounds(df: DataFrame, column: str, cells: int) -> list:
-    """Least values of the second and later cells of ``column``, so that cells hold even numbers of rows.
+def cell_bounds(df: DataFrame, column: str, cells: int) -> list[tuple[int, object]]:
+    """Number and least value of the filled cells of ``column`` but number 0; cells hold even numbers of rows.
 
     Each value is counted once, over all rows; the values are sorted by range and summed up
     range by range, and at most one bound per cell reaches the driver. A value is never
@@ -82,12 +82,13 @@ def cell_bounds(df: DataFrame, column: str, cells: int) -> list:
     placed = ranged.join(F.broadcast(parts), "part").withColumn("above", F.coalesce(F.sum("n").over(in_part), F.lit(0)) + F.col("before"))
     cell = F.floor(F.col("above") * cells / F.lit(max(1, total)))
     bounds = placed.groupBy(cell.alias("cell")).agg(F.min("value").alias("value")).where("cell > 0")
-    return [r.value for r in bounds.orderBy("cell").collect()]
+    return [(r.cell, r.value) for r in bounds.orderBy("cell").collect()]
 
 
-def _place(column: str, bounds: list) -> Column:
+def _place(column: str, bounds: list[tuple[int, object]]) -> Column:
     """Number of the cell; null lies in the first."""
-    passed = [F.when(F.col(column) >= F.lit(b), 1).otherwise(0) for b in bounds]
+    before = [0, *[cell for cell, _ in bounds]]
+    passed = [F.when(F.col(column) >= F.lit(b), cell - last).otherwise(0) for last, (cell, b) in zip(before, bounds)]
     return F.coalesce(reduce(lambda a, b: a + b, passed, F.lit(0)), F.lit(0))
 
 
@@ -148,19 +149,20 @@ def write_shards(
     names = F.array(*[F.lit(c) for c in columns]).alias("columns")
     bounds = written.groupBy("shard").agg(F.count("*").alias("rows"), *ends, *nulls).withColumn("columns", names)
     bounds.coalesce(1).write.parquet(f"{path}/bounds")
+    docs.limit(0).coalesce(1).write.parquet(f"{path}/none")
 
 
 def shards_within(spark: SparkSession, path: str, where: dict[str, tuple]) -> tuple[list[int], dict[int, tuple]]:
     """Shards that can hold rows between the given ends, and the ends by number of the column; one short row per shard is read."""
     found = spark.read.parquet(f"{path}/bounds").collect()
-    if not found:
-        return [], {}
     wanted = {found[0]["columns"].index(c): ends for c, ends in where.items()}
     return [r.shard for r in found if all(_overlaps(r[f"low{i}"], r[f"high{i}"], ends) for i, ends in wanted.items())], wanted
 
 
 def read_shards(spark: SparkSession, path: str, where: dict[str, tuple] | None = None) -> DataFrame:
     """Rows whose metadata lie between the given ends; other shards' files are not opened."""
+    if spark.read.parquet(f"{path}/bounds").isEmpty():
+        return spark.read.parquet(f"{path}/none")
     rows = spark.read.parquet(f"{path}/rows")
     hit, wanted = shards_within(spark, path, where or {})
     if where:

@@ -36,9 +36,9 @@ BOX_WORDS = 4000
 SAMPLE_PER_BOX, SAMPLE = 40, 40_000
 # Words that a task counts before it passes them on.
 _MOST_WORDS = 200_000
-# Words below which a search compares counts with each, and bytes compared at a time.
-_LEAF = 48
-_COMPARED = 1 << 24
+# Points that a search compares without a cut, and pairs or bytes compared at a time.
+_LEAF = 16
+_COMPARED = 1 << 21
 
 _RUN = re.compile("[A-Za-zÀ-ÿ]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -97,25 +97,38 @@ def _vectors(letters: np.ndarray, length: int) -> np.ndarray:
     slots = _SLOT[letters]
     half = slots[:, : length // 2] + _DIMS
     at = 2 * _DIMS * np.arange(len(letters))[:, None]
-    return np.bincount(np.hstack([slots + at, half + at]).ravel(), minlength=2 * _DIMS * len(letters)).reshape(-1, 2 * _DIMS)
+    return np.bincount(np.hstack([slots + at, half + at]).ravel(), minlength=2 * _DIMS * len(letters)).reshape(-1, 2 * _DIMS).astype(np.int32)
 
 
 class _Reach:
-    """How much the counts of searched words lie above and below a box, and whether it is in reach.
+    """Which searched words come as near to a box as one edit allows, on the way down a tree.
 
-    A searched word may miss one letter of the box's words (``longer``) or have another one
-    in place of one of them.
+    Kept are the words' rows and how much their counts lie below and above the box, for the
+    whole word and its first half; a cut changes one count only. A searched word may miss
+    one letter of the box's words (``longer``) or have another one in place of one of them.
     """
 
-    def __init__(self, queries: np.ndarray, longer: bool):
-        self.vectors, self.longer = queries, longer
-
-    def within(self, rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        v = self.vectors[rows]
-        up, down = np.maximum(low - v, 0), np.maximum(v - high, 0)
-        whole_down = down[:, :_DIMS].sum(1)
-        good = (up[:, :_DIMS].sum(1) <= 1) & (whole_down <= (0 if self.longer else 1))
-        return rows[good & (up[:, _DIMS:].sum(1) <= 1) & (down[:, _DIMS:].sum(1) <= 1)]
+    def __init__(self, counts: np.ndarray, longer: bool):
+        self.counts, self.longer = counts, longer
+
+    def start(self) -> tuple[np.ndarray, np.ndarray, dict, dict]:
+        n = self.counts.shape[1]
+        return np.arange(n), np.zeros((4, n), np.int8), {}, {}
+
+    def cut(self, state, d: int, value: int) -> tuple[tuple, tuple]:
+        """States of the words near the left box, with counts below ``value``, and near the right one."""
+        rows, off, low, high = state
+        c = self.counts[d, rows]
+        half = 2 * (d >= _DIMS)
+        above = np.clip(c - (value - 1), 0, 2) - (np.clip(c - high[d], 0, 2) if d in high else 0)
+        below = np.clip(value - c, 0, 2) - (np.clip(low[d] - c, 0, 2) if d in low else 0)
+        most_above = 0 if self.longer and not half else 1
+        left = off[half + 1] + above <= most_above
+        right = off[half] + below <= 1
+        left_off, right_off = off[:, left], off[:, right]
+        left_off[half + 1] += above[left].astype(np.int8)
+        right_off[half] += below[right].astype(np.int8)
+        return (rows[left], left_off, low, {**high, d: value - 1}), (rows[right], right_off, {**low, d: value}, high)
 
 
 def _cut(vectors: np.ndarray) -> tuple[int, int] | None:
@@ -137,24 +150,21 @@ class _Top:
 
     def __init__(self, sample: np.ndarray, boxes: int):
         self.nodes: list[tuple[int, int, int, int]] = []  # dimension, value, left, right; dimension -1: a box
-        self.boxes: list[tuple[np.ndarray, np.ndarray]] = []
-        low, high = np.zeros(2 * _DIMS, np.int64), np.full(2 * _DIMS, 1 << 30)
-        self._grow(sample, boxes, low, high)
+        self.boxes = 0
+        self._grow(sample, boxes)
 
-    def _grow(self, points: np.ndarray, boxes: int, low: np.ndarray, high: np.ndarray) -> int:
+    def _grow(self, points: np.ndarray, boxes: int) -> int:
         at = len(self.nodes)
-        self.nodes.append((-1, len(self.boxes), 0, 0))
+        self.nodes.append((-1, self.boxes, 0, 0))
         cut = _cut(points) if boxes > 1 and len(points) > 1 else None
         if cut is None:
-            self.boxes.append((low, high))
+            self.boxes += 1
             return at
         d, value = cut
-        left_high, right_low = high.copy(), low.copy()
-        left_high[d], right_low[d] = value - 1, value
         is_left = points[:, d] < value
         share = min(boxes - 1, max(1, round(boxes * is_left.mean())))
-        left = self._grow(points[is_left], share, low, left_high)
-        right = self._grow(points[~is_left], boxes - share, right_low, high)
+        left = self._grow(points[is_left], share)
+        right = self._grow(points[~is_left], boxes - share)
         self.nodes[at] = (d, value, left, right)
         return at
 
@@ -174,22 +184,19 @@ class _Top:
 
     def reached(self, vectors: np.ndarray, longer: bool) -> tuple[np.ndarray, np.ndarray]:
         """(word, box) for all boxes in reach."""
-        reach, rows, boxes = _Reach(vectors, longer), [], []
-        everyone = np.arange(len(vectors))
-        todo = [(0, everyone, np.zeros(2 * _DIMS, np.int64), np.full(2 * _DIMS, 1 << 30))]
+        reach, rows, boxes = _Reach(np.ascontiguousarray(vectors.T), longer), [], []
+        todo = [(0, reach.start())]
         while todo:
-            at, near, low, high = todo.pop()
-            near = reach.within(near, low, high)
+            at, state = todo.pop()
             d, value, left, right = self.nodes[at]
+            near = state[0]
             if not len(near):
                 continue
             if d < 0:
                 rows.append(near)
                 boxes.append(np.full(len(near), value))
                 continue
-            left_high, right_low = high.copy(), low.copy()
-            left_high[d], right_low[d] = value - 1, value
-            todo += [(left, near, low, left_high), (right, near, right_low, high)]
+            todo += zip((left, right), reach.cut(state, d, value))
         if not rows:
             return np.zeros(0, np.int64), np.zeros(0, np.int32)
         return np.concatenate(rows), np.concatenate(boxes).astype(np.int32)
@@ -198,39 +205,54 @@ class _Top:
 def _near_pairs(queries: np.ndarray, points: np.ndarray, longer: bool) -> tuple[np.ndarray, np.ndarray]:
     """Rows of ``queries`` and ``points`` exactly one edit apart, by a search down a k-d tree of the points."""
     length = points.shape[1]
-    vectors, reach = _vectors(points, length), _Reach(_vectors(queries, length), longer)
+    vectors, reach = _vectors(points, length), _Reach(np.ascontiguousarray(_vectors(queries, length).T), longer)
+    # An edit leaves one half of the letters alone, counted from its end: most pairs in reach differ there.
+    half = length // 2
+    q_first, q_last = _packed(queries[:, :half]), _packed(queries[:, half:])
+    p_first, p_last = _packed(points[:, :half]), _packed(points[:, half + longer :])
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    todo = [(np.arange(len(points)), np.arange(len(queries)))]
+    todo = [(np.arange(len(points)), reach.start())]
     while todo:
-        p, q = todo.pop()
-        v = vectors[p]
-        q = reach.within(q, v.min(0), v.max(0))
+        p, state = todo.pop()
+        q = state[0]
         if not len(q):
             continue
-        cut = _cut(v) if len(p) > _LEAF else None
+        cut = _cut(vectors[p]) if len(p) > _LEAF else None
         if cut is not None:
-            is_left = v[:, cut[0]] < cut[1]
-            todo += [(p[is_left], q), (p[~is_left], q)]
+            is_left = vectors[p, cut[0]] < cut[1]
+            todo += zip((p[is_left], p[~is_left]), reach.cut(state, *cut))
             continue
-        # Letters of a block of searched words against all words left in the box.
-        step = max(1, _COMPARED // (8 * max(1, len(p) * length)))
+        step = max(1, _COMPARED // len(p))
         for lo in range(0, len(q), step):
-            a, b = queries[q[lo : lo + step]], points[p]
-            i, j = _one_edit(a, b, longer)
-            found.append((q[lo + i], p[j]))
+            a = q[lo : lo + step]
+            i, j = np.nonzero((q_first[a][:, None] == p_first[p]) | (q_last[a][:, None] == p_last[p]))
+            i, j = a[i], p[j]
+            for first in range(0, len(i), max(1, _COMPARED // length)):
+                part = slice(first, first + max(1, _COMPARED // length))
+                good = _one_edit(queries[i[part]], points[j[part]], longer)
+                found.append((i[part][good], j[part][good]))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def _one_edit(a: np.ndarray, b: np.ndarray, longer: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows where ``b`` is ``a`` with one letter replaced, or inserted if ``longer``."""
+def _packed(letters: np.ndarray) -> np.ndarray:
+    """Rows of letters as one number each; letters are compared after it."""
+    total = np.zeros(len(letters), np.int64)
+    with np.errstate(over="ignore"):
+        for i in range(letters.shape[1]):
+            total = total * 0x100000001B3 + letters[:, i]
+    return total
+
+
+def _one_edit(a: np.ndarray, b: np.ndarray, longer: bool) -> np.ndarray:
+    """Whether ``b`` is ``a`` with one letter replaced, or inserted if ``longer``, row by row."""
     if not longer:
-        return np.nonzero((a[:, None, :] != b[None, :, :]).sum(2) == 1)
+        return (a != b).sum(1) == 1
     n = a.shape[1]
-    same = np.logical_and.accumulate(a[:, None, :] == b[None, :, :n], axis=2).sum(2)
-    tail = np.logical_and.accumulate((a[:, None, :] == b[None, :, 1:])[:, :, ::-1], axis=2).sum(2)
-    return np.nonzero(same + tail >= n)
+    same = np.logical_and.accumulate(a == b[:, :n], axis=1).sum(1)
+    tail = np.logical_and.accumulate((a == b[:, 1:])[:, ::-1], axis=1).sum(1)
+    return same + tail >= n
 
 
 def _tops(words: DataFrame, box_words: int) -> dict[int, _Top]:

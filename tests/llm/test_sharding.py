@@ -37,7 +37,7 @@ def test_cells_hold_even_numbers_of_rows(spark):
     for v in sorted(counts):
         expected.setdefault(above * 8 // len(known), v)
         above += counts[v]
-    assert cell_bounds(df, "v", 8) == [v for c, v in sorted(expected.items()) if c]
+    assert cell_bounds(df, "v", 8) == [(c, v) for c, v in sorted(expected.items()) if c]
     assert cell_bounds(df.where("v is null"), "v", 8) == []
 
 
