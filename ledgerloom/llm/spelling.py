@@ -34,6 +34,8 @@ CHANGED = 31
 # Words that a box should hold, and sampled words per box that choose the cuts of a tree's top.
 BOX_WORDS = 4000
 SAMPLE_PER_BOX, SAMPLE = 40, 40_000
+# What a word is in a box: one to be found, one searched for, the last three by where it belongs.
+_POINT, _AT_HOME, _FROM_OUTSIDE, _SHORTER = range(4)
 # Words that a task counts before it passes them on.
 _MOST_WORDS = 200_000
 # Points that a search compares without a cut, and pairs or bytes compared at a time.
@@ -46,6 +48,8 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 _OTHERS = 6
 _SLOT = np.array([i % _OTHERS + 26 if not 97 <= i <= 122 else i - 97 for i in range(256)])
 _DIMS = 26 + _OTHERS
+# A higher count counts as this one, which brings no two words farther apart.
+_MOST = 100
 
 
 def spelled_words(docs: DataFrame, changed: int = CHANGED, shortest: int = SHORTEST, least: int = LEAST) -> DataFrame:
@@ -87,9 +91,9 @@ def spelled_words(docs: DataFrame, changed: int = CHANGED, shortest: int = SHORT
     return counted.where(F.col("n") >= least)
 
 
-def _letters(words: list[str]) -> np.ndarray:
-    """Bytes of words of one length, one row each; every letter here has one."""
-    return np.frombuffer("".join(words).encode("latin-1"), np.uint8).reshape(len(words), -1)
+def _letters(words: list[str], length: int) -> np.ndarray:
+    """Bytes of words of ``length``, one row each; every letter here has one."""
+    return np.frombuffer("".join(words).encode("latin-1"), np.uint8).reshape(len(words), length)
 
 
 def _vectors(letters: np.ndarray, length: int) -> np.ndarray:
@@ -97,7 +101,7 @@ def _vectors(letters: np.ndarray, length: int) -> np.ndarray:
     slots = _SLOT[letters]
     half = slots[:, : length // 2] + _DIMS
     at = 2 * _DIMS * np.arange(len(letters))[:, None]
-    return np.bincount(np.hstack([slots + at, half + at]).ravel(), minlength=2 * _DIMS * len(letters)).reshape(-1, 2 * _DIMS).astype(np.int32)
+    return np.bincount(np.hstack([slots + at, half + at]).ravel(), minlength=2 * _DIMS * len(letters)).reshape(-1, 2 * _DIMS).clip(0, _MOST).astype(np.int8)
 
 
 class _Reach:
@@ -120,14 +124,17 @@ class _Reach:
         rows, off, low, high = state
         c = self.counts[d, rows]
         half = 2 * (d >= _DIMS)
-        above = np.clip(c - (value - 1), 0, 2) - (np.clip(c - high[d], 0, 2) if d in high else 0)
-        below = np.clip(value - c, 0, 2) - (np.clip(low[d] - c, 0, 2) if d in low else 0)
+        above, below = (c - np.int8(value - 1)).clip(0, 2), (np.int8(value) - c).clip(0, 2)
+        if d in high:
+            above -= (c - np.int8(high[d])).clip(0, 2)
+        if d in low:
+            below -= (np.int8(low[d]) - c).clip(0, 2)
         most_above = 0 if self.longer and not half else 1
         left = off[half + 1] + above <= most_above
         right = off[half] + below <= 1
         left_off, right_off = off[:, left], off[:, right]
-        left_off[half + 1] += above[left].astype(np.int8)
-        right_off[half] += below[right].astype(np.int8)
+        left_off[half + 1] += above[left]
+        right_off[half] += below[right]
         return (rows[left], left_off, low, {**high, d: value - 1}), (rows[right], right_off, {**low, d: value}, high)
 
 
@@ -202,38 +209,56 @@ class _Top:
         return np.concatenate(rows), np.concatenate(boxes).astype(np.int32)
 
 
-def _near_pairs(queries: np.ndarray, points: np.ndarray, longer: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of ``queries`` and ``points`` exactly one edit apart, by a search down a k-d tree of the points."""
-    length = points.shape[1]
-    vectors, reach = _vectors(points, length), _Reach(np.ascontiguousarray(_vectors(queries, length).T), longer)
-    # An edit leaves one half of the letters alone, counted from its end: most pairs in reach differ there.
-    half = length // 2
-    q_first, q_last = _packed(queries[:, :half]), _packed(queries[:, half:])
-    p_first, p_last = _packed(points[:, :half]), _packed(points[:, half + longer :])
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    todo = [(np.arange(len(points)), reach.start())]
+class _Search:
+    """Words searched for among the points of a box."""
+
+    def __init__(self, queries: np.ndarray, points: np.ndarray, longer: bool):
+        self.queries, self.points, self.longer, length = queries, points, longer, points.shape[1]
+        self.reach = _Reach(np.ascontiguousarray(_vectors(queries, length).T), longer)
+        # An edit leaves one half of the letters alone, counted from its end: most pairs in reach differ there.
+        half = length // 2
+        self.first = _packed(queries[:, :half]), _packed(points[:, :half])
+        self.last = _packed(queries[:, half:]), _packed(points[:, half + longer :])
+        self.found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def compare(self, q: np.ndarray, p: np.ndarray) -> None:
+        for lo in range(0, len(q), max(1, _COMPARED // len(p))):
+            a = q[lo : lo + max(1, _COMPARED // len(p))]
+            same = [mine[a][:, None] == theirs[p] for mine, theirs in (self.first, self.last)]
+            i, j = np.nonzero(same[0] | same[1])
+            i, j = a[i], p[j]
+            step = max(1, _COMPARED // self.points.shape[1])
+            for first in range(0, len(i), step):
+                part = slice(first, first + step)
+                good = _one_edit(self.queries[i[part]], self.points[j[part]], self.longer)
+                self.found.append((i[part][good], j[part][good]))
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        none = np.zeros(0, np.int64)
+        return tuple(np.concatenate([none, *[f[k] for f in self.found]]) for k in (0, 1))
+
+
+def _near_pairs(points: np.ndarray, same: np.ndarray, shorter: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Rows of the searched words and of ``points`` exactly one edit apart, for words as long and words one letter shorter.
+
+    One k-d tree of the points serves both.
+    """
+    vectors = _vectors(points, points.shape[1])
+    searches = [_Search(same, points, False), _Search(shorter, points, True)]
+    todo = [(np.arange(len(points)), [s.reach.start() for s in searches])]
     while todo:
-        p, state = todo.pop()
-        q = state[0]
-        if not len(q):
+        p, states = todo.pop()
+        if not any(len(state[0]) for state in states):
             continue
         cut = _cut(vectors[p]) if len(p) > _LEAF else None
-        if cut is not None:
-            is_left = vectors[p, cut[0]] < cut[1]
-            todo += zip((p[is_left], p[~is_left]), reach.cut(state, *cut))
+        if cut is None:
+            for s, state in zip(searches, states):
+                s.compare(state[0], p)
             continue
-        step = max(1, _COMPARED // len(p))
-        for lo in range(0, len(q), step):
-            a = q[lo : lo + step]
-            i, j = np.nonzero((q_first[a][:, None] == p_first[p]) | (q_last[a][:, None] == p_last[p]))
-            i, j = a[i], p[j]
-            for first in range(0, len(i), max(1, _COMPARED // length)):
-                part = slice(first, first + max(1, _COMPARED // length))
-                good = _one_edit(queries[i[part]], points[j[part]], longer)
-                found.append((i[part][good], j[part][good]))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        is_left = vectors[p, cut[0]] < cut[1]
+        sides = [s.reach.cut(state, *cut) for s, state in zip(searches, states)]
+        todo += [(p[is_left], [side[0] for side in sides]), (p[~is_left], [side[1] for side in sides])]
+    return [s.pairs() for s in searches]
 
 
 def _packed(letters: np.ndarray) -> np.ndarray:
@@ -269,7 +294,7 @@ def _tops(words: DataFrame, box_words: int) -> dict[int, _Top]:
     sample: dict[int, list[str]] = {}
     for row in words.where(drawn).select("length", "word").limit(2 * SAMPLE).toLocalIterator():
         sample.setdefault(row.length, []).append(row.word)
-    return {length: _Top(_vectors(_letters(sorted(found)), length), boxes[length]) for length, found in sample.items()}
+    return {length: _Top(_vectors(_letters(sorted(found), length), length), boxes[length]) for length, found in sample.items()}
 
 
 def near_words(words: DataFrame, box_words: int = BOX_WORDS) -> DataFrame:
@@ -287,73 +312,81 @@ def near_words(words: DataFrame, box_words: int = BOX_WORDS) -> DataFrame:
         for batch in batches:
             df = batch.to_pandas()
             for length, own in df.groupby("length"):
-                letters, rows = _letters(own["word"].tolist()), own.to_dict("list")
+                letters = _letters(own["word"].tolist(), length)
                 out = []
                 for target in (length, length + 1):
                     top = tops.value.get(target)
-                    at, box = np.arange(len(own)), np.zeros(len(own), np.int32)
+                    everyone, lowest = np.arange(len(own)), np.zeros(len(own), np.int32)
+                    at, box, home = everyone, lowest, lowest
                     if top is not None:
                         vectors = _vectors(letters, target)
-                        if target == length:
-                            out.append((target, at, top.home(vectors), True))
+                        home = top.home(vectors) if target == length else home
                         at, box = top.reached(vectors, target != length)
-                    elif target == length:
-                        out.append((target, at, box, True))
-                    out.append((target, at, box, False))
-                for target, at, box, is_point in out:
+                    if target != length:
+                        out.append((target, at, box, np.full(len(at), _SHORTER)))
+                        continue
+                    # Two words as long as each other are compared in the later one's box only.
+                    at, box = at[box >= home[at]], box[box >= home[at]]
+                    out.append((target, everyone, home, np.full(len(own), _POINT)))
+                    out.append((target, at, box, np.where(box == home[at], _AT_HOME, _FROM_OUTSIDE)))
+                for target, at, box, role in out:
                     if len(at):
                         yield pa.RecordBatch.from_pydict(
                             {
                                 "tree": pa.array(np.full(len(at), target, np.int32)),
                                 "box": pa.array(box.astype(np.int32)),
-                                "point": pa.array(np.full(len(at), is_point)),
+                                "role": pa.array(role.astype(np.int32)),
                                 "word": pa.array(own["word"].to_numpy()[at], pa.string()),
                                 "n": pa.array(own["n"].to_numpy()[at], pa.int64()),
                             }
                         )
 
-    dealt = stage(words.mapInArrow(deal, "tree int, box int, point boolean, word string, n long"), "spelled-boxes")
+    dealt = stage(words.mapInArrow(deal, "tree int, box int, role int, word string, n long"), "spelled-boxes")
+    is_point = F.col("role") == _POINT
     # Boxes whose words the cuts could not part are dealt over several tasks, by points and by searched words.
-    sizes = dealt.groupBy("tree", "box").agg(F.count_if("point").alias("points"), F.count_if(~F.col("point")).alias("queries"))
+    sizes = dealt.groupBy("tree", "box").agg(F.count_if(is_point).alias("points"), F.count_if(~is_point).alias("queries"))
     sizes = sizes.where("points > 0 and queries > 0").select(
         "tree", "box", *[F.ceil(F.col(c) / (w * box_words)).cast("int").alias(c) for c, w in (("points", 2), ("queries", 8))]
     )
     parts = counted_join(dealt, sizes, ["tree", "box"])
-    spread = F.pmod(F.xxhash64("word"), F.when(F.col("point"), F.col("points")).otherwise(F.col("queries"))).cast("int")
-    others = F.when(F.col("point"), F.col("queries")).otherwise(F.col("points"))
+    spread = F.pmod(F.xxhash64("word"), F.when(is_point, F.col("points")).otherwise(F.col("queries"))).cast("int")
+    others = F.when(is_point, F.col("queries")).otherwise(F.col("points"))
     parts = parts.withColumn("own", spread).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
     parts = parts.select(
         "tree",
         "box",
-        F.when(F.col("point"), F.col("own")).otherwise(F.col("other")).alias("points"),
-        F.when(F.col("point"), F.col("other")).otherwise(F.col("own")).alias("queries"),
-        "point",
+        F.when(is_point, F.col("own")).otherwise(F.col("other")).alias("points"),
+        F.when(is_point, F.col("other")).otherwise(F.col("own")).alias("queries"),
+        "role",
         "word",
         "n",
     )
 
     def search(part: pd.DataFrame) -> pd.DataFrame:
+        role = part["role"].to_numpy()
+        points, same, shorter = (
+            part[kind].reset_index(drop=True)
+            for kind in (role == _POINT, (role == _AT_HOME) | (role == _FROM_OUTSIDE), role == _SHORTER)
+        )
+        none = pd.DataFrame({"word": [], "n_near": [], "near_n": [], "near": []})
+        if not len(points):
+            return none
         length = int(part["tree"].iloc[0])
-        points = part[part["point"]].reset_index(drop=True)
-        found = []
-        for longer in (False, True):
-            queries = part[~part["point"] & (part["word"].str.len() == length - longer)].reset_index(drop=True)
-            if not len(points) or not len(queries):
-                continue
-            q, p = _near_pairs(_letters(queries["word"].tolist()), _letters(points["word"].tolist()), longer)
-            found.append((queries, q, points, p))
-            if longer:
-                found.append((points, p, queries, q))
-        pairs = [
-            pd.DataFrame({"word": a["word"].to_numpy()[i], "near": b["word"].to_numpy()[j], "near_n": b["n"].to_numpy()[j]})
-            for a, i, b, j in found
-        ]
-        if not pairs:
-            return pd.DataFrame({"word": [], "n_near": [], "near_n": [], "near": []})
+        letters = [_letters(df["word"].tolist(), n) for df, n in ((points, length), (same, length), (shorter, length - 1))]
+        pairs = []
+        for queries, (q, p) in zip((same, shorter), _near_pairs(*letters)):
+            # At home a pair is found from both its words.
+            once = (queries["role"].to_numpy()[q] != _AT_HOME) | (queries["word"].to_numpy()[q] < points["word"].to_numpy()[p])
+            for a, i, b, j in ((queries, q[once], points, p[once]), (points, p[once], queries, q[once])):
+                pairs.append(
+                    pd.DataFrame({"word": a["word"].to_numpy()[i], "near": b["word"].to_numpy()[j], "near_n": b["n"].to_numpy()[j]})
+                )
+        if not any(len(x) for x in pairs):
+            return none
         pairs = pd.concat(pairs).sort_values(["word", "near_n", "near"], ascending=[True, False, True], kind="stable")
         best = pairs.drop_duplicates("word").set_index("word")
         best["n_near"] = pairs.groupby("word").size()
-        return best.reset_index()[["word", "n_near", "near_n", "near"]]
+        return best.reset_index()[["word", "n_near", "near_n", "near"]].astype({"word": object, "near": object})
 
     near = parts.groupBy("tree", "box", "points", "queries").applyInPandas(
         search, "word string, n_near long, near_n long, near string"

@@ -109,13 +109,13 @@ def test_boxes_hold_every_word_once_and_all_in_reach():
     draw = random.Random(8)
     words = ["".join(draw.choices("aabcdefghé", k=9)) for _ in range(1000)]
     words += [w[:5] + draw.choice("xyzé") + w[6:] for w in words]
-    letters = spelling._letters(words)
+    letters = spelling._letters(words, 9)
     vectors = spelling._vectors(letters, 9)
     top = spelling._Top(vectors[:500], 16)
     home = top.home(vectors)
     assert top.boxes == 16 and np.bincount(home, minlength=16).min() > 40
-    q, p = spelling._near_pairs(letters, letters, False)
-    assert len(q) > 1500
+    (q, p), (none, _) = spelling._near_pairs(letters, letters, letters[:0, :8])
+    assert len(q) > 1500 and not len(none)
     reached = set(zip(*(x.tolist() for x in top.reached(vectors, False))))
     assert all((int(i), int(home[j])) in reached for i, j in zip(q, p))
     assert len(reached) < 0.9 * 16 * len(words)
