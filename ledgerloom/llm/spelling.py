@@ -368,7 +368,7 @@ def near_words(words: DataFrame, box_words: int = BOX_WORDS) -> DataFrame:
             part[kind].reset_index(drop=True)
             for kind in (role == _POINT, (role == _AT_HOME) | (role == _FROM_OUTSIDE), role == _SHORTER)
         )
-        none = pd.DataFrame({"word": [], "n_near": [], "near_n": [], "near": []})
+        none = pd.DataFrame({"word": [], "n_near": [], "near_n": [], "near": []}, dtype=object)
         if not len(points):
             return none
         length = int(part["tree"].iloc[0])
@@ -386,7 +386,7 @@ def near_words(words: DataFrame, box_words: int = BOX_WORDS) -> DataFrame:
         pairs = pd.concat(pairs).sort_values(["word", "near_n", "near"], ascending=[True, False, True], kind="stable")
         best = pairs.drop_duplicates("word").set_index("word")
         best["n_near"] = pairs.groupby("word").size()
-        return best.reset_index()[["word", "n_near", "near_n", "near"]].astype({"word": object, "near": object})
+        return best.reset_index()[["word", "n_near", "near_n", "near"]]
 
     near = parts.groupBy("tree", "box", "points", "queries").applyInPandas(
         search, "word string, n_near long, near_n long, near string"
