@@ -343,6 +343,20 @@ select * from bands left join begins using (fy, ueid, position_number, benefit_i
   left join ends using (fy, ueid, position_number, benefit_id)"""),
         "ingest_files": _with("ledger", _PER_FILE),
         "ingest_from_files": _with("ledger", _PER_FILE),
+        "ingest_ragged_files": _with("ledger", """
+select source_file, ueid, department_name || chr(10) || '"unit", ' || org_code as department, end_balance,
+  case when org_code like '%10' then 'late ' || cbid end as late, null::varchar as last
+from ledger
+union all select distinct source_file, 'wide', null, '1', 'z', 'z' from ledger"""),
+        "requote": _with("ledger", """
+texts as (
+  select '"' || ueid || '","' || department_name || chr(10) || '""unit"", ' || org_code || '","' || end_balance || '"'
+    || case when org_code like '%10' then ',"","late ' || cbid || '"' else '' end as text
+  from ledger
+  union all select unnest(['"Title, with' || chr(10) || 'a break"', '"ueid","department","end_balance"'])
+  from (select distinct source_file from ledger)
+) --main
+select unnest(string_split(text, chr(10))) as value from texts"""),
         "ingest_audit_from_files": _with("ledger", """
 select source_file as file_name, count(*) + 1 as original_row_count, count(*) as imported_row_count
 from ledger group by all"""),

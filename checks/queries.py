@@ -162,6 +162,62 @@ def _ingest_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _per_file(rows)
 
 
+RAGGED_WIDTH = 5000
+
+
+def _written(lines: DataFrame, name: str) -> str:
+    """Folder of text files with ``value`` of each file's lines, ordered by ``seq``; a value may hold line breaks."""
+    spark = lines.sparkSession
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    (
+        lines.repartition("source_file")
+        .sortWithinPartitions("source_file", "seq")
+        .select("source_file", "value")
+        .write.option("maxRecordsPerFile", 0)
+        .partitionBy("source_file")
+        .text(f"{folder}/parts")
+    )
+    for row in lines.select("source_file").distinct().collect():
+        sinks.publish(spark, f"{folder}/parts/source_file={row.source_file}", f"{folder}/{row.source_file}")
+    return folder
+
+
+def _ragged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly files whose departments hold line breaks and quotes, with over-long lines and one of 5,000 fields each."""
+    ledger = spark_view(spark, sf_dir, "ledger")
+    department = F.concat(F.lit('"'), F.col("department_name"), F.lit('\n""unit"", '), F.col("org_code"), F.lit('"'))
+    late = F.when(F.col("org_code").endswith("10"), F.concat(F.lit(",,late "), F.col("cbid"))).otherwise("")
+    rows = ledger.select(
+        "source_file", F.lit(3).alias("seq"), F.concat_ws(",", "ueid", department, F.concat("end_balance", late)).alias("value")
+    )
+    wide = F.concat(F.lit("wide,,1"), F.repeat(F.lit(",z"), RAGGED_WIDTH - 3))
+    heads = ledger.select("source_file").distinct().select(
+        "source_file",
+        F.posexplode(F.array(F.lit('"Title, with\na break"'), F.lit("ueid,department,end_balance"), wide)).alias("seq", "value"),
+    )
+    return heads.unionByName(rows)
+
+
+def _ingest_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = ingest.ingest(spark, _written(_ragged_lines(spark, sf_dir), "ragged"), header_row=2)
+    return rows.select(
+        "source_file",
+        "ueid",
+        "department",
+        "end_balance",
+        F.col("`Unnamed: 4`").alias("late"),
+        F.col(f"`Unnamed: {RAGGED_WIDTH - 1}`").alias("last"),
+    )
+
+
+def _requote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ragged files' records of ordinary width, every field in quotes, as lines of the new files."""
+    lines = _ragged_lines(spark, sf_dir).where("seq <> 2")
+    target = f"{shared_folder(spark)}/requoted-{uuid.uuid4().hex}"
+    sinks.requote(spark, _written(lines, "ragged"), target, "*.csv")
+    return spark.read.text(target)
+
+
 def _ingest_audit_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, audit = ingest.ingest(spark, _ledger_files(spark, sf_dir))
     return audit
@@ -259,6 +315,8 @@ def queries() -> dict[str, Query]:
         # Ingest and output
         "ingest_files": _ingested,
         "ingest_from_files": _ingest_from_files,
+        "ingest_ragged_files": _ingest_ragged,
+        "requote": _requote,
         "ingest_audit_from_files": _ingest_audit_from_files,
         "ingest_audit": _on("ledger", lambda df: ingest.import_audit(_audit_rows(df))),
         "union_by_name": _union_by_name,

@@ -7,14 +7,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.skew import lookup_join
 from ..schema import HEADER_ROW
 from ..session import stage
+from .records import LINEAGE, fields, records
 
-LINEAGE = "source_file"
-# The CSV parser's own limit; it is raised for wider lines.
-MAX_COLUMNS = 20480
 
 
 def source_file() -> Column:
@@ -45,9 +44,7 @@ def file_lines(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFr
 
 def _unique_names(names: Column) -> Column:
     """Blank headings get a numbered name, repeated ones a numbered suffix."""
-    named = F.transform(
-        names, lambda n, i: F.coalesce(n, F.concat(F.lit("Unnamed: "), i.cast("string")))
-    )
+    named = F.transform(names, lambda n, i: F.coalesce(n, _unnamed(i)))
 
     def suffixed(name: Column, i: Column) -> Column:
         before = F.size(F.filter(F.slice(named, F.lit(1), i), lambda other: other == name))
@@ -56,88 +53,98 @@ def _unique_names(names: Column) -> Column:
     return F.transform(named, suffixed)
 
 
-def _parsed(line: str, count: int) -> Column:
-    """Fields ``f0, f1, …`` of a CSV line, from one parse; to be selected next to other columns."""
-    schema = ", ".join(f"f{i} STRING" for i in range(count))
-    options = {"escape": '"', "maxColumns": str(max(MAX_COLUMNS, count))}
-    return F.inline(F.array(F.from_csv(line, schema, options)))
-
+def _unnamed(place: Column) -> Column:
+    return F.concat(F.lit("Unnamed: "), place.cast("string"))
 
-def _fields(count: int) -> Column:
-    """The parsed fields as an array; empty ones are NULL."""
-    return F.array(*[F.nullif(F.col(f"f{i}"), F.lit("")) for i in range(count)])
 
+def file_headers(lines: DataFrame, header_row: int = HEADER_ROW) -> DataFrame:
+    """Place (``seq``) and text of every file's header record.
 
-def _field_bound(line: Column) -> Column:
-    """At least as many fields as the CSV parser finds: exactly so many unless a quote stands inside a field."""
-    single = F.replace(line, F.lit('""'), F.lit(""))
-    rest = F.regexp_replace(single, r'(^|,)"[^"]*+"(?=,|\z)', "$1")
-    return F.regexp_count(F.when(rest.contains('"'), line).otherwise(rest), F.lit(",")) + 1
+    Every task passes on at most ``header_row`` records per file.
+    """
+    in_file = Window.partitionBy(LINEAGE).orderBy("seq")
+    top = lines.filter("block = 0").withColumn("n", F.row_number().over(in_file)).filter(F.col("n") == header_row)
+    return top.select(LINEAGE, F.col("seq").alias("header_seq"), F.col("value").alias("header"))
 
 
-def file_headers(lines: DataFrame, header_row: int = HEADER_ROW) -> DataFrame:
-    """First line number (``seq``) and header line of every file.
+def parsed_rows(lines: DataFrame, header_row: int = HEADER_ROW) -> tuple[DataFrame, DataFrame]:
+    """Data rows ``source_file, filled, cells`` of all files, and each file's headings ``source_file, names``.
 
-    Every task passes on at most ``header_row`` lines per file.
+    ``cells`` is a JSON object of the filled fields by heading and ``filled`` the place of the
+    last of them, from 1; so a row is as wide as what it holds, and no expression as wide as
+    the widest row. Fields right of a file's last heading go by numbered names, as below
+    blank headings. Both are staged: the text is parsed once. Runs jobs when called.
     """
-    in_file = Window.partitionBy(LINEAGE).orderBy("seq")
-    top = lines.filter("block = 0").withColumn("n", F.row_number().over(in_file)).filter(F.col("n") <= header_row)
-    return top.groupBy(LINEAGE).agg(
-        F.min("seq").alias("first_seq"), F.max(F.when(F.col("n") == header_row, F.col("value"))).alias("header")
+    found = records(lines)
+    headers = file_headers(found, header_row).select(
+        LINEAGE, "header_seq", F.transform(fields(F.col("header")), lambda n: F.nullif(n, F.lit(""))).alias("names")
     )
+    headers = stage(headers.withColumn("names", _unique_names(F.col("names"))), "headers")
+    data = lookup_join(found, headers, [LINEAGE], F.size("names")).filter("block > 0 or seq > header_seq")
 
+    def named(value: Column, i: Column) -> Column:
+        extra = F.when(F.array_contains("names", _unnamed(i)), F.concat(_unnamed(i), F.lit(".1"))).otherwise(_unnamed(i))
+        return F.struct(_key(F.coalesce(F.get("names", i), extra)).alias("key"), value.alias("value"), (i + 1).alias("place"))
 
-def read_tables(lines: DataFrame, header_row: int = HEADER_ROW) -> DataFrame:
-    """Data rows of all files, united by column name, with their source file.
+    cells = data.select(LINEAGE, "names", fields(F.col("value")).alias("fields")).select(
+        LINEAGE, F.filter(F.transform("fields", named), lambda cell: cell["value"] != "").alias("cells")
+    )
+    pairs = F.transform("cells", lambda cell: F.struct(cell["key"], cell["value"]))
+    rows = cells.select(
+        LINEAGE,
+        F.coalesce(F.array_max(F.col("cells.place")), F.lit(0)).alias("filled"),
+        F.to_json(F.map_from_entries(pairs)).alias("cells"),
+    )
+    return stage(rows, "rows"), headers.select(LINEAGE, "names")
 
-    Columns appear in the order of the files and their headings; a column a file lacks
-    is NULL. Values right of a file's last heading get numbered columns, as below blank headings. Fully empty rows stay, see :func:`drop_empty_rows`. ``lines`` must give a line
-    the same ``block`` and ``seq`` whenever it is read. Runs jobs when called.
-    """
-    headers = stage(file_headers(lines, header_row).filter("header is not null"), "headers")
-    unquoted = F.regexp_replace("header", '"([^"]|"")*"', "")
-    headers = headers.withColumn("ncols", F.size(F.split(unquoted, ",")))
-    is_data = (F.col("block") > 0) | (F.col("seq") >= F.col("first_seq") + header_row)
-    over = lookup_join(lines, headers.select(LINEAGE, "first_seq", "ncols"), [LINEAGE]).filter(is_data)
-    over = over.withColumn("bound", _field_bound(F.col("value"))).filter("bound > ncols")
-    longest = over.agg(F.max("bound")).first()[0]
-    if longest:
-        # Empty fields at a line's end need no column; the last value of the longest line does.
-        last = F.array_max(F.transform(_fields(longest), lambda v, i: F.when(v.isNotNull(), i + 1)))
-        filled = over.select(LINEAGE, _parsed("value", longest)).groupBy(LINEAGE).agg(F.max(last).alias("filled"))
-        headers = stage(headers.join(filled, LINEAGE, "left"), "widths")
-        headers = headers.withColumn("filled", F.greatest("ncols", "filled"))
-    else:
-        headers = headers.withColumn("filled", F.col("ncols"))
-    width = headers.agg(F.max("filled")).first()[0] or 1
-    # Fields of the header line beyond its headings are none.
-    names = F.transform(_fields(width), lambda n, i: F.when(i < F.col("ncols"), n))
-    names = _unique_names(F.slice(names, F.lit(1), F.col("filled")))
-    headers = headers.select(LINEAGE, "first_seq", "ncols", "filled", _parsed("header", width)).select(
-        LINEAGE, "first_seq", names.alias("names")
+
+def _key(name: Column) -> Column:
+    """Key of a heading that differs from all others whatever the case of letters."""
+    return F.regexp_replace(name, r"(\^|\p{Lu})", "^$1")
+
+
+def _unite(rows: DataFrame, headers: DataFrame) -> DataFrame:
+    """Rows of :func:`parsed_rows` as one table: columns in the order of the files and their headings."""
+    widths = rows.groupBy(LINEAGE).agg(F.max("filled").alias("filled")).join(headers, LINEAGE, "right")
+    places = F.expr("if(filled > size(names), sequence(size(names), filled - 1), cast(array() as array<int>))")
+    extra = F.transform(
+        places, lambda i: F.when(F.array_contains("names", _unnamed(i)), F.concat(_unnamed(i), F.lit(".1"))).otherwise(_unnamed(i))
     )
-    columns = [
-        r["name"]
-        for r in headers.select(LINEAGE, F.posexplode("names").alias("i", "name"))
+    columns = (
+        widths.select(LINEAGE, F.posexplode(F.concat("names", extra)).alias("i", "name"))
         .groupBy("name")
         .agg(F.min(F.struct(LINEAGE, "i")).alias("at"))
         .orderBy("at")
+        .select("name", _key(F.col("name")).alias("key"))
         .collect()
-    ]
-    # Where each column stands in a file's lines; NULL where the file lacks it.
-    places = {f"p{i}": F.nullif(F.array_position("names", F.lit(c)), F.lit(0)) - 1 for i, c in enumerate(columns)}
-    layouts = headers.select(LINEAGE, "first_seq", *[p.cast("int").alias(n) for n, p in places.items()])
-    cells = (
-        lookup_join(lines, layouts, [LINEAGE])
-        .filter(is_data)
-        .select(LINEAGE, *places, _parsed("value", width))
-        .select(LINEAGE, *places, _fields(width).alias("fields"))
     )
-    return cells.select(*[F.get("fields", F.col(p)).alias(c) for p, c in zip(places, columns)], LINEAGE)
+    names, used = [], {LINEAGE.lower()}
+    for row in columns:
+        name, n = row["name"], 0
+        while name.lower() in used:
+            n += 1
+            name = f"{row['name']}.{n}"
+        used.add(name.lower())
+        names.append(name)
+    if not columns:
+        return rows.select(LINEAGE)
+    schema = T.StructType([T.StructField(row["key"], T.StringType()) for row in columns])
+    return rows.select(F.inline(F.array(F.from_json("cells", schema))).alias(*names), LINEAGE)
+
+
+def read_tables(lines: DataFrame, header_row: int = HEADER_ROW) -> DataFrame:
+    """Data rows of all files, united by column name, with their source file.
+
+    A column a file lacks is NULL, and so is an empty field. Headings that differ in case
+    only, or are called like the source file's column, get a numbered suffix. Fully empty
+    rows stay, see :func:`drop_empty_rows`. ``lines`` must give a line the same ``block`` and
+    ``seq`` whenever it is read. Runs jobs when called.
+    """
+    return _unite(*parsed_rows(lines, header_row))
 
 
 def has_value(columns: Iterable[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.col(f"`{c}`").isNotNull() for c in columns], F.lit(False))
+    return F.coalesce(F.lit(None).cast("string"), *[F.col(f"`{c}`").cast("string") for c in columns]).isNotNull()
 
 
 def _data_columns(rows: DataFrame) -> list[str]:
@@ -172,13 +179,16 @@ def ingest(
 ) -> tuple[DataFrame, DataFrame]:
     """Imported rows and their audit. Files without data rows are audited with zero rows.
 
-    The text of the files is read once, when called.
+    The text of the files is read and parsed once, when called; the audit counts the parsed
+    rows, two narrow columns of what was written.
     """
-    lines = file_lines(spark, path, pattern)
-    rows = read_tables(lines, header_row)
+    rows, headers = parsed_rows(file_lines(spark, path, pattern), header_row)
+    counts = rows.groupBy(F.col(LINEAGE).alias("file_name")).agg(
+        F.count("*").alias("original_row_count"), F.count_if(F.col("filled") > 0).alias("imported_row_count")
+    )
     files = list_files(spark, path, pattern, recursive=False).select("file_name")
-    audit = files.join(import_audit(rows), "file_name", "left").na.fill(0)
-    return drop_empty_rows(rows), audit
+    audit = files.join(counts, "file_name", "left").na.fill(0)
+    return _unite(rows.where("filled > 0"), headers), audit
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*.xlsx", recursive: bool = True) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..schema import MAX_ROWS_PER_PART
 from ..session import stage
+from .ingest import file_lines
+from .records import fields, quoted_line, records
 
 _POSITION_BITS = 33
 _CSV = {
@@ -110,14 +112,14 @@ def write_report(df: DataFrame, path: str, order: list[Column]) -> list[str]:
     return write_parts(df, path, order)
 
 
-def requote(spark: SparkSession, source: str, target: str, multiline: bool = False) -> None:
-    """Rewrite minimally quoted CSV with every field quoted.
+def requote(spark: SparkSession, source: str, target: str, pattern: str = "*") -> None:
+    """Rewrite minimally quoted CSV with every field quoted; records keep their order and their number of fields.
 
-    ``multiline`` is for fields holding line breaks; files are then read unsplit.
+    Fields may hold line breaks; files are read in splits all the same.
     """
-    rows = spark.read.csv(source, header=False, inferSchema=False, multiLine=multiline, escape='"')
-    rows = rows.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in rows.columns])
-    rows.write.mode("overwrite").options(**_CSV).csv(target, header=False, quoteAll=True)
+    found = records(file_lines(spark, source, pattern))
+    ordered = found.repartitionByRange("source_file", "block", "seq").sortWithinPartitions("source_file", "block", "seq")
+    ordered.select(quoted_line(fields(F.col("value")))).write.mode("overwrite").text(target)
 
 
 def _plain_numbers(df: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.schema import with_canonical_names
-from ledgerloom.sources import ingest, sinks, text_files
+from ledgerloom.sources import ingest, records, sinks, text_files
 from tests.conftest import rows
 
 TITLE = ["Leave Activity", "", "Run on,2024", "", "x"]
@@ -97,14 +97,78 @@ def test_lines_wider_than_their_header_keep_all_fields(spark, tmp_path):
     assert rows(audit) == [("a.csv", 4, 4), ("b.csv", 2, 2)]
 
 
-def test_field_bound_is_never_below_the_parser(spark):
+def test_fields_are_those_of_the_csv_module(spark):
     draw = random.Random(5)
-    lines = ["".join(draw.choices('",ab ', k=draw.randrange(1, 14))) for _ in range(4000)]
-    df = spark.createDataFrame([(x,) for x in lines], "value string")
-    parsed = df.select("value", ingest._field_bound(F.col("value")).alias("bound"), ingest._parsed("value", 16))
-    # The parser gives null for missing fields, and an empty field is null or empty.
-    late = [r for r in parsed.collect() if any(v is not None for v in r[2 + r.bound :])]
-    assert not late
+    lines = ["".join(draw.choices('"",,ab ', k=draw.randrange(1, 14))) for _ in range(4000)]
+    lines += ["," * 6000, ",".join(f'"{i}"' for i in range(6000)), '"' + '""' * 20000 + '"', "x" * 100_000]
+    expected = []
+    for x in lines:
+        (row,) = csv.reader([x + "\n"])
+        open_at_end = row[-1].endswith("\n")
+        expected.append((open_at_end, None if open_at_end else row))
+    df = spark.createDataFrame(list(enumerate(lines)), "i int, value string")
+    found = df.select("i", F.col("value").rlike(records.OPENS).alias("opens"), records.fields(F.col("value")).alias("f"))
+    for r in found.collect():
+        opens, row = expected[r.i]
+        assert (r.opens, None if opens else r.f) == (opens, row), lines[r.i][:50]
+
+
+def _drawn_csv(draw, n):
+    cells = ["a", "", 'say "hi"', "x,y", "two\nlines", 'a\n\n"b",\nc', "é" * 40, '"', "\n", 'in"side']
+    out = []
+    for _ in range(n):
+        row = [draw.choice(cells) for _ in range(draw.randrange(1, 6))]
+        out.append(row if row != [""] else ["a"])
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_records_go_on_over_lines_and_splits(spark, tmp_path, seed):
+    draw, expected = random.Random(seed), []
+    for name in ("m1.csv", "m2.csv", "plain.csv"):
+        rows_of_file = [["a", "b"]] * 50 if name == "plain.csv" else _drawn_csv(draw, 400)
+        if name == "m2.csv":  # one field over several splits, with quotes that look like starts
+            rows_of_file[200] = ["k", '\n,"x' * 800, "end"]
+        with open(tmp_path / name, "w", newline="") as f:
+            csv.writer(f, lineterminator="\n").writerows(rows_of_file)
+        expected += [(name, r) for r in rows_of_file]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        lines = ingest.file_lines(spark, str(tmp_path))
+        assert lines.where("source_file = 'm2.csv'").select("block").distinct().count() > 10
+        found = records.records(lines).select("source_file", "block", "seq", records.fields(F.col("value")).alias("f"))
+        assert [(r.source_file, r.f) for r in found.orderBy("source_file", "block", "seq").collect()] == expected
+        sinks.requote(spark, str(tmp_path), str(tmp_path / "out"), "*.csv")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
+    assert list(csv.reader(text.splitlines(keepends=True))) == [r for _, r in expected]
+
+
+def test_unclosed_quote_names_its_file(spark, tmp_path):
+    (tmp_path / "bad.csv").write_text('a,b\n1,"open\n2,3\n')
+    (tmp_path / "good.csv").write_text('a,b\n1,"x\ny"\n')
+    with pytest.raises(ValueError, match="bad.csv"):
+        records.records(ingest.file_lines(spark, str(tmp_path)))
+
+
+def test_one_very_wide_line_and_breaks_in_fields(spark, tmp_path):
+    """The plan does not grow with the width."""
+    wide = ",".join(str(i) for i in range(5000))
+    (tmp_path / "a.csv").write_text("\n".join([*TITLE, "A,B", "1,2", wide, '"two\nlines",", "', ""]))
+    (tmp_path / "b.csv").write_text("\n".join([*TITLE, "b,source_file,A,^A", "1,2,3,4", ""]))
+    imported, audit = ingest.ingest(spark, str(tmp_path))
+    assert rows(audit) == [("a.csv", 3, 3), ("b.csv", 1, 1)]
+    assert imported.columns[:3] == ["A", "B", "Unnamed: 2"] and imported.columns[-5:] == ["Unnamed: 4999", "b.1", "source_file.1", "^A", "source_file"]
+    found = {r["A"]: r for r in imported.collect()}
+    assert set(found) == {"0", "1", "two\nlines", "3"}
+    assert list(found["0"])[:5000] == [str(i) for i in range(5000)] and found["two\nlines"]["B"] == ", "
+    assert (found["3"]["b.1"], found["3"]["source_file.1"], found["3"]["^A"], found["3"]["source_file"]) == ("1", "2", "4", "b.csv")
+    (tmp_path / "narrow").mkdir()
+    (tmp_path / "narrow" / "a.csv").write_text("\n".join([*TITLE, "A,B", "1,2", ""]))
+    narrow, _ = ingest.ingest(spark, str(tmp_path / "narrow"))
+    steps = [df._jdf.queryExecution().optimizedPlan().treeString().count("\n") for df in (imported, narrow)]
+    assert steps[0] == steps[1] < 10
 
 
 def test_ingest_of_no_files(spark, tmp_path):
@@ -232,5 +296,5 @@ def test_large_numbers_and_nulls_are_plain(frame, tmp_path):
 def test_requote(spark, tmp_path):
     (tmp_path / "a.csv").write_text('a,"b, c",\n"say ""hi""",, d\n')
     sinks.requote(spark, str(tmp_path / "a.csv"), str(tmp_path / "out"))
-    (part,) = (tmp_path / "out").glob("part-*.csv")
+    (part,) = (tmp_path / "out").glob("part-*")
     assert part.read_text() == '"a","b, c",""\n"say ""hi""",""," d"\n'
