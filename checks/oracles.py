@@ -48,7 +48,7 @@ filled as (
   from table_cells where trim(value, ' ' || chr(160)) <> ''
 ),
 clean as (
-  select doc, page, grp, cand, v,
+  select doc, page, grp, cand, v, col_no as label,
     dense_rank() over (partition by doc, page, grp, cand order by row_no) - 1 as r,
     dense_rank() over (partition by doc, page, grp, cand order by col_no) - 1 as c
   from filled
@@ -71,8 +71,13 @@ kept as (
       rows between unbounded preceding and 1 preceding), 0) as above
   from ranked k join (select doc, page, grp, ncols from ranked where place = 1) using (doc, page, grp, ncols)
 ),
+labels as (
+  select doc, page, grp, label, row_number() over (partition by doc, page, grp order by min(place), label) - 1 as c
+  from clean join kept using (doc, page, grp, cand) group by doc, page, grp, label
+),
 u as (
-  select doc, page, grp, (above + r)::bigint as r, c, v from clean join kept using (doc, page, grp, cand)
+  select doc, page, grp, (above + r)::bigint as r, labels.c, v
+  from clean join kept using (doc, page, grp, cand) join labels using (doc, page, grp, label)
 ),
 t as (
   select doc, page, grp, max(r) + 1 as nrows, max(c) + 1 as ncols, count(*) as filled,

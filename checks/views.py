@@ -95,9 +95,11 @@ select o_orderkey as page_id,
          '","column_3":"","column_4":"-"}}]}}') end as js
 from {orders}""",
     # Sixteen orders make one table of 4 x 4 cells, eight tables a page, four pages a document.
-    # Candidate 1 lacks the last column; candidate 2 has blank rows between and padded first cells.
+    # Candidate 1 lacks the last column; candidate 2 has blank rows between and padded first cells,
+    # and in one group its last column has another label.
     "table_cells": """
-select doc, page, grp, cand, case when cand = 2 then 2 * r else r end as row_no, c as col_no,
+select doc, page, grp, cand, case when cand = 2 then 2 * r else r end as row_no,
+  case when cand = 2 and grp = 3 and c = 3 then 4 else c end as col_no,
   case when cand = 2 and c = 0 then concat('\u00a0 ', value, ' ') else value end as value
 from (
   select doc, page, grp, r, c,

@@ -36,9 +36,11 @@ _PAGE_SPAN = 1_000
 _VECTOR_BLOCK = 256
 
 
-def clean_tables(cells: DataFrame, keys: list[str]) -> DataFrame:
+def clean_tables(cells: DataFrame, keys: list[str], labels: bool = False) -> DataFrame:
     """Cleaned cells as rows; empty rows and columns are dropped and the rest renumbered from 0.
 
+    With ``labels`` the numbers that a table's columns had before stay, as ``columns``.
+
     Cells meet by row and are written once; numbering the rows and listing a table's
     columns then read only what they need.
     """
@@ -61,6 +63,7 @@ def clean_tables(cells: DataFrame, keys: list[str]) -> DataFrame:
             *keys,
             (F.col("n") - 1).alias("row_no"),
             F.transform("columns", lambda c: F.coalesce(F.try_element_at("cells", c), F.lit(""))).alias("values"),
+            *(["columns"] if labels else []),
         )
     )
 
@@ -84,14 +87,19 @@ def _filled(values: Column) -> Column:
 
 
 def unify_candidates(rows: DataFrame) -> DataFrame:
-    """Candidates with as many columns as the best one, put below each other, best first.
+    """Candidates with as many columns as the best one, put below each other by column label, best first.
 
-    A candidate scores its filled cells plus two per column.
+    A candidate scores its filled cells plus two per column. ``columns`` holds the labels of
+    a row's values; without it they are the places. Labels stand in the order in which the
+    candidates bring them, so candidates with other labels widen the table.
     """
+    if "columns" not in rows.columns:
+        rows = rows.withColumn("columns", F.transform("values", lambda _, i: i))
     shape = rows.groupBy(*TABLE, "cand").agg(
         F.count("*").alias("nrows"),
         F.max(F.size("values")).alias("ncols"),
         F.sum(_filled(F.col("values"))).alias("filled"),
+        F.first("columns").alias("columns"),
     )
     best_first = Window.partitionBy(*TABLE).orderBy(F.desc("score"), "cand")
     kept = (
@@ -100,8 +108,16 @@ def unify_candidates(rows: DataFrame) -> DataFrame:
         .filter("ncols = best_ncols")
         .withColumn("above", F.sum("nrows").over(best_first) - F.col("nrows"))
     )
-    return join_by_block(rows, kept.select(*TABLE, "cand", "nrows", "above"), [*TABLE, "cand"], _ROW_SPAN).select(
-        *TABLE, (F.col("above") + F.col("row_no")).alias("row_no"), "values"
+    # All labels of a table: those of its candidates one after the other, each once.
+    whole = Window.partitionBy(*TABLE).orderBy(F.desc("score"), "cand").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    kept = kept.withColumn("labels", F.array_distinct(F.flatten(F.collect_list("columns").over(whole))))
+    kept = kept.select(*TABLE, "cand", "nrows", "above", "columns", "labels")
+    place = F.transform("labels", lambda label: F.nullif(F.array_position("columns", label), F.lit(0)) - 1)
+    kept = kept.withColumn("places", place).drop("columns", "labels")
+    return join_by_block(rows.drop("columns"), kept, [*TABLE, "cand"], _ROW_SPAN).select(
+        *TABLE,
+        (F.col("above") + F.col("row_no")).alias("row_no"),
+        F.transform("places", lambda i: F.coalesce(F.get("values", i.cast("int")), F.lit(""))).alias("values"),
     )
 
 

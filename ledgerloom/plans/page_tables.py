@@ -10,7 +10,7 @@ from ..session import stage
 
 def candidate_tables(cells: DataFrame) -> DataFrame:
     """Cleaned and unified rows of every table."""
-    return T.unify_candidates(T.clean_tables(cells, [*T.TABLE, "cand"]))
+    return T.unify_candidates(T.clean_tables(cells, [*T.TABLE, "cand"], labels=True))
 
 
 def accepted_tables(rows: DataFrame, vectors: DataFrame | None = None) -> DataFrame:

@@ -123,12 +123,22 @@ def requote(spark: SparkSession, source: str, target: str, pattern: str = "*") -
 
 
 def _plain_numbers(df: DataFrame) -> DataFrame:
-    """Large doubles without exponents, as spreadsheets expect them."""
+    """Doubles without exponents, as spreadsheets expect them, whatever their size.
+
+    The shortest digits that give the number back are moved to where its exponent says.
+    """
 
     def plain(name: str) -> Column:
-        c = F.col(name)
-        digits = F.regexp_replace(c.try_cast("decimal(38, 10)").cast("string"), r"(\.\d+?)0+$", "$1")
-        return F.when((F.abs(c) >= 1e7) & (F.abs(c) < 1e16), digits).otherwise(c.cast("string"))
+        text = F.col(name).cast("string")
+        sign = F.when(text.startswith("-"), "-").otherwise("")
+        digits = F.replace(F.regexp_extract(text, r"^-?([\d.]+)E", 1), F.lit("."), F.lit(""))
+        # Places of the point, counted from the left of the digits.
+        point = F.regexp_extract(text, r"E(-?\d+)$", 1).try_cast("int") + 1
+        padded = F.rpad(digits, F.greatest(point + 1, F.length(digits)), "0")
+        tail = F.regexp_replace(padded.substr(point + 1, F.length(padded)), r"(?<=\d)0+$", "")
+        large = F.concat(padded.substr(F.lit(1), point), F.lit("."), tail)
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), F.regexp_replace(digits, r"(?<=\d)0+$", ""))
+        return F.when(text.contains("E"), F.concat(sign, F.when(point > 0, large).otherwise(small))).otherwise(text)
 
     return df.withColumns({name: plain(name) for name, kind in df.dtypes if kind == "double"})
 

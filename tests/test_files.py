@@ -293,6 +293,18 @@ def test_large_numbers_and_nulls_are_plain(frame, tmp_path):
     assert read_parts([path])[0][1:] == [["1", "12345678.25", ""], ["2", "10000000.0", ""], ["3", "", "x"], ["4", "0.5", "y"]]
 
 
+def test_numbers_of_any_size_are_plain(spark):
+    draw = random.Random(9)
+    values = [0.0005, -5e-10, 1e7, 123456789.5, 1e16, -1.5e20, 1.7976931348623157e308, 5e-324, 0.0, 1.25, float("nan"), float("inf")]
+    values += [draw.uniform(-1, 1) * 10.0 ** draw.randrange(-30, 30) for _ in range(500)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    found = sinks._plain_numbers(df.withColumn("t", F.col("v").cast("string"))).select("v", F.col("t").cast("double").alias("was")).collect()
+    for r in found:
+        if r.was == r.was and abs(r.was) != float("inf"):
+            assert "E" not in r.v and float(r.v) == r.was and r.v.split(".")[1]
+    assert [r.v for r in found[:6]] == ["0.0005", "-0.0000000005", "10000000.0", "123456789.5", "10000000000000000.0", "-150000000000000000000.0"]
+
+
 def test_requote(spark, tmp_path):
     (tmp_path / "a.csv").write_text('a,"b, c",\n"say ""hi""",, d\n')
     sinks.requote(spark, str(tmp_path / "a.csv"), str(tmp_path / "out"))

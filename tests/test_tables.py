@@ -48,6 +48,16 @@ def test_unify_puts_best_first_and_keeps_its_width(frame):
     ]
 
 
+def test_unify_joins_columns_by_label(frame):
+    """Columns 0, 1, 2 and 0, 1, 3 make four."""
+    first, second = [["a", "b", "c"], ["d", "e", "f"]], [["g", "h", "", "i"]]
+    df = cells(frame, (1, 1, 1, 0, first), (1, 1, 1, 1, second), (1, 1, 1, 2, [["", "j", "k", "l"]]))
+    found = page_tables.candidate_tables(df).select("row_no", "values")
+    assert rows(found, "row_no") == [
+        (0, ["a", "b", "c", ""]), (1, ["d", "e", "f", ""]), (2, ["g", "h", "", "i"]), (3, ["", "j", "k", "l"]),
+    ]
+
+
 @pytest.mark.parametrize(
     "grid, incomplete, junk",
     [
