@@ -387,6 +387,19 @@ select o_orderkey::varchar as o_orderkey, o_orderpriority, o_orderstatus,
 from (select *, row_number() over (order by o_orderkey desc) as n, count(*) over () as total from orders)
 """,
         "ledger_table": liability,
+        "replaced_table": """
+select o_orderkey, o_orderstatus, o_totalprice * 2 as o_totalprice from orders where o_orderstatus <> 'P'""",
+        "suffixed_parts": f"""
+select o_orderkey::varchar as o_orderkey, o_orderstatus,
+  o_orderstatus || '_pt' || ((row_number() over (partition by o_orderstatus order by o_orderkey) - 1) // {PART_ROWS} + 1)
+    || '.csv' as source_file
+from orders where o_orderstatus in ('F', 'P')""",
+        "csv_integrity_files": _with("csv_lines", _BAD_LINES.replace("select source_file, line_no, value, problems", """
+select source_file, place + 1 as line_no, trim(value) as value, problems""").replace("from csv_lines", """
+    , row_number() over (partition by source_file order by line_no) as place from csv_lines""")),
+        "csv_headers": _with("csv_lines", """
+select distinct source_file as file_name, 18 as n, array_to_string(list_transform(range(18), lambda i: 'c' || i), '|') as names
+from csv_lines"""),
         "sheet_catalogue": _with("catalogue", """
 select distinct sheet_name, filename, filename || '|||' || sheet_name || '$''' as filepath from catalogue"""),
         "lessee_subsets": _with("catalogue", """

@@ -254,6 +254,47 @@ def _ledger_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.liability(saved)
 
 
+def _replaced_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders saved as a table that is then replaced by a statement on itself."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    path = f"{shared_folder(spark)}/orders-{uuid.uuid4().hex}"
+    old = sinks.save_table(orders, path, partition_by="o_orderstatus")
+    sinks.save_table(old.where("o_orderstatus <> 'P'").withColumn("o_totalprice", F.col("o_totalprice") * 2), path, partition_by=None)
+    return sinks.load_table(spark, path)
+
+
+def _suffixed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small and large results written with a suffix always; an empty one leaves no file."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus")
+    folder = f"{shared_folder(spark)}/suffixed-{uuid.uuid4().hex}"
+    for status in ("F", "P", "none"):
+        part = orders.where(F.col("o_orderstatus") == status)
+        sinks.write_parts(part, f"{folder}/{status}.csv", [F.asc("o_orderkey")], PART_ROWS, always_suffix=True)
+    return text_files.read_text_csv(spark, folder, lineage=True)
+
+
+def _csv_folder(spark: SparkSession, sf_dir: str) -> str:
+    lines = spark_view(spark, sf_dir, "csv_lines").select("source_file", F.col("line_no").alias("seq"), "value")
+    heads = lines.select("source_file").distinct().select(
+        "source_file", F.lit(0).cast("long").alias("seq"), F.concat_ws(",", F.transform(F.sequence(F.lit(0), F.lit(17)), lambda i: F.concat(F.lit("c"), i))).alias("value")
+    )
+    return _written(heads.unionByName(lines), "checked")
+
+
+def _csv_integrity_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The check on text files; a line's number counts the lines before it."""
+    return text_files.check_csv(spark, _csv_folder(spark, sf_dir), preview=None)
+
+
+def _csv_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and names of the columns of each file found below a folder."""
+    folder = _csv_folder(spark, sf_dir)
+    parent = folder.rsplit("/", 1)[0]
+    listed = ingest.list_files(spark, folder, "*.csv", recursive=True).select("path", "file_name").collect()
+    found = [(r.file_name, *text_files.inspect_header(spark, f"{folder}/{r.file_name}")) for r in listed if parent in r.path]
+    return spark.createDataFrame(found, "file_name string, n int, names array<string>").withColumn("names", _joined("names"))
+
+
 def _page_tables(cells: DataFrame) -> DataFrame:
     return page_tables.document_tables(cells).select("doc", "row_no", _joined("values"))
 
@@ -325,6 +366,10 @@ def queries() -> dict[str, Query]:
         "part_numbers": _part_numbers,
         "csv_parts": _csv_parts,
         "ledger_table": _ledger_table,
+        "replaced_table": _replaced_table,
+        "suffixed_parts": _suffixed_parts,
+        "csv_integrity_files": _csv_integrity_files,
+        "csv_headers": _csv_headers,
         # Workbooks and journals
         "sheet_catalogue": _on("catalogue", workbook.sheet_catalogue),
         "lessee_subsets": _on("catalogue", workbook.lessee_subsets),

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import MAX_ROWS_PER_PART
 from ..session import stage
@@ -11,6 +16,7 @@ from .ingest import file_lines
 from .records import fields, quoted_line, records
 
 _POSITION_BITS = 33
+_MANIFEST = "version long, folder string, schema string"
 _CSV = {
     "header": True,
     "escape": '"',
@@ -24,19 +30,53 @@ _CSV = {
 def save_table(df: DataFrame, path: str, view: str | None = None, partition_by: str | None = "leave_period") -> DataFrame:
     """Create or replace a Parquet table and, if named, the view on it.
 
-    Rows are gathered by partition value before writing; adaptive execution splits a
-    large value over several files and joins small ones.
+    Every version is a folder of its own, and a one-row manifest named by the version's
+    number, written last, makes it the table. So a table can be replaced from itself, a
+    failed write leaves the old one, readers of the old one go on, and of two writers of the
+    same version the second fails. Rows are gathered by partition value before writing;
+    adaptive execution splits a large value over several files and joins small ones.
     """
+    spark = df.sparkSession
+    version = (_current(spark, path) or {"version": 0})["version"] + 1
+    folder = f"v{version}-{uuid.uuid4().hex}"
     if partition_by:
-        df.hint("rebalance", partition_by).write.mode("overwrite").partitionBy(partition_by).parquet(path)
+        df.hint("rebalance", partition_by).write.partitionBy(partition_by).parquet(f"{path}/versions/{folder}")
     else:
-        df.hint("rebalance").write.mode("overwrite").parquet(path)
-    saved = df.sparkSession.read.schema(df.schema).parquet(path)
+        df.hint("rebalance").write.parquet(f"{path}/versions/{folder}")
+    manifest = spark.createDataFrame([(version, folder, df.schema.json())], _MANIFEST).coalesce(1)
+    manifest.write.mode("errorifexists").json(f"{path}/manifests/{version}")
+    saved = load_table(spark, path)
     if view:
         saved.createOrReplaceTempView(view)
     return saved
 
 
+def load_table(spark: SparkSession, path: str) -> DataFrame:
+    """The table's present version."""
+    found = _current(spark, path)
+    if found is None:
+        raise ValueError(f"no table in {path}")
+    schema = T.StructType.fromJson(json.loads(found["schema"]))
+    return spark.read.schema(schema).parquet(f"{path}/versions/{found['folder']}")
+
+
+def drop_old_versions(spark: SparkSession, path: str, keep: int = 2) -> None:
+    """Deletes the rows of all but the last ``keep`` versions; no reader may use them any more."""
+    rows = spark.read.schema(_MANIFEST).json(f"{path}/manifests/*").orderBy(F.desc("version")).offset(keep)
+    for row in rows.toLocalIterator():
+        _remove(spark, f"{path}/versions/{row.folder}")
+
+
+def _current(spark: SparkSession, path: str) -> dict | None:
+    try:
+        found = spark.read.schema(_MANIFEST).json(f"{path}/manifests/*").orderBy(F.desc("version")).first()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return found and found.asDict()
+
+
 def number_rows(df: DataFrame, order: list[Column]) -> DataFrame:
     """Add ``row_no``, the global position from 1 in the given order; equal rows keep input order.
 

@@ -239,6 +239,27 @@ def test_save_table_partitions_and_replaces(spark, frame, tmp_path):
     assert saved.filter("leave_period = '2024-06'").inputFiles() and len(saved.columns) == 2
 
 
+def test_a_table_is_replaced_from_itself_and_survives_a_failed_write(spark, frame, tmp_path):
+    path = str(tmp_path / "t")
+    with pytest.raises(ValueError, match="no table"):
+        sinks.load_table(spark, path)
+    old = sinks.save_table(frame("leave_period string, v int", ("2024-01", 1), ("2024-02", 2)), path)
+    with pytest.raises(Exception, match="broken"):
+        sinks.save_table(old.withColumn("v", F.when(F.col("v") == 2, F.raise_error(F.lit("broken"))).otherwise(F.col("v"))), path)
+    assert rows(sinks.load_table(spark, path).select("v")) == [(1,), (2,)]
+    new = sinks.save_table(old.withColumn("v", F.col("v") * 10).withColumn("w", F.lit("x")), path)
+    assert rows(new.select("v", "w")) == [(10, "x"), (20, "x")]
+    # Whoever still reads the old version goes on.
+    assert rows(old.select("v")) == [(1,), (2,)] and old.columns == ["v", "leave_period"] or old.columns == ["leave_period", "v"]
+    (tmp_path / "t" / "manifests" / "3" / "_temporary").mkdir(parents=True)  # a writer that died
+    assert rows(sinks.load_table(spark, path).select("v")) == [(10,), (20,)]
+    third = sinks.save_table(new.where("v = 10"), str(tmp_path / "other"), partition_by=None)
+    sinks.save_table(third.union(third), str(tmp_path / "other"), partition_by=None)
+    sinks.drop_old_versions(spark, str(tmp_path / "other"), keep=1)
+    assert sinks.load_table(spark, str(tmp_path / "other")).count() == 2
+    assert len(list((tmp_path / "other" / "versions").iterdir())) == 1
+
+
 def read_parts(paths):
     found = []
     for path in paths:
