@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 import uuid
 
@@ -13,9 +15,14 @@ from pyspark.sql import types as T
 from ..schema import MAX_ROWS_PER_PART
 from ..session import stage
 from .ingest import file_lines
+from .part_files import NAME, PartFiles
 from .records import fields, quoted_line, records
 
 _POSITION_BITS = 33
+# The same for single lines.
+_LINE = {"escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+# Tasks that write parts; a task may write several.
+MOST_TASKS = 10_000
 _MANIFEST = "version long, folder string, schema string"
 _CSV = {
     "header": True,
@@ -121,30 +128,33 @@ def write_parts(
     """Write one CSV per ``max_rows`` rows in order, named ``<name>_pt1.csv`` and so on.
 
     A single part keeps the plain name unless ``always_suffix``. An empty result gives a
-    file with only the header, or nothing at all with ``always_suffix``.
+    file with only the header, or nothing at all with ``always_suffix``. The tasks that hold
+    the parts write them under these names; files of an earlier, longer result stay.
     """
     base, ext = path.rsplit(".", 1)
     numbered = part_numbers(df, order, max_rows)
     parts = numbered.agg(F.max("part")).first()[0] or 0
     if parts == 0:
         return [] if always_suffix else [_write_empty(df, path)]
-    folder = f"{base}.parts"
+    plain = parts == 1 and not always_suffix
+    spark = df.sparkSession
+    spark.dataSource.register(PartFiles)
+    names = io.StringIO()
+    csv.writer(names, lineterminator="").writerow(df.columns)
+    cells = _plain_numbers(numbered.select("part", "row_no", *[F.col(f"`{c}`") for c in df.columns]))
+    line = F.to_csv(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]), _LINE)
     (
-        _plain_numbers(numbered)
-        .repartition(int(parts), "part")
+        cells.select("part", "row_no", line.alias("line"))
+        .repartition(min(int(parts), MOST_TASKS), "part")
         .sortWithinPartitions("part", "row_no")
-        .drop("row_no")
-        .write.mode("overwrite")
-        .options(**_CSV)
-        .partitionBy("part")
-        .csv(folder)
+        .select("part", "line")
+        .write.format(NAME)
+        .mode("append")
+        .option("target", path if plain else f"{base}_pt{{part}}.{ext}")
+        .option("header", names.getvalue())
+        .save()
     )
-    plain = parts == 1 and not always_suffix
-    targets = {n: path if plain else f"{base}_pt{n}.{ext}" for n in range(1, parts + 1)}
-    for n, target in targets.items():
-        publish(df.sparkSession, f"{folder}/part={n}", target)
-    _remove(df.sparkSession, folder)
-    return list(targets.values())
+    return [path] if plain else [f"{base}_pt{n}.{ext}" for n in range(1, parts + 1)]
 
 
 def write_report(df: DataFrame, path: str, order: list[Column]) -> list[str]:

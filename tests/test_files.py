@@ -5,11 +5,12 @@ from __future__ import annotations
 import csv
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.schema import with_canonical_names
-from ledgerloom.sources import ingest, records, sinks, text_files
+from ledgerloom.sources import ingest, part_files, records, sinks, text_files
 from tests.conftest import rows
 
 TITLE = ["Leave Activity", "", "Run on,2024", "", "x"]
@@ -286,6 +287,31 @@ def test_parts_are_filled_in_order(numbers, tmp_path):
     ]
 
 
+def test_many_parts_without_a_step_per_part(spark, tmp_path, monkeypatch):
+    """Parts that share a task, and a result written again over itself."""
+    monkeypatch.setattr(sinks, "MOST_TASKS", 3)
+    df = spark.range(1000).select("id", F.lit("x\ny").alias("t"))
+    for _ in range(2):
+        paths = sinks.write_parts(df, str(tmp_path / "out" / "many.csv"), [F.desc("id")], max_rows=7)
+    assert len(paths) == 143 and len([p for p in (tmp_path / "out").iterdir()]) == 143
+    parts = read_parts(paths)
+    assert [int(r[0]) for p in parts for r in p[1:]] == list(range(999, -1, -1)) and parts[5][1][1] == "x\ny"
+    assert [len(p) for p in parts] == [8] * 142 + [7]
+
+
+def test_a_failed_task_leaves_no_half_part(tmp_path):
+    def broken():
+        yield pa.RecordBatch.from_pydict({"part": [1, 1, 2], "line": ["a", "b", "c"]})
+        raise RuntimeError("lost")
+
+    writer = part_files._Writer(str(tmp_path / "o_pt{part}.csv"), "h")
+    with pytest.raises(RuntimeError):
+        writer.write(broken())
+    assert [p.name for p in tmp_path.iterdir()] == ["o_pt1.csv"]
+    writer.write(iter([pa.RecordBatch.from_pydict({"part": [1, 1, 2], "line": ["a", "b", "c"]})]))
+    assert sorted((p.name, p.read_text()) for p in tmp_path.iterdir()) == [("o_pt1.csv", "h\na\nb\n"), ("o_pt2.csv", "h\nc\n")]
+
+
 def test_single_part_names(numbers, tmp_path):
     assert sinks.write_report(numbers, str(tmp_path / "a.csv"), [F.asc("n")]) == [str(tmp_path / "a.csv")]
     found = sinks.write_parts(numbers, str(tmp_path / "b.csv"), [F.asc("n")], always_suffix=True)
