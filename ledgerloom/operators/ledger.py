@@ -131,6 +131,29 @@ def position_totals(ledger_fy: DataFrame) -> DataFrame:
     )
 
 
+def bands_with_balances(ledger_fy: DataFrame) -> DataFrame:
+    """Movements per pay band as :func:`pay_bands` gives them, with the figures of the bands' last balances."""
+    return (
+        ledger_fy.withColumn("month_of_year", _month_of_year())
+        .groupBy(
+            "fy", "ueid", "department_name", "position_number", "benefit_name", "benefit_id", "base_pay", "hourly_rate"
+        )
+        .agg(*movement_sums(), *last_balance_sums())
+    )
+
+
+def rolled_up_positions(bands: DataFrame) -> DataFrame:
+    """What :func:`position_totals` gives, out of :func:`bands_with_balances`."""
+    months = [f"month_{m}" for m in range(12)]
+    return (
+        bands.groupBy("fy", "ueid", "position_number", "benefit_id")
+        .agg(
+            *[F.sum(c).alias(c) for c in MOVEMENTS], F.bit_or("months").alias("months"), *[F.max(m).alias(m) for m in months]
+        )
+        .select("fy", "ueid", "position_number", "benefit_id", *MOVEMENTS, last_balance().alias("ending_balance"))
+    )
+
+
 def multi_position_employees(ledger_fy: DataFrame) -> DataFrame:
     """Employees with several positions in a year, and the list of them."""
     positions = ledger_fy.select("ueid", "fy", "position_number").distinct()

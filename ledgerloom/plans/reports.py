@@ -1,4 +1,4 @@
-"""The eight leave reports, each a lazy ``DataFrame -> DataFrame`` plan.
+"""The eight leave reports, each a ``DataFrame -> DataFrame`` plan; all are lazy but the position report's bands.
 
 All of them take the ledger with its text columns. ``ordered`` adds the report's row
 order; leave it off when a sink sorts anyway.
@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 from ..functions import ledger as L
 from ..operators import filters as P
 from ..operators import ledger as A
+from ..operators.skew import counted_join, hot_salts
+from ..session import stage
 
 LEAVE_KEYS = ["fy", "org_code", "cbid", "benefit_id", "benefit_name"]
 POSITION_KEYS = ["fy", "ueid", "position_number", "benefit_id"]
+BAND_KEYS = [*POSITION_KEYS, "department_name", "benefit_name", "base_pay", "hourly_rate"]
 
 
 def _asc(*columns: str) -> list[Column]:
@@ -197,18 +200,19 @@ def rollforward_position(
     """Roll-forward per pay band of a position, for one fiscal year or all.
 
     Beginning and ending balance belong to the position and benefit and repeat on each of
-    its pay bands. Bands per position are not bounded, so the totals come in through a
-    join, whose skewed partitions adaptive execution splits.
+    its pay bands. The ledger is read once, into bands that also keep the balance of each
+    month; they are written when called and rolled up to positions. Bands per position are
+    not bounded, so the totals come in through a join that spreads positions with many.
     """
     rows = ledger.filter(P.reported_agency(F.col("position_number"), padded))
     if fy is not None:
         rows = rows.filter(P.in_fiscal_year(F.col("leave_period"), fy))
     rows = A.with_report_columns(rows, padded)
-    totals = A.position_totals(rows).withColumnsRenamed({c: f"position_{c}" for c in A.MOVEMENTS})
+    bands = stage(A.bands_with_balances(rows), "bands")
+    totals = A.rolled_up_positions(bands).withColumnsRenamed({c: f"position_{c}" for c in A.MOVEMENTS})
     ending = F.col("ending_balance")
     df = (
-        A.pay_bands(rows)
-        .join(totals, POSITION_KEYS, "left")
+        counted_join(bands.select(*BAND_KEYS, *A.MOVEMENTS), totals, POSITION_KEYS, "left", hot_salts(bands, POSITION_KEYS))
         .select(
             "fy",
             "ueid",

@@ -161,6 +161,13 @@ def test_scan_counts(spark, ledger, tmp_path):
         assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
+def test_the_position_report_reads_the_ledger_into_bands_once(spark, ledger, tmp_path):
+    path = str(tmp_path / "ledger")
+    ledger({}).write.parquet(path)
+    plan = reports.rollforward_position(spark.read.parquet(path), ordered=False)._jdf.queryExecution().executedPlan().toString()
+    assert path not in plan and plan.count("/bands-") == plan.count("FileScan") == 2
+
+
 def test_columns_are_named_alike(ledger):
     assert reports.earned_used(ledger({})).columns == [
         "fy", "org_code", "cbid", "benefit_id", "benefit_name", "beginning_balance", "total_earned", "total_used",
