@@ -162,7 +162,7 @@ def _ingest_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _per_file(rows)
 
 
-RAGGED_WIDTH = 5000
+RAGGED_WIDTH = 300
 
 
 def _written(lines: DataFrame, name: str) -> str:
@@ -183,7 +183,7 @@ def _written(lines: DataFrame, name: str) -> str:
 
 
 def _ragged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly files whose departments hold line breaks and quotes, with over-long lines and one of 5,000 fields each."""
+    """Monthly files whose departments hold line breaks and quotes, with over-long lines and one of RAGGED_WIDTH fields each."""
     ledger = spark_view(spark, sf_dir, "ledger")
     department = F.concat(F.lit('"'), F.col("department_name"), F.lit('\n""unit"", '), F.col("org_code"), F.lit('"'))
     late = F.when(F.col("org_code").endswith("10"), F.concat(F.lit(",,late "), F.col("cbid"))).otherwise("")
