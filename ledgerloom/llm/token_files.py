@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from ledgerloom.session import shared_folder, stage
 
 from . import huffman
-from .chunks import ChunkCache
+from .chunks import tokenizer
+from .id_cache import IdCache
 from .token_counts import text_runs
 
 END_ID = 2
@@ -34,25 +35,20 @@ BLOCK_TOKENS = 1 << 18
 # Bytes of staged ids a file of blocks is made from.
 FILE_BYTES = 128 << 20
 
-_caches: dict[str, ChunkCache] = {}
-
-
-def _raw(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+_caches: dict[str, IdCache] = {}
 
 
 def _tokenized(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[pa.RecordBatch]:
     """Ids of each text, two bytes each where all fit, else four."""
-    cache = _caches.setdefault(path, None) or ChunkCache(path, _raw)
-    _caches[path] = cache
-    get, tail = cache.__getitem__, _raw([end])
-    wide = cache.tokenizer.get_vocab_size() > 1 << 16 or end >= 1 << 16
+    wide = max(tokenizer(path).get_vocab_size(), end + 1) > 1 << 16
+    dtype = "<u4" if wide else "<u2"
+    if path not in _caches or _caches[path].dtype != np.dtype(dtype):
+        _caches[path] = IdCache(path, dtype)
+    cache, tail = _caches[path], np.array([end], dtype).tobytes()
     for batch in batches:
         at = 0
         for run in text_runs(batch.column(1)):
-            raw = [b"".join([*map(get, keys), tail]) for keys in cache.fill(run)]
-            if not wide:
-                raw = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in raw]
+            raw = [x + tail for x in cache.ids(run)]
             ids = batch.column(0).slice(at, len(run))
             yield pa.RecordBatch.from_arrays([ids, pa.array([wide] * len(raw)), pa.array(raw, pa.binary())], ["doc_id", "wide", "ids"])
             at += len(run)
@@ -115,7 +111,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end: int = END_ID
 
     Three steps: encode once and stage the raw ids; count all ids, at most one row per id of
     the vocabulary from each task; deal the staged ids by doc_id ranges, sort each and write
-    its blocks. Repeated doc_ids stay as rows, ordered by their ids; null doc_ids come first;
+    its blocks. Repeated doc_ids stay as rows, in an order that their ids fix; null doc_ids come first;
     null text counts as empty.
     """
     spark = docs.sparkSession
@@ -126,14 +122,16 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end: int = END_ID
     counts = np.zeros(max([r.id for r in counted], default=end) + 1, np.int64)
     for r in counted:
         counts[r.id] = r.times
-    lengths = huffman.code_lengths(counts, CODE_LIMIT)
+    # Codes of the limit's length suffice for 2 ** CODE_LIMIT used ids; more ids get longer ones.
+    lengths = huffman.code_lengths(counts, max(CODE_LIMIT, int(np.count_nonzero(counts)).bit_length()))
     listed = [(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)]
     spark.createDataFrame(listed, "id long, length int").coalesce(1).write.parquet(f"{folder}/codes")
     held = raw.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
     files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), held // FILE_BYTES + 1)
-    dealt = raw.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
-        F.col("doc_id").asc_nulls_first(), "ids"
-    )
+    # Rows under one doc_id spread over ranges: by a hash of their ids, equal ones by their place in the staged table.
+    tagged = raw.withColumns({"_hash": F.xxhash64("ids"), "_row": F.monotonically_increasing_id()})
+    order = [F.col("doc_id").asc_nulls_first(), F.col("_hash"), F.col("_row")]
+    dealt = tagged.repartitionByRange(files, *order).sortWithinPartitions(*order).select("doc_id", "wide", "ids")
     dealt.mapInArrow(lambda b: _blocks(b, lengths, block_tokens), BLOCKS).write.parquet(f"{folder}/blocks")
 
 

@@ -9,6 +9,7 @@ from tokenizers import Tokenizer
 
 from ledgerloom.llm import huffman
 from ledgerloom.llm.chunks import ChunkCache
+from ledgerloom.llm.id_cache import IdCache
 from ledgerloom.llm.token_counts import token_counts
 from ledgerloom.llm.token_files import read_token_files, token_file_digests, write_token_files
 
@@ -38,6 +39,41 @@ def test_chunks_equal_whole_texts():
                 assert [i for k in keys for i in cache[k]] == ids
 
 
+def test_ids_as_bytes_equal_whole_texts():
+    draw = random.Random(4)
+    parts = [" ", " ", " ", "\n", "\t", "\r", "\v", "\xa0", "\u3000", "\x1c", "a", "Word", "don't", "12", ".", "é", "日本", "<|endoftext|>", "'s"]
+    texts = [x or "" for x in ODD] + ["".join(draw.choices(parts, k=draw.randrange(1, 14))) for _ in range(4000)]
+    expected = _expected(texts)
+    for most in (10, 10_000_000):
+        cache = IdCache(PATH, "<u2", most=most)
+        assert cache.words
+        for lo in range(0, len(texts), 50):
+            for raw, ids in zip(cache.ids(texts[lo : lo + 50]), expected[lo : lo + 50]):
+                assert np.frombuffer(raw, "<u2").tolist() == ids
+    path = public_tokenizers.path("word_bpe_49k.json")
+    cache = IdCache(path, "<u4")
+    assert not cache.words
+    t = Tokenizer.from_file(path)
+    assert [np.frombuffer(x, "<u4").tolist() for x in cache.ids(["A b  c", ""])] == [t.encode(x, add_special_tokens=False).ids for x in ("A b  c", "")]
+
+
+def test_vocabulary_beyond_the_code_limit():
+    counts = np.ones(300_000, np.int64)
+    lengths = huffman.code_lengths(counts, max(18, len(counts).bit_length()))
+    ids = np.arange(0, 300_000, 7)
+    payload, checkpoints = huffman.encode(ids, huffman.canonical_codes(lengths), lengths)
+    assert lengths.max() == 19 and huffman.decode(payload, checkpoints, len(ids), huffman.decode_table(lengths)).tolist() == ids.tolist()
+
+
+def test_one_doc_id_spreads_over_files(spark, tmp_path):
+    df = spark.range(2000).selectExpr("7L as doc_id", "concat('same text ', id % 3) as text")
+    write_token_files(df, str(tmp_path / "hot"), PATH)
+    blocks = spark.read.parquet(str(tmp_path / "hot/blocks"))
+    assert blocks.select("file").distinct().count() > 2
+    found = read_token_files(spark, str(tmp_path / "hot")).orderBy("start").collect()
+    assert len(found) == 2000 and found[-1].start == sum(r.n_tokens for r in found[:-1])
+
+
 def test_other_tokenizers_are_not_cut():
     path = public_tokenizers.path("word_bpe_49k.json")
     t, cache = Tokenizer.from_file(path), ChunkCache(path, list)
