@@ -133,13 +133,23 @@ def _may_be_near(percent: int) -> str:
 def _met_before() -> Column:
     """Whether two items of a bucket also share one of the buckets just before it in both their orders.
 
-    Such a pair is left to that earlier bucket. The first bucket that two items share never
+    The order is that of the sets' shingles. Such a pair is left to that earlier bucket. The first bucket that two items share never
     passes it on, and every bucket goes on until it holds one component, so no link is lost.
     """
     same = [F.coalesce(F.col(f"a_before{i}") == F.col(f"b_before{j}"), F.lit(False)) for i in BEFORE for j in BEFORE]
     return reduce(or_, same)
 
 
+def _rest_suffices(percent: int) -> Column:
+    """Whether two sets that share no shingle before a bucket's can still share enough.
+
+    Both sets are in one order, so all that they share stands from the bucket's shingle on.
+    The first bucket of a pair is judged rightly by this, and no other needs to be.
+    """
+    rest = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
+    return rest * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent
+
+
 def small(table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A staged table, marked for broadcast only up to ``limit`` counted rows."""
     return F.broadcast(table) if table.count() <= limit else table
@@ -183,15 +193,16 @@ def ngram_jaccard(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, b
         lambda b: _prefixes(b, words, percent, common.value), "doc_id long, d1 long, prefix array<long>, bits array<long>, n long"
     )
     prefixes = stage(prefixes.where("size(prefix) > 0"), "prefixes")
-    rows = prefixes.select("doc_id", "d1", F.explode("prefix").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.min("d1").alias("low"), F.max("d1").alias("high"))
-    shared = stage(shared.where("low <> high").select("bucket"), "shared")
-    members = rows.join(small(shared, broadcast_rows), "bucket").select("bucket", "doc_id")
+    # Both uses of the dealt rows read all their columns, so that one exchange serves both.
+    rows = prefixes.select("doc_id", "d1", F.posexplode("prefix").alias("at", "bucket")).repartition("bucket")
+    shared = rows.groupBy("bucket").agg(F.min("d1").alias("low"), F.max("d1").alias("high"), F.max(F.struct("doc_id", "at")).alias("last"))
+    shared = shared.where("low <> high and last.doc_id is not null and last.at >= 0").select("bucket", "low", "high")
+    members = rows.join(shared, "bucket").where("d1 between low and high").select("bucket", "doc_id", "at")
     # Equal sets meet in the same buckets: only the item's own row stays.
     own = items.select(F.col("id").alias("doc_id"), F.col("n_shingles").alias("n"))
-    members = members.join(own, "doc_id").select("bucket", F.col("doc_id").alias("id"), "n")
+    members = members.join(own, "doc_id").select("bucket", F.col("doc_id").alias("id"), "n", "at")
     # Dealt by id once, for the distinct rows and for the buckets before each.
-    order = Window.partitionBy("id").orderBy("bucket")
+    order = Window.partitionBy("id").orderBy("at", "bucket")
     members = members.repartition("id").distinct()
     members = stage(members.withColumns({f"before{i}": F.lag("bucket", i).over(order) for i in BEFORE}), "members")
 
@@ -214,8 +225,8 @@ def ngram_jaccard(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, b
         far = pairs.join(near, ["a", "b"], "left_anti")
         return exact.unionByName(far.select("a", "b", F.lit(None).cast("double").alias("dist"), F.lit(False).alias("linked")))
 
-    possible = (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & ~_met_before()
-    comp, _ = linked_components(members, measure, possible, 1 - percent / 100, "regions")
+    possible = (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & _rest_suffices(percent) & ~_met_before()
+    comp, _ = linked_components(members, measure, possible, 1 - percent / 100, "regions", F.col("before1").isNull(), "before1")
     groups = items.join(comp, "id", "left").select(*key, F.coalesce("comp", "id").alias("class"))
     result = prints.select("doc_id", *key).join(groups, key, "left")
     alone = F.when(F.col("n_shingles") > 0, F.coalesce("class", "doc_id")).otherwise(F.col("doc_id"))

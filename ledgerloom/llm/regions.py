@@ -17,6 +17,11 @@ from pyspark.sql import functions as F
 
 from ledgerloom.session import stage
 
+# Passes whose parents are looked up in one plan.
+PASSES = 4
+# Pivots of a bucket in the first round after the one on marked rows.
+PIVOTS = 16
+
 Measure = Callable[[DataFrame], DataFrame]
 
 
@@ -27,7 +32,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     keeps only edges between different parents, so passes are few even for long chains.
     """
     left = stage(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
-    found = None
+    found, passes = None, 0
     while not left.isEmpty():
         both = left.select(F.col("a").alias("id"), F.col("b").alias("to")).union(left.select("b", "a"))
         parent = both.groupBy("id").agg(F.least(F.col("id"), F.min("to")).alias("up"))
@@ -42,47 +47,67 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         else:
             again = parent.select(F.col("id").alias("comp"), "up")
             found = found.join(again, "comp", "left").select("id", F.coalesce("up", "comp").alias("comp"))
-        found = stage(found, name)
+        passes += 1
+        if passes % PASSES == 0:
+            found = stage(found, name)
     return found if found is not None else left.select(F.col("a").alias("id"), F.col("b").alias("comp"))
 
 
 def merged(comp: DataFrame | None, edges: DataFrame, name: str) -> DataFrame:
     """Components after more ``edges``, from those known before."""
     if comp is None:
-        return components(edges, name)
+        return stage(components(edges, name), name)
     ends = edges.select("a", "b")
     for end in ("a", "b"):
         ends = ends.join(comp.toDF(end, "_c"), end, "left").withColumn(end, F.coalesce("_c", end)).drop("_c")
-    more = components(ends, name)
+    more = stage(components(ends, name), name)
     old = comp.join(more.toDF("comp", "up"), "comp", "left").select("id", F.coalesce("up", "comp").alias("comp"))
     return stage(old.union(more.join(comp.select("id"), "id", "left_anti")), name)
 
 
 def linked_components(
-    members: DataFrame, measure: Measure, possible: Column | None = None, slack: float | None = None, name: str = "regions"
+    members: DataFrame,
+    measure: Measure,
+    possible: Column | None = None,
+    slack: float | None = None,
+    name: str = "regions",
+    start: Column | None = None,
+    earlier: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Components of the items in ``members`` (bucket, id, …) and the links measured for them.
 
     ``measure`` takes pairs (a, b), a < b, and returns (a, b, dist, linked). ``possible`` may
     rule out pairs from further columns of members, named with the prefixes ``a_`` and ``b_``.
     ``slack``: two items whose distances to one pivot differ by more are not linked (only for
-    a metric). Returns (id, comp) of items with links and (a, b, dist). Runs jobs when called.
+    a metric). ``start`` marks rows, one per item, on which a round with one pivot a bucket runs
+    before all others; it merges most copies, and buckets that hold one component from then on
+    cost no pairs. ``earlier``: a column with another bucket of the item, or null; buckets whose
+    items all name the same one are left to it. Returns (id, comp) of items with links and (a, b, dist). Runs jobs when called.
     """
     extra = [c for c in members.columns if c not in ("bucket", "id")]
-    rows = members.withColumns({"ring": F.lit(None).cast("double"), "hub": F.lit(None).cast("long")})
+    whole = members.withColumns({"ring": F.lit(None).cast("double"), "hub": F.lit(None).cast("long")})
     comp = done = links = None
-    most = 1
+    rows, most = whole if start is None else whole.where(start), 1
     while True:
         now = rows if comp is None else rows.join(comp, "id", "left")
         now = now.withColumn("comp", F.col("id") if comp is None else F.coalesce("comp", "id"))
-        sizes = now.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
+        known = F.lit(None).cast("long") if earlier is None else F.col(earlier)
+        sizes = now.groupBy("bucket", "comp").agg(
+            F.count("*").alias("c"), F.count(known).alias("known"), F.min(known).alias("low"), F.max(known).alias("high")
+        )
         live = sizes.groupBy("bucket").agg(
-            F.sum("c").alias("filled"), F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps")
+            F.sum("c").alias("filled"),
+            F.max(F.struct("c", "comp")).alias("top"),
+            F.count("*").alias("comps"),
+            ((F.sum("known") == F.sum("c")) & (F.min("low") == F.max("high"))).alias("elsewhere"),
         )
-        live = live.where("comps > 1").select("bucket", "filled", "top")
+        live = live.where("comps > 1 and not coalesce(elsewhere, false)").select("bucket", "filled", "top")
         rows = stage(now.join(live, "bucket"), name)
         if rows.isEmpty():
-            break
+            if start is None:
+                break
+            rows, most, start = whole, PIVOTS, None
+            continue
         # All but the largest component's items are electable; their order is the same in all buckets.
         order = F.xxhash64("id")
         free = rows.where("comp <> top.comp").withColumn("order", order)
@@ -95,7 +120,7 @@ def linked_components(
         )
         others = rows.select("bucket", *[F.col(c).alias(f"b_{c}") for c in ("id", "comp", "ring", "hub", *extra)])
         fits = (pivots["bucket"] == others["bucket"]) & (F.col("a_comp") != F.col("b_comp"))
-        if possible is not None:
+        if possible is not None and start is None:
             fits &= possible
         if slack is not None:
             apart = (F.col("a_hub") == F.col("b_hub")) & (F.abs(F.col("a_ring") - F.col("b_ring")) > slack + 1e-9)
@@ -109,12 +134,15 @@ def linked_components(
         fresh = met.where("linked").select("a", "b", "dist")
         links = fresh if links is None else links.union(fresh)
         comp = merged(comp, fresh, name)
+        if start is not None:
+            rows, most, start = whole, PIVOTS, None
+            continue
         leads = pivots.where("leads").select("bucket", F.col("a_id").alias("lead_id"))
-        known = done.select("a", "b", "dist").union(done.select("b", "a", "dist")).toDF("lead_id", "id", "to_lead")
+        measured = done.select("a", "b", "dist").union(done.select("b", "a", "dist")).toDF("lead_id", "id", "to_lead")
         gone = pivots.select("bucket", F.col("a_id").alias("id"))
         rows = rows.join(gone, ["bucket", "id"], "left_anti")
         if slack is not None:
-            rows = rows.join(leads, "bucket").join(known, ["lead_id", "id"], "left")
+            rows = rows.join(leads, "bucket").join(measured, ["lead_id", "id"], "left")
             rows = rows.withColumns(
                 {"hub": F.when(F.col("to_lead").isNull(), F.col("hub")).otherwise(F.col("lead_id")), "ring": F.coalesce("to_lead", "ring")}
             )

@@ -42,6 +42,22 @@ def test_chains_and_dense_groups(spark):
     _check(df, texts, broadcast_rows=0)
 
 
+def test_shared_passages_with_and_without_links(spark):
+    """Passages in many texts, early or late in them, beside groups of near copies of other lengths."""
+    draw = random.Random(8)
+    passages = [[f"p{i}x{j}" for j in range(60)] for i in range(3)]
+    texts = {}
+    for n in range(240):
+        own = [f"o{draw.randrange(10**6)}" for _ in range(draw.choice([4, 12, 20, 60]))]
+        passage = draw.choice(passages)
+        at = draw.randrange(60) if draw.random() < 0.3 else 0
+        texts[n] = " ".join(draw.choice([own + passage[at:], passage[at:] + own, own[:2] + passage + own[2:]]))
+        if draw.random() < 0.3:
+            texts[n] = texts[draw.randrange(n + 1)] + f" e{n}"
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    _check(df, texts)
+
+
 def test_odd_rows(spark):
     long = " ".join(f"word{i}" for i in range(30_000))
     rows = [(1, None, 0), (2, "", 0), (3, " \t\n", 0), (4, "one two", 0), (5, "ONE\ttwo ", 0), (6, "one two three", 0)]
