@@ -21,7 +21,7 @@ base as (
   from (select *, left(leave_period, 4)::int - (substr(leave_period, 6, 2)::int < 7)::int as y from ledger) l
 )"""
 
-_BEGIN = "{end} - coalesce(e, 0) + coalesce(u, 0) + case when m < 0 then abs(m) else -coalesce(m, 0) end"
+_BEGIN = "{end} - coalesce(e, 0) + coalesce(u, 0) - coalesce(m, 0)"
 
 
 def _with(views: str, body: str, base: bool = False) -> str:
@@ -115,6 +115,23 @@ accepted as (
 """
 )
 
+# Accepted tables when those with vectors must also be near none kept before them on their page.
+_ACCEPTED_BY_VECTORS = _ACCEPTED.replace("accepted as (\n  select * from firsts\n", """
+offered as (
+  select doc, page, grp, embedding::double[] as v, row_number() over (partition by doc, page order by grp) as n
+  from table_vectors semi join firsts using (doc, page, grp)
+),
+walk as (
+  select doc, page, grp, n, [v] as kept, true as keep from offered where n = 1
+  union all
+  select doc, page, grp, n, case when near then kept else list_append(kept, v) end, not near
+  from (select o.*, kept, len(list_filter(kept, lambda k: list_cosine_similarity(k, o.v) > 0.95)) > 0 as near
+    from walk join offered o on o.doc = walk.doc and o.page = walk.page and o.n = walk.n + 1)
+),
+accepted as (
+  select * from firsts anti join (select * from walk where not keep) using (doc, page, grp)
+""")
+
 _DOCUMENT = (
     _ACCEPTED
     + """
@@ -131,6 +148,8 @@ document as (
 """
 )
 
+_DOCUMENT_BY_VECTORS = _ACCEPTED_BY_VECTORS + _DOCUMENT.removeprefix(_ACCEPTED)
+
 # Header words with their group, groups `g`.
 _HEADERS = r"""
 headers as (
@@ -224,7 +243,12 @@ select fy, lpad(raw_org, 4, '0') as org_code, round(hours * 4) / 4 as total_hour
   round(owed / nullif(hours, 0) * 100) / 100 as weighted_avg_hourly_rate
 from (select fy, org_code as raw_org, sum(hours) as hours, sum(owed) as owed from employees group by all)""")
     quarter = "round(sum({}) * 4) / 4"
-    return {
+
+    def in_order(name: str, order: str) -> str:
+        return f"select *, row_number() over (order by {order}) as row_no from ({texts[name]})"
+
+    by_org = "fy desc, try_cast(org_code as int) nulls last"
+    texts = {
         "r1_headcount": _ledger("""
 select fy, left(full_no, 3) as agency_code, org_code, count(distinct ueid) as employee_count
 from base where june group by all"""),
@@ -425,6 +449,17 @@ select file_no, row_no,
   coalesce(nullif(regexp_extract(debit_credit, '\d+'), ''), 'XXXX') as account_number,
   trim(regexp_replace(debit_credit, '\d+', '', 'g')) as account_name
 from je"""),
+        "je_from_cells": r"""
+select file, sheet, row_no, last_value(title ignore nulls) over (partition by file, sheet order by row_no) as je_title,
+  amount, d_c, account_number, account_name
+from (
+  select o_custkey::varchar as file, 'LS-JE' as sheet, 10 + o_orderkey as row_no,
+    case when o_orderkey % 3 = 0 then 'JE ' || o_orderkey % 50 end as title,
+    case when o_orderkey % 2 = 1 then o_orderkey % 777 else -1.0 * (o_orderkey % 1000) end::double as amount,
+    ['D', 'C', 'C', 'ERROR'][o_orderkey % 4 + 1] as d_c,
+    ['1' || o_orderkey % 900, '2' || o_orderkey % 900, 'XXXX', 'XXXX'][o_orderkey % 4 + 1] as account_number,
+    ['Dr  Cash', 'Cr  Payable', 'Cr Suspense', 'n/a'][o_orderkey % 4 + 1] as account_name
+  from orders where o_custkey % 5 <> 0)""",
         "header_words": _with("words", r"""
 select * from words where regexp_matches(txt, '2023\D*24\D*$|2024\D*25\D*$|2025\D*26\D*$')"""),
         "number_words": _with("words", r"""
@@ -455,11 +490,20 @@ select doc, page, grp, nrows, ncols::int as ncols from judged
 qualify row_number() over (partition by doc, page, content order by grp) = 1"""),
         "near_dup_vectors": near_duplicates(0.95),
         "near_dup_vectors_loose": near_duplicates(LOOSE_THRESHOLD),
+        "near_dup_tables": """
+select v.doc, v.page, v.grp
+from (select vec_id, vec_id // 16 as doc, vec_id // 4 % 4 as page, 2 * (vec_id % 4) as grp from embeddings) v
+where not exists (
+  select 1 from embeddings e where e.vec_id < v.vec_id and e.vec_id // 4 = v.vec_id // 4 and e.vec_id // 3 = v.vec_id // 3)""",
         "consecutive_dup": _with("table_cells", _ACCEPTED + """--main
 select doc, page, grp, nrows, ncols::int as ncols from accepted"""),
         "document_tables": _with("table_cells", _DOCUMENT + "--main select * from document"),
         "review_flags": _with("table_cells", _DOCUMENT + """--main
 select doc, coalesce(max(split_part("values", '|', 4)) filter (row_no = 5), '') = '' as needs_review
+from document group by all"""),
+        "document_tables_vectors": _with("table_cells table_vectors", _DOCUMENT_BY_VECTORS + "--main select * from document"),
+        "review_outcomes": _with("review_cells", _DOCUMENT.replace("table_cells", "review_cells") + """--main
+select doc, coalesce(max(split_part("values", '|', 4)) filter (row_no = 5), '') = '' as needs_review
 from document group by all"""),
         "text_to_columns": _with("text_cells", r"""
 parts as (
@@ -491,6 +535,15 @@ select filename, left(regexp_replace(filename, '[:\\/?*\[\]]', '_', 'g'), 31) as
   right(replace(filename, '.xlsx', ''), 4) as agency
 from catalogue"""),
     }
+    return texts | {
+        "r1_order": in_order("r1_headcount", "fy desc, agency_code, org_code"),
+        "r4_order": in_order("r4_earned_used", f"{by_org}, cbid, benefit_id, benefit_name"),
+        "r5_order": in_order("r5_liability", by_org),
+        "r8_order": in_order(
+            "r8_rollforward_position",
+            "ueid, fy desc, position_number, benefit_id, benefit_name, department_name, base_pay, hourly_rate",
+        ),
+    }
 
 
 _PER_FILE = """

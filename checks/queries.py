@@ -295,8 +295,21 @@ def _csv_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(found, "file_name string, n int, names array<string>").withColumn("names", _joined("names"))
 
 
-def _page_tables(cells: DataFrame) -> DataFrame:
-    return page_tables.document_tables(cells).select("doc", "row_no", _joined("values"))
+def _in_order(report: Callable[..., DataFrame], order: str) -> Query:
+    """A report with its rows' places, so that their order is part of the result."""
+    return _on("ledger", lambda df: reports.numbered(report(df, ordered=False), order))
+
+
+def _page_tables(cells: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+    return page_tables.document_tables(cells, vectors).select("doc", "row_no", _joined("values"))
+
+
+def _page_tables_by_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _page_tables(spark_view(spark, sf_dir, "table_cells"), spark_view(spark, sf_dir, "table_vectors"))
+
+
+def _near_tables(vectors: DataFrame) -> DataFrame:
+    return tables.near_duplicates_dropped(vectors, ["doc", "page"], "grp", "embedding")
 
 
 def _stats(cells: DataFrame) -> DataFrame:
@@ -335,6 +348,10 @@ def queries() -> dict[str, Query]:
         "r7_rollforward_agency": _on("ledger", reports.rollforward_agency),
         "r8_rollforward_position": _on("ledger", reports.rollforward_position),
         "r8_one_year": _on("ledger", lambda df: reports.rollforward_position(df, fy="1997-1998")),
+        "r1_order": _in_order(reports.headcount, "headcount"),
+        "r4_order": _in_order(reports.earned_used, "earned_used"),
+        "r5_order": _in_order(reports.liability, "liability"),
+        "r8_order": _in_order(reports.rollforward_position, "rollforward_position"),
         # Functions, filters and building blocks of the ledger
         "fiscal_year": _on("ledger", _fiscal_year),
         "full_position": _on("ledger", _full_position),
@@ -378,6 +395,7 @@ def queries() -> dict[str, Query]:
         "first_row_occupied": _on("cells", workbook.first_row_occupied),
         "combined_sheets": _on("cells", lambda df: workbook.combine_sheets(df, 6)),
         "je_clean": _on("je", lambda df: journal.clean_journal(df, ["file_no"])),
+        "je_from_cells": _on("je_cells", lambda df: journal.clean_journal(journal.journal_rows(df), ["file", "sheet"])),
         # Page words
         "header_words": _on("words", words.header_words),
         "number_words": _on("words", words.number_words),
@@ -403,9 +421,12 @@ def queries() -> dict[str, Query]:
             "vectors",
             lambda df: tables.near_duplicates_dropped(df, ["page"], "ord", "embedding", threshold=LOOSE_THRESHOLD),
         ),
+        "near_dup_tables": _on("table_vectors", _near_tables),
         "consecutive_dup": _on("table_cells", _accepted),
         "document_tables": _on("table_cells", _page_tables),
         "review_flags": _on("table_cells", lambda df: tables.review_flags(page_tables.document_tables(df))),
+        "document_tables_vectors": _page_tables_by_vectors,
+        "review_outcomes": _on("review_cells", lambda df: tables.review_flags(page_tables.document_tables(df))),
         "text_to_columns": _on(
             "text_cells",
             lambda df: tables.text_to_columns(df, ["table_no"]).withColumn("values", _joined("values")),

@@ -81,6 +81,23 @@ select o_custkey as file_no, o_orderkey as row_no,
   case when o_orderkey % 2 = 0 then null else o_totalprice end as amount,
   cast(o_orderkey % 1000 as double) as col_11
 from {orders}""",
+    # Journal sheets under eight rows of titles. Headings are in row 9, mirrored in every second
+    # file; every fifth file lacks the column of sides.
+    "je_cells": """
+select cast(o_custkey as string) as file, 'LS-JE' as sheet, cast(10 + o_orderkey as bigint) as rw,
+  case when o_custkey % 2 = 0 then k else 5 - k end as cl,
+  case k when 1 then (case when o_orderkey % 3 = 0 then concat('JE ', cast(o_orderkey % 50 as string)) else null end)
+    when 2 then (case o_orderkey % 4 when 0 then concat('Dr 1', cast(o_orderkey % 900 as string), ' Cash')
+      when 1 then concat('Cr 2', cast(o_orderkey % 900 as string), ' Payable 7')
+      when 2 then 'Cr Suspense' else 'n/a' end)
+    when 3 then (case when o_orderkey % 2 = 0 then null else cast(o_orderkey % 777 as string) end)
+    else cast(o_orderkey % 1000 as string) end as val
+from {orders} cross join (values (1), (2), (3), (4)) as ks(k)
+union all
+select distinct cast(o_custkey as string), 'LS-JE', cast(rw as bigint), case when o_custkey % 2 = 0 then k else 5 - k end,
+  case when rw < 9 then 'Debit/Credit' when k = 1 then 'JE_Title' when k = 3 then 'Amount' when k = 4 then '11'
+       when o_custkey % 5 = 0 then 'Side' else 'Debit/Credit' end
+from {orders} cross join (values (1), (2), (3), (4)) as ks(k) cross join (values (1), (8), (9)) as rs(rw)""",
     "catalogue": """
 select concat('/w', chr(92), case when s_suppkey % 3 = 0 then 'Lessee' when s_suppkey % 3 = 1 then 'lessor' else 'LESSEE' end,
     chr(92), cast(s_suppkey as string), '.xlsx') as filename,
@@ -119,6 +136,10 @@ from (
 where not (cand = 1 and c = 3)""",
     "vectors": """
 select vec_id // 10 as page, cast(vec_id % 10 as int) as ord, vec_id, embedding from {embeddings}""",
+    # A vector for every second table; every three in a row share one.
+    "table_vectors": """
+select e.vec_id // 16 as doc, e.vec_id // 4 % 4 as page, 2 * (e.vec_id % 4) as grp, s.embedding
+from {embeddings} e join {embeddings} s on s.vec_id = e.vec_id - e.vec_id % 3""",
     "csv_lines": """
 select concat('part ', o_orderstatus, '.csv') as source_file, o_orderkey + 2 as line_no,
   concat(cast(o_orderkey as string), repeat(',x', 15), case when o_custkey % 50 = 0 then ',extra' else '' end,
@@ -133,6 +154,12 @@ select o_orderkey // 100 as table_no, o_orderkey as row_no,
 from {orders}""",
 }
 
+# Tables whose second row lacks its last cell in every second document.
+VIEWS["review_cells"] = f"""
+select doc, page, grp, cand, row_no, col_no,
+  case when doc % 2 = 0 and row_no in (1, 2) and col_no = 3 then null else value end as value
+from ({VIEWS["table_cells"]})"""
+
 TABLES = ("lineitem", "orders", "customer", "supplier", "embeddings", "part", "documents", "pages")
 
 

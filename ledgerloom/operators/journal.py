@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from .blocks import forward_fill
-from .skew import salted_join
+from .skew import counted_join, hot_salts
 
-# Rows above the heading, marks of a side, replacement of a missing account.
+# Rows above the heading, marks of a side, replacement of a missing account, heading of the sides.
 HEADER_ROWS = 8
 DEBIT_MARK, CREDIT_MARK = "Dr", "Cr"
 NO_ACCOUNT = "XXXX"
+SIDE_HEADING = "Debit/Credit"
 _DIGITS = r"\p{Nd}+"
 
 
@@ -41,19 +42,24 @@ def amount_or_flipped(amount: Column, other: Column) -> Column:
 def journal_rows(cells: DataFrame, header_row: int = HEADER_ROWS + 1) -> DataFrame:
     """Rows below the heading row of each sheet, with the columns the cleaning needs.
 
-    Headings are matched by name, so sheets may order their columns differently.
+    Headings are matched by name, so sheets may order their columns differently. A sheet
+    without a Debit/Credit column is no journal and gives no rows. Columns with many cells
+    are spread by their counts; the counts run a job when called.
     """
     names = cells.filter(F.col("rw") == header_row).select(
         "file", "sheet", "cl", F.replace("val", F.lit("_"), F.lit(" ")).alias("name")
     )
-    named = salted_join(cells.filter(F.col("rw") > header_row), names, ["file", "sheet", "cl"])
+    journals = names.filter(F.col("name") == SIDE_HEADING).select("file", "sheet").distinct()
+    names = names.join(journals, ["file", "sheet"], "left_semi")
+    column = ["file", "sheet", "cl"]
+    named = counted_join(cells.filter(F.col("rw") > header_row), names, column, salts=hot_salts(cells, column))
 
     def cell(name: str) -> Column:
         return F.max(F.when(F.col("name") == name, F.col("val")))
 
     return named.groupBy("file", "sheet", F.col("rw").alias("row_no")).agg(
         cell("JE Title").alias("je_title"),
-        cell("Debit/Credit").alias("debit_credit"),
+        cell(SIDE_HEADING).alias("debit_credit"),
         cell("Amount").cast("double").alias("amount"),
         cell("11").cast("double").alias("col_11"),
     )

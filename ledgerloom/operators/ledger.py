@@ -142,6 +142,36 @@ def bands_with_balances(ledger_fy: DataFrame) -> DataFrame:
     )
 
 
+def bands_with_boundaries(ledger_fy: DataFrame) -> DataFrame:
+    """Movements per pay band, split by the balance that a July row begins with or a June row ends with.
+
+    ``boundary`` is 7 or 6 with that row's ``balance``, and NULL for the other months.
+    """
+    month = L.period_month(F.col("leave_period"))
+    july, june = month == "07", month == "06"
+    return (
+        ledger_fy.withColumns(
+            {
+                "boundary": F.when(july, 7).when(june, 6),
+                "balance": F.when(july, F.col("begin_balance")).when(june, F.col("end_balance")),
+            }
+        )
+        .groupBy(
+            "fy",
+            "ueid",
+            "department_name",
+            "position_number",
+            "benefit_name",
+            "benefit_id",
+            "base_pay",
+            "hourly_rate",
+            "boundary",
+            "balance",
+        )
+        .agg(*movement_sums())
+    )
+
+
 def rolled_up_positions(bands: DataFrame) -> DataFrame:
     """What :func:`position_totals` gives, out of :func:`bands_with_balances`."""
     months = [f"month_{m}" for m in range(12)]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clean_cell, strip
 from ..session import stage
 from .blocks import block_of, previous_value, row_numbers, running_sum
-from .skew import join_by_block
+from .skew import counted_join, hot_salts, join_by_block
 
 # Limits of the table filters and of near duplicates, the reviewed cell.
 MIN_ROWS, MIN_COLUMNS, MIN_CELLS = 2, 2, 2
@@ -249,7 +249,7 @@ def assemble(rows: DataFrame, stats: DataFrame) -> DataFrame:
         stats.select(*TABLE, "nrows", "ncols"), ["doc"], ["page", "grp"], F.col("nrows") + 1, "below", _PAGE_SPAN
     )
     width = stats.groupBy("doc").agg(F.max("ncols").alias("width"))
-    placed = placed.join(width, "doc").withColumn("above", F.col("below") - F.col("nrows") - 1)
+    placed = counted_join(placed, width, ["doc"], salts=hot_salts(stats, ["doc"])).withColumn("above", F.col("below") - F.col("nrows") - 1)
     blank = F.array_repeat(F.lit(""), F.col("width"))
     body = join_by_block(rows, placed, TABLE, _ROW_SPAN).select(
         "doc",

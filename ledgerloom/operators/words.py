@@ -17,7 +17,7 @@ from .skew import lookup_join
 
 # Year headers, the numeric pattern, and distances in points.
 YEARS = ("2023-24", "2024-25", "2025-26")
-NUMERIC = r"^\$?-?\d[\d,]*(\.\d{2})?$|^-$"
+NUMERIC = r"^\$?-?\p{Nd}[\p{Nd},]*(\.\p{Nd}{2})?$|^-$"
 ROW_TOLERANCE = 12
 VALUE_DISTANCE = 60
 X_MARGIN = 10
@@ -26,8 +26,7 @@ LINE_HEIGHT = 3
 POINTS_PER_SPACE = 10
 PAGE_WIDTH, PAGE_HEIGHT = 612.0, 792.0
 
-# Positions per header group above which the nearest-number search is spread over bands of this width.
-_LONG_GROUP = 200_000
+# The nearest-number search of a header group is spread over bands of this width.
 _X_BAND = 0.5
 
 PAGE = ["doc", "page"]
@@ -36,7 +35,7 @@ GROUP = ["doc", "page", "grp"]
 
 def year_pattern(years: tuple[str, ...] = YEARS) -> str:
     """A year's two halves with no digit between them or after them."""
-    return "|".join(r"{}\D*{}\D*$".format(*year.split("-")) for year in years)
+    return "|".join(r"{}\P{{Nd}}*{}\P{{Nd}}*$".format(*year.split("-")) for year in years)
 
 
 def header_words(words: DataFrame, years: tuple[str, ...] = YEARS) -> DataFrame:
@@ -126,9 +125,7 @@ def _match(
         ),
         "merged-columns",
     )
-    longest = merged.groupBy(*GROUP).count().agg(F.max("count")).first()[0] or 0
-    band = _X_BAND if longest > _LONG_GROUP else None
-    both = nearest_both_ways(merged, GROUP, ["x0", "is_header"], ["number_x", "number_top"], band)
+    both = nearest_both_ways(merged, GROUP, ["x0", "is_header"], ["number_x", "number_top"], _X_BAND)
 
     def candidate(side: str) -> Column:
         x, top = F.col(f"{side}_number_x"), F.col(f"{side}_number_top")

@@ -1,4 +1,4 @@
-"""The eight leave reports, each a ``DataFrame -> DataFrame`` plan; all are lazy but the position report's bands.
+"""The eight leave reports, each a ``DataFrame -> DataFrame`` plan; all are lazy but the bands of the two position reports.
 
 All of them take the ledger with its text columns. ``ordered`` adds the report's row
 order; leave it off when a sink sorts anyway.
@@ -14,6 +14,7 @@ from ..operators import filters as P
 from ..operators import ledger as A
 from ..operators.skew import counted_join, hot_salts
 from ..session import stage
+from ..sources.sinks import number_rows
 
 LEAVE_KEYS = ["fy", "org_code", "cbid", "benefit_id", "benefit_name"]
 POSITION_KEYS = ["fy", "ueid", "position_number", "benefit_id"]
@@ -233,11 +234,27 @@ def rollforward_position(
 def july_begin_june_end(ledger: DataFrame, fy: str | None = None) -> DataFrame:
     """Pay bands with the July beginning and June ending balances found in the ledger.
 
-    Several distinct balances of a position repeat its bands, one row for each.
+    Several distinct balances of a position repeat its bands, one row for each. The ledger
+    is read once, into bands split by boundary balance, which are written when called; bands
+    and balances are rolled up from them and joined with positions of many bands spread.
     """
     if fy is not None:
         ledger = ledger.filter(P.in_fiscal_year(F.col("leave_period"), fy))
-    rows = A.with_report_columns(ledger)
-    begins = A.boundary_balances(rows, "07", "begin_balance", "beginning_balance")
-    ends = A.boundary_balances(rows, "06", "end_balance", "ending_balance")
-    return A.with_year_label(A.pay_bands(rows).join(begins, POSITION_KEYS, "left").join(ends, POSITION_KEYS, "left"))
+    split = stage(A.bands_with_boundaries(A.with_report_columns(ledger)), "boundary-bands")
+    salts = hot_salts(split, POSITION_KEYS)
+
+    def balances(boundary: int, out: str) -> DataFrame:
+        return split.filter(F.col("boundary") == boundary).select(*POSITION_KEYS, F.col("balance").alias(out)).distinct()
+
+    bands = split.groupBy(*BAND_KEYS).agg(*[F.sum(c).alias(c) for c in A.MOVEMENTS])
+    begun = counted_join(bands, balances(7, "beginning_balance"), POSITION_KEYS, "left", salts)
+    return A.with_year_label(counted_join(begun, balances(6, "ending_balance"), POSITION_KEYS, "left", salts))
+
+
+def numbered(report: DataFrame, order: str) -> DataFrame:
+    """A report with ``row_no``, each row's place from 1 in the report's ``ORDER``.
+
+    The places come from a range sort over all tasks, so a table or view keeps the order
+    that its files cannot promise. Runs jobs when called.
+    """
+    return number_rows(report, ORDER[order]())

@@ -168,6 +168,37 @@ def test_the_position_report_reads_the_ledger_into_bands_once(spark, ledger, tmp
     assert path not in plan and plan.count("/bands-") == plan.count("FileScan") == 2
 
 
+def test_boundary_balances_come_from_one_read(spark, ledger, tmp_path):
+    path = str(tmp_path / "ledger")
+    ledger({}).write.parquet(path)
+    plan = reports.july_begin_june_end(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
+    assert path not in plan and plan.count("/boundary-bands-") == plan.count("FileScan") == 3
+
+
+def test_boundary_balances_of_a_position_with_most_rows(spark, ledger):
+    july = [{"leave_period": "2023-07", "base_pay": str(i), "leave_earned": "1", "begin_balance": str(i % 2)} for i in range(300)]
+    june = [{"leave_period": "2024-06", "base_pay": "0", "leave_earned": "2", "end_balance": b} for b in ("7", None)]
+    few = [{"ueid": f"F{i}", "leave_period": "2023-09", "leave_earned": "3"} for i in range(100)]
+    found = reports.july_begin_june_end(ledger(*july, *june, *few))
+    # 300 bands, each with two beginnings and two endings; the first band holds the June rows too.
+    hot = found.where("ueid not like 'F%'")
+    assert hot.count() == 1200 and found.count() == 1300
+    assert {tuple(r) for r in hot.select("beginning_balance", "ending_balance").distinct().collect()} == {
+        ("0", "7"), ("1", "7"), ("0", None), ("1", None),
+    }
+    assert {r.base_pay: r.total_earned for r in hot.collect()} == {str(i): 5.0 if i == 0 else 1.0 for i in range(300)}
+    assert found.where("ueid like 'F%' and beginning_balance is null and ending_balance is null and total_earned = 3").count() == 100
+
+
+def test_numbered_rows_follow_the_report_order(ledger):
+    df = ledger({}, {"leave_period": "2023-06"}, {"org_code": "90"}, {"org_code": "1000"}).withColumn("end_balance", F.lit("1"))
+    found = reports.numbered(reports.liability(df, ordered=False), "liability").orderBy("row_no").collect()
+    assert [(r.row_no, r.fy, r.org_code) for r in found] == [
+        (1, "2023-2024", "0090"), (2, "2023-2024", "0840"), (3, "2023-2024", "1000"), (4, "2022-2023", "0840"),
+    ]
+    assert reports.numbered(reports.liability(df.limit(0), ordered=False), "liability").count() == 0
+
+
 def test_columns_are_named_alike(ledger):
     assert reports.earned_used(ledger({})).columns == [
         "fy", "org_code", "cbid", "benefit_id", "benefit_name", "beginning_balance", "total_earned", "total_used",

@@ -69,9 +69,13 @@ def test_matched_columns_need_a_number_below(frame):
     assert W.matched_columns(frame(WORDS, word(0, 10, "2023-24"), word(0, 15, "1"))).count() == 0
 
 
-@pytest.mark.parametrize("long_group", [0, 200_000])
-def test_matched_columns_against_brute_force_on_one_hot_page(frame, monkeypatch, long_group):
-    monkeypatch.setattr(W, "_LONG_GROUP", long_group)
+def test_digits_of_any_script(frame):
+    df = frame(WORDS, word(0, 0, "$١٢٣.٤٥"), word(9, 0, "٧"), word(20, 0, "2023٩24"), word(30, 0, "2023-24"))
+    assert {r.x0 for r in W.number_words(df).collect()} == {0.0, 9.0, 20.0}
+    assert [r.x0 for r in W.header_words(df).collect()] == [30.0]
+
+
+def test_matched_columns_against_brute_force_on_one_hot_page(frame):
     rng = random.Random(5)
     page = [word(rng.randrange(0, 6000) / 10, rng.choice([10, 14, 200, 400]), "2024-25") for _ in range(60)]
     page += [word(rng.randrange(0, 6000) / 10, rng.randrange(0, 780), "$1") for _ in range(150)]

@@ -87,6 +87,15 @@ def test_journal_rows_match_headings_by_name(frame):
     assert rows(journal.journal_rows(cells)) == [("a", "s", 10, "J", "Dr 1 x", None, 2.5)]
 
 
+def test_sheets_without_a_column_of_sides_are_no_journals(frame):
+    cells = frame(
+        CELLS, ("a", "s", 1, 9, 1, "JE_Title"), ("a", "s", 1, 10, 1, "J"), ("a", "t", 2, 9, 2, "Debit/Credit"), ("a", "t", 2, 10, 2, "Cr 5"),
+        ("a", "u", 3, 8, 1, "Debit/Credit"), ("a", "u", 3, 9, 1, None), ("a", "u", 3, 10, 1, "Cr 6"),
+    )
+    assert rows(journal.journal_rows(cells)) == [("a", "t", 10, None, "Cr 5", None, None)]
+    assert rows(journal.journal_rows(cells.limit(0))) == []
+
+
 def test_spaced_names(frame):
     assert journal.with_spaced_names(frame("JE_Title int, b int", (1, 2))).columns == ["JE Title", "b"]
 
