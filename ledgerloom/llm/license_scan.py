@@ -51,14 +51,16 @@ SPELLINGS = (
     ("v", "version"),
 )
 
-_COPYRIGHT = r"(?m)^[^a-zA-Z\n]*(?:copyright|\(c\)|all rights reserved)[^\n]*$"
+# A notice names a year or a holder, or leaves a place for them; "(c)" alone is a list letter, "copyright" alone a word of a sentence.
+_COPYRIGHT = r"(?m)^[^a-zA-Z\n]*(?:copyright[ \t]*(?:\(c\)|[0-9<\[{:]|by )|\(c\)[ \t]*(?:copyright|[0-9<\[{])|all rights reserved)[^\n]*$"
 
 
 def canonical(text: Column) -> Column:
     """Lower case (A-Z), no copyright lines, words parted by one space, one spelling.
 
-    A copyright line begins with the word, the sign (c) or the usual formula, whatever signs
-    stand before it. Everything but ASCII letters, digits and characters beyond ASCII parts words.
+    A copyright line begins, whatever signs stand before it, with the word and the sign (c), a
+    year, a placeholder, a colon or "by", with the sign and a year, a placeholder or the word, or
+    with the usual formula. Everything but ASCII letters, digits and characters beyond ASCII parts words.
     """
     text = F.lower(F.coalesce(text, F.lit("")))
     text = F.regexp_replace(F.regexp_replace(text, "©", "(c)"), _COPYRIGHT, "")

@@ -6,10 +6,10 @@ LGPL texts stand under the name of the version alone.
 
 # SPDX name, first eight words, length and SHA-256 of the canonical text.
 TEXTS = (
-    ("Apache-2.0", "apache license version 2 0 january 2004 http", 8658, "e22c7971c97b3a0bbf2be043859105b303bf4d6ddfa29d6d427b5e0ee953ca34"),
-    ("Apache-2.0", "apache license version 2 0 january 2004 http", 8686, "675dc18f238f72930d98e1cb805e32df9085613bf6dccfb3d51b23e641f6c967"),
-    ("Apache-2.0", "apache license version 2 0 january 2004 http", 9702, "7418686c7053aa062b5f4ba0ecd6a7e318f58c99e584c6faef82e5400e9ecd23"),
-    ("Artistic-1.0-Perl", "the artistic license preamble the intent of this", 5619, "2af2454b45b4c4d5a42572de1cb847b92eb4e1864c183949f07d67ea17a16da0"),
+    ("Apache-2.0", "apache license version 2 0 january 2004 http", 8839, "9ce71eb31a8abf79414c431def165019f9604548c79edc94fe0d7d50b2f8703e"),
+    ("Apache-2.0", "apache license version 2 0 january 2004 http", 8867, "37aa90548985ac0057637d42c3153e8b5d107a21d9556d7fbe60e3e426fdacaa"),
+    ("Apache-2.0", "apache license version 2 0 january 2004 http", 9883, "dbb777d3ad1fb948fbe99e6748cbd3fea3f269381f3f7efe3f4259a28a9269c9"),
+    ("Artistic-1.0-Perl", "the artistic license preamble the intent of this", 5823, "64e91f5cc481723b420f8e1ecf131ec7eba02da96cf0a78bb4b764fb30984f7a"),
     ("BSD-2-Clause", "bsd 2 clause license redistribution and use in", 1213, "6a5d49c15e02e9e94957d78177d86e8631be9a19549a7cfd2e8c3be2699f00b9"),
     ("BSD-2-Clause", "bsd 2 clause license redistribution and use in", 1215, "5d123f3d2076a6b22f7b17a92623627ef50d1584e8cf13b7d4040f1c6e8a0424"),
     ("BSD-2-Clause", "bsd 2 clause license redistribution and use in", 1217, "85c46767b6234227cebe127f5c22b9ede02ee48dda5f148ccefe8432c4d93221"),
@@ -35,30 +35,23 @@ TEXTS = (
     ("BSD-3-Clause", "the 3 clause bsd license redistribution and use", 1400, "f8ee7ddef53b6788d7fc73f0fac34c10faf8f5843fd1f7eb4d618f5130d8ebf3"),
     ("BSD-3-Clause", "the 3 clause bsd license redistribution and use", 1403, "cf9fea19504c6a22c8a429209096b0faf491f15645697459011a1d24ba61d15a"),
     ("BSD-3-Clause", "the 3 clause bsd license redistribution and use", 1409, "9722c723779d44d611759bb0fd8a113b34bd46d725cf5bc3b672ad2bf58e5763"),
-    ("CC0-1.0", "creative commons legal code cc0 1 0 universal", 6628, "f78bac68d88039c5ada7a1eec20df9b4c23a9387d64eb9ef938f68effa31c60f"),
-    ("GFDL-1.2-only", "gnu free documentation license version 1 2 november", 19514, "48c3f1a6222c43a49a1a5c55b29fd7e11127e9d88f376297dce0073586d77710"),
-    ("GFDL-1.3-only", "gnu free documentation license version 1 3 3", 21878, "d35e45503cd6222229f6643460cea14c9664e6b7b8688654fdf60209f6d07169"),
-    ("GPL-1.0-only", "gnu general public license version 1 february 1989", 11701, "652569eebf0b932de225d104dee78f1e217be1d74d69e31e6ac99474bc38d3c1"),
-    ("GPL-2.0-only", "gnu general public license version 2 june 1991", 17051, "dcf7d1f5de46d2f5691b3f8a724efe81a0810dfbc30ccae8537c4b5cf17f2136"),
-    ("GPL-3.0-only", "gnu general public license version 3 29 june", 33199, "1d0e7e346a64e5a57232a9fbb953744c9272a4f97823baaab065df792fcefb24"),
-    ("ISC", "isc license permission to use copy modify and", 626, "94b4e9f723d13830ec6a47b422738caee264943af1673fa32782cefd730ffc82"),
+    ("CC0-1.0", "creative commons legal code cc0 1 0 universal", 6698, "0c3e4ca5ed7ced6289d3f5d9a83e4100f9f34d87983b17dc5865376a8a0a98f3"),
+    ("GFDL-1.2-only", "gnu free documentation license version 1 2 november", 19583, "8446e2329e3fe2b35501056164a645d74fef33dc1b8a2a132629bf1935fa72e7"),
+    ("GFDL-1.3-only", "gnu free documentation license version 1 3 3", 22013, "961b6d8afa12e353079f8676ad28084c800a46123e76f7f4f7e7f81df82289dc"),
+    ("GPL-1.0-only", "gnu general public license version 1 february 1989", 11764, "2b62a0899e7031347a9577241eb9b504d0eafb4d91b28e1f99580099701d0a1a"),
+    ("GPL-2.0-only", "gnu general public license version 2 june 1991", 17115, "d3d1ea54d09952fcd9626a8c4c7c325e00c7f6febdc41bf004285919d6bfaa0a"),
+    ("GPL-3.0-only", "gnu general public license version 3 29 june", 33400, "68ca42869e9a3e25843be66c6f296ce2b1f3629ac71d77465db0636dc8781c06"),
     ("ISC", "isc license permission to use copy modify and", 691, "f172f90a892d869d5d840d5f4363218a9b21bdb1bd3925ba9c752d1660134fee"),
-    ("ISC", "permission to use copy modify and or distribute", 614, "6e9dc1cd727a12354f4cef293d9d285ed81ed312d597842774d1120ac62a6dc6"),
     ("ISC", "permission to use copy modify and or distribute", 679, "217da0747cec63a2e734185db11cbaa819bcd9e5b83cd12f812128fffe66e26a"),
-    ("ISC", "the isc license permission to use copy modify", 630, "e00f31f158e77a60e7375307e014eeb17754967f6d6757d019567221315db4e1"),
     ("ISC", "the isc license permission to use copy modify", 695, "40e6eb51c3b409d93549806b55b249c261dab149d19b56cc163624f39a08b1db"),
-    ("LGPL-2.0-only", "gnu library general public license version 2 june", 23871, "77b38bb26e33c381b2c8228e44cb4a24bc04058400b3cc72729b48fc7c03e49e"),
-    ("LGPL-2.1-only", "gnu lesser general public license version 2 1", 24958, "6f217aee15c5da0a9c4b622caf94d6acf1d6fb3e2de1b5f6e7847a76941730a8"),
+    ("LGPL-2.0-only", "gnu library general public license version 2 june", 24127, "1862ecc2c3c5e3b9e88481e95603c88e089c43e9d5702b2ec01391491b606a9e"),
+    ("LGPL-2.1-only", "gnu lesser general public license version 2 1", 25214, "ac0856eb11aebb30c08445444c942c1ddcde9d0a0447c9ed2b8a19ab7d51eba5"),
     ("LGPL-3.0-only", "gnu lesser general public license version 3 29", 7104, "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
-    ("MIT", "mit license permission is hereby granted free of", 923, "e0ec1133ffbb2b3ca539cd8d8bbc6938fd001480f955360a7068e62c83bf1782"),
     ("MIT", "mit license permission is hereby granted free of", 1000, "35a446201226de6b27cfb7106d0f6c697f63bfeac2913dcf89024911e66ef164"),
-    ("MIT", "permission is hereby granted free of charge to", 911, "c6ad8e2d3c4b04b0c8e25afb5297d47ee7aa24eb5b7464ad26423d0d8f9a96cc"),
     ("MIT", "permission is hereby granted free of charge to", 988, "0cf21bdfd1964a97a8615e128534845826afbc887edc95aa5c925cbf64386b5c"),
-    ("MIT", "the mit license mit permission is hereby granted", 931, "5d01a1651a4c284dfbbf1500c7a5c7abb115387c003fbedd1e4624fe9b90b141"),
     ("MIT", "the mit license mit permission is hereby granted", 1008, "6c833965e9ca4cf8095655005226f24fe8bf7b1605dbe513204837a7371fa127"),
-    ("MIT", "the mit license permission is hereby granted free", 927, "94dc2756aa068347d32bc82ecd9f7f309e2a0b433f62b5d2ea960fa9d4ded8fb"),
     ("MIT", "the mit license permission is hereby granted free", 1004, "6ad3654379e72bbdf8478d5c90fb1e2525aba033fbe675e0ef2248aac67c0f6f"),
-    ("MPL-1.1", "mozilla public license version 1 1 1 definitions", 22321, "3e85a44371ae0a6108ff63f3fdcb950c7d932b81ef757a373ccf431eaa8672a6"),
-    ("MPL-2.0", "mozilla public license version 2 0 1 definitions", 14284, "9040de372581ef0e1a459182ec74f1d440470c601582f2b3862fc357fed54ec2"),
+    ("MPL-1.1", "mozilla public license version 1 1 1 definitions", 22449, "557aed17f246818803a7e59ebc965e6771b9df3a92fb2f3598e38d288d65fe4c"),
+    ("MPL-2.0", "mozilla public license version 2 0 1 definitions", 14354, "2ad70b294c733e2c6f2cb0324503b9b81e060d33bc2608d3966776252c994426"),
     ("Zlib", "this software is provided as is without any", 784, "1b8c5cd52eceb19ab0bc3cb40be110b1c0e7fa2671a3fe5866e59dd1502e69c7"),
 )

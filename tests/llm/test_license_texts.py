@@ -40,6 +40,31 @@ def test_whole_and_wrapped_texts(spark):
     assert within == {0: ["MIT"], 1: ["MIT"], 2: ["MIT"], 3: ["Apache-2.0"], 4: [], 5: ["MIT"], 6: [], 7: [], 8: []}
 
 
+def test_altered_clauses_are_not_known(spark):
+    """List letters and wrapped sentences are part of the text; notices of a holder are not."""
+    path = Path("/usr/share/common-licenses/Apache-2.0")
+    if not path.exists():
+        pytest.skip("the text is not here")
+    text = path.read_text()
+    clause = next(x for x in text.split("\n") if x.strip().startswith("(c) You must retain"))
+    rewrapped = MIT.replace("The above copyright notice", "The above\ncopyright notice")
+    texts = [
+        text, text.replace(clause, "      (c) You may remove whatever you like and"), text.replace(clause + "\n", ""), "Copyright 2001-2024 A\n(c) 2020 B\n" + text,
+        rewrapped, rewrapped.replace("copyright notice and", "copyright notice or"), "Copyright by A\n[c] © 1999 B\n\n" + MIT, "(c) Someone wrote this\n" + MIT,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.whole_license for r in license_scan(df).collect()}
+    assert found == {0: "Apache-2.0", 1: None, 2: None, 3: "Apache-2.0", 4: "MIT", 5: None, 6: None, 7: None}
+
+
+def test_within_odd_rows(spark):
+    rows = [(None, MIT, "x"), (1, MIT, "x"), (1, MIT, "x"), (2, None, "x"), (3, "", "x"), (4, "a " * 200_000 + MIT, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, licenses string")
+    found = sorted(((r.doc_id, list(r.licenses)) for r in licenses_within(df).collect()), key=repr)
+    assert found == sorted([(d, ["MIT"] if t and "Permission" in t else []) for d, t, _ in rows], key=repr)
+    assert licenses_within(df).columns == ["doc_id", "licenses"] and licenses_within(df.limit(0)).collect() == []
+
+
 def test_published_texts(spark):
     folder = Path("/usr/share/common-licenses")
     names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "MPL-2.0": "MPL-2.0"}

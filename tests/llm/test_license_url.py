@@ -9,8 +9,22 @@ from ledgerloom.llm.url_filter import RULES, mined_rules, url_filter
 SF = "/root/testdata/sf0.01"
 
 
+def _notice(words, line):
+    """Whether a line is a copyright line: ``words`` is the line from its first letter on."""
+    lead = line[: len(line) - len(words)]
+    if words.startswith("all rights reserved"):
+        return True
+    if words.startswith("copyright"):
+        rest = words.removeprefix("copyright").lstrip(" \t")
+        return rest.startswith(("(c)", "<", "[", "{", ":", "by ")) or rest[:1] in list("0123456789")
+    if words.startswith("c)") and lead.endswith("("):
+        rest = words.removeprefix("c)").lstrip(" \t")
+        return rest.startswith(("copyright", "<", "[", "{")) or rest[:1] in list("0123456789")
+    return False
+
+
 def _canonical(text):
-    text = re.sub(r"(?m)^[^a-zA-Z\n]*(?:copyright|\(c\)|all rights reserved)[^\n]*$", "", (text or "").lower().replace("©", "(c)"))
+    text = "\n".join(x for x in (text or "").lower().replace("©", "(c)").split("\n") if not _notice(re.sub("^[^a-z]*", "", "\0" + x, count=1), x))
     text = " " + re.sub(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", " ", text).strip(" ") + " "
     for a, b in SPELLINGS:
         text = text.replace(f" {a} ", f" {b} ")
