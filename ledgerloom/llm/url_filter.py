@@ -6,6 +6,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.skew import counted_join
 from ledgerloom.session import stage
 
 # Rules of the registered query: host, path, verdict.
@@ -59,35 +60,59 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(F.array(scheme), labels, parts, keys)))
 
 
-def mined_rules(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """(tokens, confidence) of token combinations whose labelled pages are mostly bad.
+def token_classes(sets: DataFrame) -> DataFrame:
+    """(token, class, n) of the tokens in ``sets`` (page, tokens): tokens of just the same ``n`` pages share a class.
 
-    FP-growth runs over the token sets of labelled pages with one more token for bad ones
+    A class goes by its first token. Pages are compared by their number and the sums of two
+    64-bit hashes, so a token costs one record however many pages hold it.
+    """
+    held = sets.select("page", F.explode("tokens").alias("token"))
+    two = [F.sum(F.xxhash64(F.lit(i), "page").cast("decimal(38,0)")).alias(f"h{i}") for i in (0, 1)]
+    tokens = held.groupBy("token").agg(F.count("*").alias("n"), *two)
+    # Equal classes are found by grouping; a class holds tokens of one URL, so it is short.
+    same = tokens.groupBy("n", "h0", "h1").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+    return same.select(F.explode("tokens").alias("token"), F.element_at("tokens", 1).alias("class"), "n")
+
+
+def mined_rules(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> tuple[DataFrame, DataFrame]:
+    """Rules (classes, confidence) whose labelled pages are mostly bad, and the frequent ``token_classes``.
+
+    FP-growth runs over the classes of tokens of labelled pages, with one more item for bad ones
     (quality 0 or toxic 1). A combination stays if it and the bad label share ``support`` of
-    labelled pages and ``confidence`` of its own pages are bad. At most 1 / ``support`` times
-    the combinations of one URL's tokens can stay, however many pages there are.
+    labelled pages and ``confidence`` of its own pages are bad. Tokens of just the same labelled
+    pages, as the labels of a long host, are one class, so they do not multiply into
+    combinations; a rule stands for all those with at least one token of each of its classes.
+    Tokens below ``support`` are in no rule and left out before. What FP-growth may enumerate
+    grows with the number of classes that one URL holds.
     """
     bad = (F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)
     marks = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("page_id")).agg(F.max(bad).alias("bad"))
-    known = pages.join(marks, "page_id").select(
-        F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BLOCK)))).otherwise(F.col("tokens")).alias("items")
-    )
-    known = stage(known, "url-items")
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(known)
+    known = stage(pages.join(marks, "page_id").select(F.monotonically_increasing_id().alias("page"), "tokens", "bad"), "url-pages")
+    least = known.count() * support
+    classes = stage(token_classes(known).where(F.col("n") >= least), "url-classes")
+    kept = known.select("page", "bad", F.explode_outer("tokens").alias("token")).join(classes, "token", "left")
+    # A URL's own classes, no more of them than it has tokens.
+    items = kept.groupBy("page", "bad").agg(F.collect_set("class").alias("items"))
+    items = stage(items.select(F.when(F.col("bad"), F.concat("items", F.array(F.lit(BLOCK)))).otherwise(F.col("items")).alias("items")), "url-items")
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
     rules = model.associationRules.where(F.element_at("consequent", 1) == BLOCK)
-    return stage(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence"), "url-rules")
+    return stage(rules.select(F.array_sort("antecedent").alias("classes"), "confidence"), "url-rules"), classes
 
 
-def blocked_sets(sets: DataFrame, rules: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The token sets (tokens) that contain all tokens of some rule.
+def blocked_sets(sets: DataFrame, rules: DataFrame, classes: DataFrame) -> DataFrame:
+    """The token sets (tokens) that hold a token of each class of some rule.
 
-    Rules are posted under their first token in alphabetical order; a set looks up each of its
-    tokens and checks the rest of the rules that it finds.
+    Rules are posted under their rarest class; a set looks up each of its classes and checks
+    the rest of the rules that it finds.
     """
-    posted = rules.select(F.element_at("tokens", 1).alias("token"), F.col("tokens").alias("needs"))
-    posted = F.broadcast(posted) if rules.count() <= broadcast_rows else posted
-    found = sets.select("tokens", F.explode("tokens").alias("token")).join(posted, "token")
-    return found.where(F.size(F.array_except("needs", "tokens")) == 0).select("tokens").distinct()
+    sized = rules.withColumn("_no", F.monotonically_increasing_id()).select("_no", "classes", F.explode("classes").alias("class"))
+    sized = sized.join(classes.select("class", "n").distinct(), "class")
+    posted = sized.groupBy("_no", "classes").agg(F.min_by("class", F.struct("n", "class")).alias("class"))
+    posted = stage(posted.select("class", F.col("classes").alias("needs")), "url-posted")
+    own = sets.select(F.xxhash64("tokens").alias("key"), "tokens", F.explode("tokens").alias("token")).join(classes, "token")
+    own = own.groupBy("key", "tokens").agg(F.collect_set("class").alias("own"))
+    found = own.select("tokens", "own", F.explode("own").alias("class")).join(posted, "class")
+    return found.where(F.size(F.array_except("needs", "own")) == 0).select("tokens").distinct()
 
 
 def url_filter(pages: DataFrame, labels: DataFrame, rules=RULES, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
@@ -97,6 +122,8 @@ def url_filter(pages: DataFrame, labels: DataFrame, rules=RULES, support: float
     one is contained in the URL's tokens, else allow. Stated rules are a short list and
     become one expression. Pages are matched with mined rules through their distinct token sets,
     which are few, since numbers are dropped: a host with a third of all pages is a few sets.
+    ``labels`` (doc_id, quality, toxic) name pages by ``doc_id``; pass a table with the page's
+    id under that name to teach from labelled pages.
 
     A null url, or one without ``://``, has an empty host and path. Null labels are not bad;
     labels of unknown pages are left out; repeated pages count each. Runs jobs when called.
@@ -106,10 +133,15 @@ def url_filter(pages: DataFrame, labels: DataFrame, rules=RULES, support: float
     host, path = host_and_path(url)
     rows = pages.select("page_id", url.alias("url"), host.alias("host"), path.alias("path"))
     rows = rows.withColumns({"rule": stated_rule(F.col("host"), F.col("path"), rules), "tokens": url_tokens(F.col("url"), F.col("host"), F.col("path"))})
-    mined = mined_rules(rows, labels, support, confidence)
+    mined, classes = mined_rules(rows, labels, support, confidence)
     sets = rows.where("rule is null").groupBy("tokens").count().select("tokens")
-    bad = blocked_sets(sets, mined).withColumn("mined", F.lit("block"))
+    # Written, so that Spark knows its size: it is broadcast below the session's limit.
+    bad = stage(blocked_sets(sets, mined, classes), "url-bad")
+    several = bad.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS
+    bad = bad.withColumn("mined", F.lit("block"))
     by_rule = F.coalesce(*[F.when(F.col("rule") == n, v) for n, v in verdicts.items()], F.lit(None).cast("string"))
-    return rows.join(bad, "tokens", "left").select(
+    # Above it the pages of one token set may be many, and are spread by their counts.
+    joined = counted_join(rows, bad, ["tokens"], "left") if several else rows.join(F.broadcast(bad), "tokens", "left")
+    return joined.select(
         "page_id", "host", "path", "rule", F.coalesce(by_rule, "mined", F.lit("allow")).alias("verdict")
     )

@@ -92,7 +92,7 @@ def _fixture(spark):
 
 
 def test_mined_combinations_against_brute_force(spark):
-    from itertools import combinations
+    from itertools import combinations, product
 
     from pyspark.sql import functions as F
 
@@ -110,13 +110,30 @@ def test_mined_combinations_against_brute_force(spark):
             hits = sum(i in bad for i in inside)
             if hits >= 0.05 * n and hits / len(inside) >= 0.6:
                 expected[combo] = round(hits / len(inside), 9)
-    found = {tuple(r.tokens): round(r.confidence, 9) for r in mined_rules(rows, labels, 0.05, 0.6).collect()}
-    assert found == expected and expected
+    rules, classes = mined_rules(rows, labels, 0.05, 0.6)
+    alike = {}
+    for r in classes.collect():
+        alike.setdefault(r["class"], []).append(r.token)
+    found = {}
+    for r in rules.collect():
+        parts = [[c for k in range(1, len(alike[x]) + 1) for c in combinations(alike[x], k)] for x in r.classes]
+        found |= {tuple(sorted(sum(chosen, ()))): round(r.confidence, 9) for chosen in product(*parts)}
+    assert found == expected and expected and len(expected) > rules.count()
     verdicts = {r.page_id: r.verdict for r in url_filter(pages, labels, support=0.05, confidence=0.6).collect()}
     assert verdicts == {i: "block" if any(s.issuperset(c) for c in expected) else "allow" for i, s in sets.items()}
     assert sum(v == "block" for v in verdicts.values()) == 100
 
 
+def test_long_hosts_and_paths_of_labelled_pages(spark):
+    """Thirty labels and forty folders that stand together are two items, not 2^70 combinations."""
+    host, path = ".".join(f"l{chr(97 + i % 26)}{i // 26}" for i in range(30)), "/".join(f"f{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40))
+    urls = [f"http://{host}/{path}/x" if i % 3 else f"http://fine.org/{path}" for i in range(60)] + [f"http://{host}/other", "http://fine.org/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    verdicts = {r.page_id: r.verdict for r in url_filter(pages, labels, confidence=0.9).collect()}
+    assert verdicts == {i: "block" if host in u else "allow" for i, u in enumerate(urls)}
+
+
 def test_url_odd_rows(spark):
     urls = [
         None, "", "no scheme", "http://", "HTTP://WWW.Example.COM/en/x?y#z", "a://b://c.net/fr/", "http://example.net/fr", "http://example.net/fr/", "x://net/es/",
