@@ -14,6 +14,8 @@ from ledgerloom.session import stage
 TARGETS = {"en": 0.5, "de": 0.18, "fr": 0.18, "es": 0.14}
 STEPS = 30
 TOLERANCE = 1e-6
+# No document is taken more often than this.
+MOST_RATE = 50.0
 
 # Letters and frequent words whose counts tell these languages apart.
 MARKERS = (
@@ -33,7 +35,8 @@ def fit_domains(rows: DataFrame, domains: list[str]) -> dict[str, list[float]]:
     """Log weights of each domain: prior, then one per marker, from labelled rows (domain, counts).
 
     A multinomial model with one added count; one aggregate gives all its sums. The result has
-    as many numbers as domains times markers, whatever the size of the corpus.
+    as many numbers as domains times markers, whatever the size of the corpus. Domains without
+    a labelled row are left out.
     """
     width = len(MARKERS) + 1
     sums = rows.groupBy("domain").agg(F.count("*").alias("n"), *[F.sum(F.col("counts")[i]).alias(f"s{i}") for i in range(width)])
@@ -41,10 +44,12 @@ def fit_domains(rows: DataFrame, domains: list[str]) -> dict[str, list[float]]:
     total = sum(r.n for r in found.values())
     model = {}
     for d in domains:
-        r = found.get(d)
-        counts = [(r[f"s{i}"] or 0.0) + 1.0 if r else 1.0 for i in range(width)]
+        if d not in found:
+            continue
+        r = found[d]
+        counts = [(r[f"s{i}"] or 0.0) + 1.0 for i in range(width)]
         whole = sum(counts)
-        prior = math.log(((r.n if r else 0) + 1) / (total + len(domains)))
+        prior = math.log((r.n + 1) / (total + len(found)))
         model[d] = [prior, *[math.log(c / whole) for c in counts]]
     return model
 
@@ -66,33 +71,39 @@ def posteriors(scores: str, domains: int) -> list[Column]:
 
 
 def _memberships(rows: DataFrame, model: Mapping[str, list[float]], names: list[str], *kept: str) -> DataFrame:
+    if not model:
+        return rows.select(*kept, *[F.lit(0.0).alias(n) for n in names])
     rows = rows.select(*kept, domain_scores(F.col("_counts"), model).alias("_scores"))
-    return rows.select(*kept, *[p.alias(n) for n, p in zip(names, posteriors("_scores", len(names)))])
+    shares = {f"p_{d}": p for d, p in zip(model, posteriors("_scores", len(model)))}
+    return rows.select(*kept, *[shares.get(n, F.lit(0.0)).alias(n) for n in names])
 
 
-def fit_rates(staged: DataFrame, shares: list[str], targets: list[float], floor: float = 0.0, steps: int = STEPS) -> Column:
-    """Rate of each document as an expression over its ``shares``, by projected gradient.
+def fit_rates(
+    staged: DataFrame, shares: list[str], targets: list[float], floor: float = 0.0, steps: int = STEPS, most: float = MOST_RATE
+) -> tuple[Column, list[float]]:
+    """Rate of each document as an expression over its ``shares``, by projected gradient, and the tokens each target lacks.
 
     Minimises the squared distance between the expected tokens of each domain, the sum over
-    documents of rate * tokens * share, and its target, over rates of at least ``floor``. All
+    documents of rate * tokens * share, and its target, over rates from ``floor`` to ``most``. All
     rates start at 1. A step adds up one number per domain over all documents, divides the gap
-    by the domain's tokens and moves every rate by minus its shares' gaps, then back to the
-    floor. Rates are a function of the shares and the few numbers of each step, so nothing per
+    by the domain's tokens and moves every rate by minus its shares' gaps, then back into
+    its bounds. Rates are a function of the shares and the few numbers of each step, so nothing per
     document is kept between steps, and each step is one scan of the staged table.
     """
     mass = staged.agg(*[F.sum(F.col("n_tokens") * F.col(p)).alias(p) for p in shares]).first()
     mass = [max(m or 0.0, 1e-9) for m in mass]
     rate = F.lit(1.0)
-    for _ in range(steps):
+    for done in range(steps + 1):
         step = staged.withColumn("rate", rate).agg(*[F.sum(F.col("n_tokens") * F.col(p) * F.col("rate")).alias(p) for p in shares])
         now = step.first()
         now = [x or 0.0 for x in now]
         gaps = [(x - t) / m for x, t, m in zip(now, targets, mass)]
-        if max(abs(x - t) for x, t in zip(now, targets)) <= TOLERANCE * max(sum(targets), 1.0):
+        lacks = [t - x for x, t in zip(now, targets)]
+        if done == steps or max(map(abs, lacks)) <= TOLERANCE * max(sum(targets), 1.0):
             break
         move = sum([F.col(p) * F.lit(g) for p, g in zip(shares[1:], gaps[1:])], F.col(shares[0]) * F.lit(gaps[0]))
-        rate = F.greatest(rate - move, F.lit(float(floor)))
-    return rate
+        rate = F.least(F.greatest(rate - move, F.lit(float(floor))), F.lit(float(most)))
+    return rate, lacks
 
 
 def token_count(text: Column) -> Column:
@@ -116,8 +127,8 @@ def _with_rates(rows: DataFrame, rate: Column) -> DataFrame:
     return rows.withColumn("rate", rate).withColumn("copies", copies.cast("long"))
 
 
-def _fitted(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], keep_all: bool, steps: int):
-    """Staged shares of every document, their names, the classifier and the rate."""
+def _fitted(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], keep_all: bool, steps: int, most: float):
+    """Staged shares of every document, their names, the classifier, the rate and the share of tokens amiss."""
     domains = sorted(targets)
     names = [f"p_{d}" for d in domains]
     rows = stage(_counted(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("domain")), "mixing-counts")
@@ -128,36 +139,43 @@ def _fitted(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], ke
     total, wanted = float(sums["n"] or 0), [targets[d] / sum(targets.values()) for d in domains]
     if keep_all:
         total = max([total, *[(sums[p] or 0.0) / w for p, w in zip(names, wanted) if w > 0]])
-    rate = fit_rates(shared, names, [w * total for w in wanted], 1.0 if keep_all else 0.0, steps) if total else F.lit(1.0)
-    return shared, names, model, rate
+    if not total or not model:
+        return shared, names, model, F.lit(1.0), max(wanted) if total else 0.0
+    rate, lacks = fit_rates(shared, names, [w * total for w in wanted], 1.0 if keep_all else 0.0, steps, most)
+    return shared, names, model, rate, max(map(abs, lacks)) / total
 
 
 def mixing_rates(
-    docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, keep_all: bool = True, steps: int = STEPS
+    docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, keep_all: bool = True, steps: int = STEPS, most: float = MOST_RATE
 ) -> DataFrame:
     """Membership of each document in the target domains and the rate at which to take it.
 
     Documents named in ``labels`` (doc_id) that state a domain in ``lang`` train a classifier;
-    it predicts every document's posteriors from its text alone. Rates of at least 0 are fitted
+    it predicts every document's posteriors from its text alone. Rates from 0 to ``most`` are fitted
     so that the expected tokens of each domain match ``targets`` times all tokens; with
     ``keep_all`` the total is raised until no domain has to shrink and no rate is below 1.
 
-    Returns (doc_id, n_tokens, p_<domain> ..., rate, copies), a row per input row. ``copies`` is
+    Returns (doc_id, n_tokens, p_<domain> ..., rate, residual, copies), a row per input row.
+    ``residual``, alike in all rows, is the largest part of all wanted tokens by which a domain
+    misses its target after ``steps`` steps: about 0 unless a target is out of reach. A domain that no labelled
+    document states has no members and misses its whole target. ``copies`` is
     the rate's whole part, plus 1 with the probability of its fraction, drawn from a hash of
     doc_id and text. Null and empty texts have no tokens and the posteriors of no markers. Null
     labels and languages outside the targets are left out. With no tokens at all every rate is 1.
     Runs jobs when called.
     """
-    shared, names, _, rate = _fitted(docs, labels, targets, keep_all, steps)
-    return _with_rates(shared, rate).drop("_key")
+    shared, _, _, rate, residual = _fitted(docs, labels, targets, keep_all, steps, most)
+    return _with_rates(shared, rate).withColumn("residual", F.lit(float(residual))).drop("_key")
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, keep_all: bool = True, steps: int = STEPS) -> DataFrame:
+def mix(
+    docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, keep_all: bool = True, steps: int = STEPS, most: float = MOST_RATE
+) -> DataFrame:
     """The documents, each as often as its copies say, with their columns; nothing is shuffled.
 
     The fitted rate is an expression over the shares, which are evaluated again beside each row.
     """
-    _, names, model, rate = _fitted(docs, labels, targets, keep_all, steps)
+    _, names, model, rate, _ = _fitted(docs, labels, targets, keep_all, steps, most)
     rows = _counted(docs, F.struct(*docs.columns).alias("row"))
     # Written once: the optimizer would copy the shares' expressions into every step of the rate.
     rows = stage(_memberships(rows, model, names, "row", "_key"), "mixing-rows")

@@ -32,6 +32,18 @@ def test_mix_meets_targets(spark, keep_all):
     assert {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == copies
 
 
+def test_absent_domains_stay_bounded(spark):
+    """Without a document of three domains nothing is repeated for them, and the residual says so."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    english = docs.where("lang = 'en'")
+    rows = mixing_rates(english, labels, steps=3).collect()
+    assert max(r.rate for r in rows) == 1.0 and {r.copies for r in rows} == {1}
+    assert abs(rows[0].residual - 0.18) < 1e-9
+    few = english.unionByName(docs.where("lang = 'de'").orderBy("doc_id").limit(3))
+    rows = mixing_rates(few, labels, most=5.0).collect()
+    assert 1.0 <= min(r.rate for r in rows) and max(r.rate for r in rows) <= 5.0 and rows[0].residual > 0.05
+
+
 def test_mix_odd_rows(spark):
     rows = [(1, None, "en", 9), (2, "", None, 9), (3, "the of and " * 50_000, "en", 9), (3, "und die der mit ß", "de", 9), (None, "que los el", "xx", 9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, rate int")
