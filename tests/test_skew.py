@@ -3,8 +3,10 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import skew
+from ledgerloom.operators import journal, skew
 from ledgerloom.operators import tables as T
+from ledgerloom.operators import words as W
+from ledgerloom.plans import page_tables
 from ledgerloom.session import stage
 from tests.conftest import rows
 
@@ -102,3 +104,27 @@ def test_counted_join_of_null_keys(spark, frame):
     assert rows(skew.counted_join(left, frame("k string, v int", ("x", 1), (None, 2)), ["k"], "left")) == [
         ("x", 2, 1), ("x", 3, 1), (None, 1, None),
     ]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_joins_that_grow_are_never_broadcast(spark, frame, monkeypatch):
+    """Spark takes these small tables for a broadcast, as it takes large ones that are stored small."""
+    monkeypatch.setattr(skew.lookup_join, "__defaults__", (None, 0))
+    word = ("a string, doc long, page int, x0 double, x1 double, top double, bottom double, txt string",)
+    words = stage(
+        frame(*word, ("", 1, 1, 10.0, 30.0, 10.0, 20.0, "2024-25"), ("", 1, 1, 12.0, 32.0, 50.0, 60.0, "$7")), "words"
+    )
+    assert "BroadcastHashJoin" not in _plan(W.matched_columns(words))
+    areas = W.column_areas(words)
+    assert "BroadcastHashJoin" not in _plan(areas) and areas.count() == 1
+
+    cells = frame("doc int, page int, grp int, cand int, row_no long, col_no int, value string", (1, 1, 1, 0, 0, 0, "a"))
+    for df in (T.clean_tables(cells, [*T.TABLE, "cand"]), page_tables.document_tables(cells), T.review_flags(page_tables.document_tables(cells))):
+        assert "BroadcastHashJoin" not in _plan(df)
+
+    sheet = frame("file string, sheet string, rw long, cl int, val string", ("f", "s", 9, 1, "Debit/Credit"), ("f", "s", 10, 1, "Dr 1 a"))
+    journals = journal.journal_rows(sheet)
+    assert "BroadcastHashJoin" not in _plan(journals) and journals.count() == 1
