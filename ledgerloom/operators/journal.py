@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from .blocks import forward_fill
-from .skew import counted_join, hot_salts
+from .skew import counted_join, hot_salts, unbroadcast
 
 # Rows above the heading, marks of a side, replacement of a missing account, heading of the sides.
 HEADER_ROWS = 8
@@ -50,9 +50,9 @@ def journal_rows(cells: DataFrame, header_row: int = HEADER_ROWS + 1) -> DataFra
         "file", "sheet", "cl", F.replace("val", F.lit("_"), F.lit(" ")).alias("name")
     )
     journals = names.filter(F.col("name") == SIDE_HEADING).select("file", "sheet").distinct()
-    names = names.join(journals, ["file", "sheet"], "left_semi")
+    names = names.join(unbroadcast(journals), ["file", "sheet"], "left_semi")
     column = ["file", "sheet", "cl"]
-    named = counted_join(cells.filter(F.col("rw") > header_row), names, column, salts=hot_salts(cells, column))
+    named = counted_join(cells.filter(F.col("rw") > header_row), unbroadcast(names), column, salts=hot_salts(cells, column))
 
     def cell(name: str) -> Column:
         return F.max(F.when(F.col("name") == name, F.col("val")))
