@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import strip
 from ..session import stage
 from .blocks import nearest_both_ways
-from .skew import lookup_join
+from .skew import lookup_join, unbroadcast
 
 # Year headers, the numeric pattern, and distances in points.
 YEARS = ("2023-24", "2024-25", "2025-26")
@@ -100,7 +100,7 @@ def _match(
     bands = _numbered_bands(places, tolerance)
     groups = _groups(bands, page_height)
     spots = (
-        places.join(bands.select(*PAGE, "band", "grp"), [*PAGE, "band"]).select(*GROUP, "x0", "x1").distinct()
+        places.join(unbroadcast(bands.select(*PAGE, "band", "grp")), [*PAGE, "band"]).select(*GROUP, "x0", "x1").distinct()
     )
     # Groups of a page are at least a tolerance apart, so this array is as short as a page is high.
     bottoms = stage(
@@ -183,7 +183,7 @@ def column_areas(
     )
     upper = page_height - (F.col("hdr_top") - TOP_PADDING)
     lower = page_height - (F.col("next_top") - BOTTOM_PADDING)
-    return groups.join(columns, GROUP).select(
+    return groups.join(unbroadcast(columns), GROUP).select(
         *GROUP,
         "columns",
         F.greatest(F.lit(0.0), F.element_at("columns", 1) - X_MARGIN).alias("left"),
