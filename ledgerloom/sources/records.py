@@ -44,7 +44,7 @@ def quoted_line(values: Column) -> Column:
     return F.array_join(F.transform(values, lambda v: F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))), ",")
 
 
-def _states(steps: DataFrame, keys: list[str], order: str) -> DataFrame:
+def _states(steps: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """Adds ``if_outside`` and ``if_inside``: whether a step starts inside a quoted field, by where its group starts.
 
     ``opens`` and ``stays`` say whether a step ends inside after starting outside or inside.
@@ -52,7 +52,7 @@ def _states(steps: DataFrame, keys: list[str], order: str) -> DataFrame:
     closes from inside turns the state round; so the last of the former and the number of
     the latter since then are enough.
     """
-    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     forgets = F.col("opens") == F.col("stays")
     turns = (F.col("opens") & ~F.col("stays")).cast("long")
     steps = steps.withColumn("_turns", F.coalesce(F.sum(turns).over(before), F.lit(0)))
@@ -67,53 +67,73 @@ def _states(steps: DataFrame, keys: list[str], order: str) -> DataFrame:
     ).drop("_turns", "_known")
 
 
-def _ends(inside: Column) -> Column:
-    return F.when(inside, F.col("stays")).otherwise(F.col("opens"))
-
-
-def records(lines: DataFrame) -> DataFrame:
+def records(lines: DataFrame, in_order: bool = False) -> DataFrame:
     """Lines ``source_file, block, seq, value`` put together to records, under the place of their first line.
 
     ``block`` orders the splits of a file and ``seq`` the lines of a split. Lines of a record
     are joined by a line feed. Files without a line that opens a quoted field for the next
     one pass untouched. A quoted field still open where its file ends raises ``ValueError``.
-    ``lines`` must be a staged table. Runs jobs when called.
+    ``lines`` must be a staged table. The text is moved once: a line is dealt out with the
+    split in which its record starts. With ``in_order`` all lines are dealt by ranges of
+    files and splits, and the result, which is then not staged, has its records in order
+    from partition to partition and in each. Runs jobs when called.
     """
     value, quote = F.col("value"), F.col("value").contains('"')
     opens = F.when(quote, value.rlike(OPENS)).otherwise(False)
     stays = F.when(quote, value.rlike(STAYS_OPEN)).otherwise(True)
-    opened = stage(lines.where(opens).select(LINEAGE).distinct(), "opened-files")
-    if opened.isEmpty():
-        return lines
     place = [LINEAGE, "block"]
-    narrow = lines.join(opened, LINEAGE, "left_semi").select(*place, "seq", opens.alias("opens"), stays.alias("stays"))
-    narrow = stage(_states(narrow, place, "seq"), "line-states")
-    splits = narrow.groupBy(*place).agg(
-        F.max_by(_ends(F.col("if_outside")), "seq").alias("opens"), F.max_by(_ends(F.col("if_inside")), "seq").alias("stays")
+    steps = lines.select(*place, "seq", opens.alias("opens"), stays.alias("stays"))
+    forgets = F.when(F.col("opens") == F.col("stays"), F.col("seq"))
+    splits = stage(
+        steps.groupBy(*place).agg(
+            F.bool_or("opens").alias("any"),
+            F.max(forgets).alias("last"),
+            F.max_by("opens", forgets).alias("known"),
+            # Where a record that goes on from the split before ends.
+            F.min(F.when(~F.col("stays"), F.col("seq"))).alias("closes"),
+        ),
+        "splits",
     )
-    splits = _states(splits, [LINEAGE], "block").withColumn("starts_inside", F.col("if_outside"))
-    splits = stage(splits.select(*place, "starts_inside", _ends(F.col("starts_inside")).alias("ends_inside")), "split-states")
-    last = splits.groupBy(LINEAGE).agg(F.max_by("ends_inside", "block").alias("open")).where("open")
+    opened = splits.where("any").select(LINEAGE).distinct()
+    if opened.isEmpty():
+        return _in_order(lines, "block") if in_order else lines
+    later = steps.where("opens and not stays").join(splits.select(*place, "last"), place).where("last is null or seq > last")
+    ends = splits.join(opened, LINEAGE, "left_semi").join(later.groupBy(*place).agg(F.count("*").alias("n")), place, "left")
+    odd = F.coalesce(F.col("n"), F.lit(0)) % 2 == 1
+    ends = ends.withColumns({"opens": F.coalesce("known", F.lit(False)) != odd, "stays": F.coalesce("known", F.lit(True)) != odd})
+    # The lines up to ``until`` belong to a record of an earlier split, the last one in which a record starts.
+    through = F.col("if_outside") & F.col("closes").isNull()
+    before = Window.partitionBy(LINEAGE).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = _states(ends, [LINEAGE], "block").select(
+        *place,
+        F.when(F.col("if_outside"), F.col("stays")).otherwise(F.col("opens")).alias("open"),
+        F.when(F.col("if_outside"), F.coalesce("closes", F.lit(2**63 - 1))).otherwise(-1).alias("until"),
+        F.last(F.when(~through, F.col("block")), ignorenulls=True).over(before).alias("earlier"),
+    )
+    ends = stage(ends, "split-states")
+    last = ends.groupBy(LINEAGE).agg(F.max_by("open", "block").alias("open")).where("open")
     if unclosed := [r[LINEAGE] for r in last.limit(10).collect()]:
         raise ValueError(f"a quoted field is not closed in {', '.join(sorted(unclosed))}")
 
-    inside = F.when(F.col("starts_inside"), F.col("if_inside")).otherwise(F.col("if_outside"))
-    known = narrow.join(splits, place).select(*place, "seq", inside.alias("inside"))
-    up_to = Window.partitionBy(*place).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    start = F.when(~F.col("inside"), F.struct("block", "seq"))
-    known = stage(known.withColumn("record", F.last(start, ignorenulls=True).over(up_to)), "line-records")
-    # A record that started in an earlier split: the last start of the splits before.
-    earlier = Window.partitionBy(LINEAGE).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = known.groupBy(*place).agg(F.max("record").alias("last"))
-    starts = starts.select(*place, F.last("last", ignorenulls=True).over(earlier).alias("earlier"))
-    goes_on = known.where("inside").join(starts, place).select(*place, "seq", F.coalesce("record", "earlier").alias("record"))
-    heads = goes_on.select(LINEAGE, "record").distinct().select(LINEAGE, "record.block", "record.seq", "record")
-    several = stage(goes_on.unionByName(heads), "long-records")
-    alone = lines.join(several, [*place, "seq"], "left_anti").select(*place, "seq", "value")
+    dealt = lines.join(ends.select(*place, "until", "earlier"), place, "left" if in_order else "inner")
+    home = F.when(F.col("seq") <= F.col("until"), F.col("earlier")).otherwise(F.col("block"))
+    dealt = dealt.select(*place, "seq", "value", home.alias("home"))
+    dealt = _in_order(dealt, "home") if in_order else dealt
+    whole = Window.partitionBy(LINEAGE, "home").orderBy("block", "seq")
+    known = _states(dealt.withColumns({"opens": opens, "stays": stays}), [LINEAGE, "home"], "block", "seq")
+    start = F.when(~F.col("if_outside"), F.struct("block", "seq"))
+    up_to = whole.rowsBetween(Window.unboundedPreceding, 0)
+    known = known.select(*place, "seq", "value", "home", F.last(start, ignorenulls=True).over(up_to).alias("record"))
     joined = (
-        lines.join(several, [*place, "seq"])
-        .groupBy(LINEAGE, "record")
+        known.groupBy(LINEAGE, "home", "record")
         .agg(F.array_sort(F.collect_list(F.struct("block", "seq", "value"))).alias("parts"))
         .select(LINEAGE, "record.block", "record.seq", F.array_join(F.col("parts.value"), "\n").alias("value"))
     )
-    return stage(alone.unionByName(joined), "records")
+    if in_order:
+        return joined.sortWithinPartitions(*place, "seq")
+    untouched = lines.join(opened, LINEAGE, "left_anti").select(*place, "seq", "value")
+    return stage(untouched.unionByName(joined), "records")
+
+
+def _in_order(lines: DataFrame, block: str) -> DataFrame:
+    return lines.repartitionByRange(LINEAGE, block).sortWithinPartitions(LINEAGE, "block", "seq")

@@ -167,9 +167,8 @@ def requote(spark: SparkSession, source: str, target: str, pattern: str = "*") -
 
     Fields may hold line breaks; files are read in splits all the same.
     """
-    found = records(file_lines(spark, source, pattern))
-    ordered = found.repartitionByRange("source_file", "block", "seq").sortWithinPartitions("source_file", "block", "seq")
-    ordered.select(quoted_line(fields(F.col("value")))).write.mode("overwrite").text(target)
+    found = records(file_lines(spark, source, pattern), in_order=True)
+    found.select(quoted_line(fields(F.col("value")))).write.mode("overwrite").text(target)
 
 
 def _plain_numbers(df: DataFrame) -> DataFrame:
