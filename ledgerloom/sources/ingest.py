@@ -7,7 +7,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators.skew import lookup_join
 from ..schema import HEADER_ROW
@@ -70,9 +69,8 @@ def file_headers(lines: DataFrame, header_row: int = HEADER_ROW) -> DataFrame:
 def parsed_rows(lines: DataFrame, header_row: int = HEADER_ROW) -> tuple[DataFrame, DataFrame]:
     """Data rows ``source_file, filled, cells`` of all files, and each file's headings ``source_file, names``.
 
-    ``cells`` is a JSON object of the filled fields by heading and ``filled`` the place of the
-    last of them, from 1; so a row is as wide as what it holds, and no expression as wide as
-    the widest row. Fields right of a file's last heading go by numbered names, as below
+    ``cells`` is a map of the filled fields by heading and ``filled`` the place of the last of
+    them, from 1; so a row is as wide as what it holds, and a reader pays for the columns it takes. Fields right of a file's last heading go by numbered names, as below
     blank headings. Both are staged: the text is parsed once. Runs jobs when called.
     """
     found = records(lines)
@@ -82,27 +80,20 @@ def parsed_rows(lines: DataFrame, header_row: int = HEADER_ROW) -> tuple[DataFra
     headers = stage(headers.withColumn("names", _unique_names(F.col("names"))), "headers")
     data = lookup_join(found, headers, [LINEAGE], F.size("names")).filter("block > 0 or seq > header_seq")
 
-    def named(value: Column, i: Column) -> Column:
-        extra = F.when(F.array_contains("names", _unnamed(i)), F.concat(_unnamed(i), F.lit(".1"))).otherwise(_unnamed(i))
-        return F.struct(_key(F.coalesce(F.get("names", i), extra)).alias("key"), value.alias("value"), (i + 1).alias("place"))
+    def extra(i: Column) -> Column:
+        return F.when(F.array_contains("names", _unnamed(i)), F.concat(_unnamed(i), F.lit(".1"))).otherwise(_unnamed(i))
 
-    cells = data.select(LINEAGE, "names", fields(F.col("value")).alias("fields")).select(
-        LINEAGE, F.filter(F.transform("fields", named), lambda cell: cell["value"] != "").alias("cells")
-    )
-    pairs = F.transform("cells", lambda cell: F.struct(cell["key"], cell["value"]))
-    rows = cells.select(
-        LINEAGE,
-        F.coalesce(F.array_max(F.col("cells.place")), F.lit(0)).alias("filled"),
-        F.to_json(F.map_from_entries(pairs)).alias("cells"),
+    n = F.size("names")
+    beyond = F.when(F.size("fields") > n, F.transform(F.sequence(n, F.size("fields") - 1), extra)).otherwise(F.array().cast("array<string>"))
+    keys = F.slice(F.concat("names", beyond), F.lit(1), F.size("fields"))
+    filled = F.transform("fields", lambda value, i: F.when(value != "", i + 1).otherwise(0))
+    pairs = F.filter(F.arrays_zip(keys.alias("key"), F.col("fields").alias("value")), lambda cell: cell["value"] != "")
+    rows = data.select(LINEAGE, "names", fields(F.col("value")).alias("fields")).select(
+        LINEAGE, F.coalesce(F.array_max(filled), F.lit(0)).alias("filled"), F.map_from_entries(pairs).alias("cells")
     )
     return stage(rows, "rows"), headers.select(LINEAGE, "names")
 
 
-def _key(name: Column) -> Column:
-    """Key of a heading that differs from all others whatever the case of letters."""
-    return F.regexp_replace(name, r"(\^|\p{Lu})", "^$1")
-
-
 def _unite(rows: DataFrame, headers: DataFrame) -> DataFrame:
     """Rows of :func:`parsed_rows` as one table: columns in the order of the files and their headings."""
     widths = rows.groupBy(LINEAGE).agg(F.max("filled").alias("filled")).join(headers, LINEAGE, "right")
@@ -115,7 +106,7 @@ def _unite(rows: DataFrame, headers: DataFrame) -> DataFrame:
         .groupBy("name")
         .agg(F.min(F.struct(LINEAGE, "i")).alias("at"))
         .orderBy("at")
-        .select("name", _key(F.col("name")).alias("key"))
+        .select("name")
         .collect()
     )
     names, used = [], {LINEAGE.lower()}
@@ -128,8 +119,8 @@ def _unite(rows: DataFrame, headers: DataFrame) -> DataFrame:
         names.append(name)
     if not columns:
         return rows.select(LINEAGE)
-    schema = T.StructType([T.StructField(row["key"], T.StringType()) for row in columns])
-    return rows.select(F.inline(F.array(F.from_json("cells", schema))).alias(*names), LINEAGE)
+    cells = [F.try_element_at("cells", F.lit(row["name"])).alias(name) for row, name in zip(columns, names)]
+    return rows.select(*cells, LINEAGE)
 
 
 def read_tables(lines: DataFrame, header_row: int = HEADER_ROW) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.schema import with_canonical_names
 from ledgerloom.sources import ingest, part_files, records, sinks, text_files
+from ledgerloom.session import stage
 from tests.conftest import rows
 
 TITLE = ["Leave Activity", "", "Run on,2024", "", "x"]
@@ -357,3 +358,28 @@ def test_requote(spark, tmp_path):
     sinks.requote(spark, str(tmp_path / "a.csv"), str(tmp_path / "out"))
     (part,) = (tmp_path / "out").glob("part-*")
     assert part.read_text() == '"a","b, c",""\n"say ""hi""",""," d"\n'
+
+
+def test_records_in_order_over_splits(frame):
+    """Records that go on over several splits, next to a file without any, come in order from one exchange."""
+    lines = stage(
+        frame(
+            "source_file string, block long, seq long, value string",
+            ("b", 0, 1, "x,y"), ("a", 0, 5, 'h,"1'), ("a", 10, 9, "mid"), ("a", 20, 12, 'end",2'), ("a", 20, 13, 'n,"o'), ("a", 30, 17, 'p"'), ("a", 30, 18, "q"),
+        ),
+        "lines",
+    )
+    expected = [("a", 0, 5, 'h,"1\nmid\nend",2'), ("a", 20, 13, 'n,"o\np"'), ("a", 30, 18, "q"), ("b", 0, 1, "x,y")]
+    found = records.records(lines, in_order=True)
+    assert [tuple(r) for r in found.select("source_file", "block", "seq", "value").collect()] == expected
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning") == 1 and "Exchange hashpartitioning" not in plan
+    assert sorted(tuple(r) for r in records.records(lines).select("source_file", "block", "seq", "value").collect()) == expected
+
+
+def test_a_column_is_read_without_the_others(frame):
+    lines = stage(frame("source_file string, block long, seq long, value string", ("a", 0, 0, "x,Y,y"), ("a", 0, 1, "1,2,3,4")), "lines")
+    table = ingest.read_tables(lines, header_row=1)
+    assert [tuple(r) for r in table.collect()] == [("1", "2", "3", "4", "a")]
+    one = table.select(table.columns[1])
+    assert one.first()[0] == "2" and "from_json" not in one._jdf.queryExecution().optimizedPlan().toString()
