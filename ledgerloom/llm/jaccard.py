@@ -150,6 +150,15 @@ def _rest_suffices(percent: int) -> Column:
     return rest * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent
 
 
+def _any_suffices(percent: int) -> Column:
+    """Whether an item may share enough, from a bucket's shingle on, with any item that the bucket holds.
+
+    Its own rest and the smallest set that could be linked with it bound what :func:`_rest_suffices` asks of a pair.
+    """
+    other = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
+    return (F.col("n") - F.col("at")) * (100 + percent) >= (F.col("n") + other) * percent
+
+
 def small(table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A staged table, marked for broadcast only up to ``limit`` counted rows."""
     return F.broadcast(table) if table.count() <= limit else table
@@ -179,8 +188,8 @@ def ngram_jaccard(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, b
 
     listed = prints.where("common is not null").select(F.explode(F.arrays_zip("common", "times")).alias("x"))
     listed = listed.groupBy(F.col("x.common").alias("hash")).agg(F.sum("x.times").alias("times"))
-    listed = listed.orderBy(F.desc("times"), "hash").limit(COMMON).collect()
-    found = np.array([r.hash for r in reversed(listed)], np.int64).view(np.uint64)
+    listed = listed.orderBy(F.desc("times"), "hash").limit(COMMON).select("hash").toArrow()
+    found = listed.column("hash").to_numpy()[::-1].copy().view(np.uint64)
     by_hash = np.argsort(found)
     common = spark.sparkContext.broadcast((found[by_hash], by_hash))
 
@@ -211,22 +220,22 @@ def ngram_jaccard(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, b
     maps = stage(maps.groupBy(F.col("doc_id").alias("id")).agg(F.min("bits").alias("bits"), F.min("n").alias("n")), "bitmaps")
 
     def measure(pairs: DataFrame) -> DataFrame:
-        pairs = stage(pairs, "pairs")
         a, b = maps.toDF("a", "ma", "na"), maps.toDF("b", "mb", "nb")
         near = stage(pairs.join(a, "a").join(b, "b").where(_may_be_near(percent)).select("a", "b"), "near-pairs")
-        ids = stage(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-ids")
-        texts = named.join(small(ids, broadcast_rows), named["doc_id"] == ids["id"], "left_semi")
+        ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        few = F.broadcast(ids) if near.count() * 2 <= broadcast_rows else ids
+        texts = named.join(few, named["doc_id"] == ids["id"], "left_semi")
         sets = stage(texts.mapInArrow(lambda t: _sets(t, words), "id long, hashes array<long>"), "sets")
         a, b = sets.toDF("a", "sa"), sets.toDF("b", "sb")
         both = near.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
         both = both.withColumn("union", F.size("sa") + F.size("sb") - F.col("common"))
         dist = (1 - F.col("common") / F.col("union")).alias("dist")
-        exact = both.select("a", "b", dist, (100 * F.col("common") >= percent * F.col("union")).alias("linked"))
-        far = pairs.join(near, ["a", "b"], "left_anti")
-        return exact.unionByName(far.select("a", "b", F.lit(None).cast("double").alias("dist"), F.lit(False).alias("linked")))
+        return both.select("a", "b", dist, (100 * F.col("common") >= percent * F.col("union")).alias("linked"))
 
     possible = (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & _rest_suffices(percent) & ~_met_before()
-    comp, _ = linked_components(members, measure, possible, 1 - percent / 100, "regions", F.col("before1").isNull(), "before1")
+    comp, _ = linked_components(
+        members, measure, possible, 1 - percent / 100, "regions", F.col("before1").isNull(), "before1", "at", "n", _any_suffices(percent)
+    )
     groups = items.join(comp, "id", "left").select(*key, F.coalesce("comp", "id").alias("class"))
     result = prints.select("doc_id", *key).join(groups, key, "left")
     alone = F.when(F.col("n_shingles") > 0, F.coalesce("class", "doc_id")).otherwise(F.col("doc_id"))
