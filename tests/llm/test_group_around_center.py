@@ -1,4 +1,4 @@
-"""Pairs that the Jaccard join measures in a large group of near copies."""
+"""Pairs that the Jaccard join measures in a large group of near copies, and tables that it stages for them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import random
 
 from brute import jaccard_components
 
-from ledgerloom.llm import jaccard
+from ledgerloom.llm import jaccard, regions
 
 
 def test_few_pairs_around_a_center(spark, monkeypatch):
@@ -29,8 +29,17 @@ def test_few_pairs_around_a_center(spark, monkeypatch):
 
         return linked_components(members, also, *args)
 
+    staged, stage = [], jaccard.stage
+
+    def named(df, name):
+        staged.append(name)
+        return stage(df, name)
+
     monkeypatch.setattr(jaccard, "linked_components", counted)
+    for module in (jaccard, regions):
+        monkeypatch.setattr(module, "stage", named)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.ngram_jaccard(df).collect()}
     assert found == jaccard_components(texts)
     assert sum(measured) < 5 * len(texts), measured
+    assert len(staged) < 32, staged
