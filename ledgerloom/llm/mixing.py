@@ -171,13 +171,12 @@ def mixing_rates(
 def mix(
     docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, keep_all: bool = True, steps: int = STEPS, most: float = MOST_RATE
 ) -> DataFrame:
-    """The documents, each as often as its copies say, with their columns; nothing is shuffled.
+    """The documents, each as often as its copies say, with their columns; nothing is shuffled and no text is staged.
 
     The fitted rate is an expression over the shares, which are evaluated again beside each row.
     """
     _, names, model, rate, _ = _fitted(docs, labels, targets, keep_all, steps, most)
     rows = _counted(docs, F.struct(*docs.columns).alias("row"))
-    # Written once: the optimizer would copy the shares' expressions into every step of the rate.
-    rows = stage(_memberships(rows, model, names, "row", "_key"), "mixing-rows")
-    rows = _with_rates(rows, rate).where("copies > 0")
-    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+    rows = _with_rates(_memberships(rows, model, names, "row", "_key"), rate)
+    # No filter stands above the shares, as the optimizer would copy their expressions into every step of the rate.
+    return rows.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -116,7 +116,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end: int = END_ID
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    raw = stage(docs.mapInArrow(lambda b: _tokenized(b, path, end), "doc_id long, wide boolean, ids binary"), "token-ids")
+    raw = stage(docs.mapInArrow(lambda b: _tokenized(b, path, end), "doc_id long, wide boolean, ids binary"), "token-ids", "zstd")
     counted = raw.select("wide", "ids").mapInArrow(_histogram, "id long, times long")
     counted = counted.groupBy("id").agg(F.sum("times").alias("times")).collect()
     counts = np.zeros(max([r.id for r in counted], default=end) + 1, np.int64)

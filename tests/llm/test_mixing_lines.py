@@ -55,6 +55,17 @@ def test_mix_odd_rows(spark):
     assert mixing_rates(docs, labels.limit(0)).count() == 5
 
 
+def test_mix_stages_no_text(spark, tmp_path, monkeypatch):
+    """What is left in the shared folder does not grow with the texts."""
+    draw = random.Random(5)
+    rows = [(i, "".join(draw.choices("abcdefghijklmnopqrstuvwxyz ", k=20_000)), draw.choice(sorted(TARGETS))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr("ledgerloom.session.shared_folder", lambda _: str(tmp_path))
+    mixed = mix(docs, docs.select("doc_id"))
+    assert {r.text for r in mixed.collect()} == {t for _, t, _ in rows}
+    assert sum(p.stat().st_size for p in tmp_path.rglob("*.parquet")) < 200_000
+
+
 def _norm(line):
     return re.sub(r"[\x00-\x09\x0b-\x60\x7b-\x7f]+", " ", line.lower()).strip(" ")
 

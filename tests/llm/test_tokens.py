@@ -74,6 +74,16 @@ def test_one_doc_id_spreads_over_files(spark, tmp_path):
     assert len(found) == 2000 and found[-1].start == sum(r.n_tokens for r in found[:-1])
 
 
+def test_staged_ids_are_compressed(spark, tmp_path, monkeypatch):
+    """The staged ids of texts without repeats take less than two bytes each."""
+    draw = random.Random(4)
+    df = spark.createDataFrame([(i, "".join(draw.choices("etaoinshr d", k=20_000))) for i in range(40)], "doc_id long, text string")
+    monkeypatch.setattr("ledgerloom.session.shared_folder", lambda _: str(tmp_path / "kept"))
+    write_token_files(df, str(tmp_path / "out"), PATH)
+    total = spark.read.parquet(str(tmp_path / "out/blocks")).agg({"n_tokens": "sum"}).first()[0]
+    assert sum(p.stat().st_size for p in (tmp_path / "kept").rglob("*.parquet")) < 1.8 * total
+
+
 def test_other_tokenizers_are_not_cut():
     path = public_tokenizers.path("word_bpe_49k.json")
     t, cache = Tokenizer.from_file(path), ChunkCache(path, list)
