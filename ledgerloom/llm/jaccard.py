@@ -8,10 +8,11 @@ from operator import or_
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.session import stage
+from ledgerloom.session import stage, stage_last
 
 from .regions import linked_components
 from .words import texts_of_words
@@ -164,39 +165,8 @@ def small(table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(table) if table.count() <= limit else table
 
 
-def ngram_jaccard(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Documents whose shingle sets have a Jaccard similarity of ``percent`` or more, as components.
-
-    1 - similarity is a metric, and the join works on it. Equal sets become one item. Items
-    that share a rare shingle form a region: an item is put into a region for each of the
-    first n - ceil(n * percent / 100) + 1 shingles of its set, in one order for all, which
-    holds a region of every item within the distance. Regions elect pivots, measure exact
-    distances to them, skip pairs that the triangle inequality rules out and recurse without
-    the pivot (``regions.linked_components``). Common shingles come last in the order, so
-    passages in many documents make no regions; what counts as common changes cost only.
-    Before whole sets are fetched, a bitmap of each set rules out pairs that differ too much.
-
-    Takes doc_id and text; returns (doc_id, n_shingles, component_id), a row per input row.
-    Null and empty texts have no shingles and are alone; a null doc_id gets a row and a null
-    component and links nothing. Rows that share a doc_id are judged each by its own set; two
-    sets whose smallest doc_id is the same are one item. Runs jobs when called.
-    """
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, n_shingles long, d1 long, d2 long, common array<long>, times array<long>"
-    prints = stage(docs.mapInArrow(lambda b: _fingerprints(b, words), schema), "fingerprints")
-
-    listed = prints.where("common is not null").select(F.explode(F.arrays_zip("common", "times")).alias("x"))
-    listed = listed.groupBy(F.col("x.common").alias("hash")).agg(F.sum("x.times").alias("times"))
-    listed = listed.orderBy(F.desc("times"), "hash").limit(COMMON).select("hash").toArrow()
-    found = listed.column("hash").to_numpy()[::-1].copy().view(np.uint64)
-    by_hash = np.argsort(found)
-    common = spark.sparkContext.broadcast((found[by_hash], by_hash))
-
-    key = ["n_shingles", "d1", "d2"]
-    some = prints.where("n_shingles > 0 and doc_id is not null")
-    items = stage(some.groupBy(*key).agg(F.min("doc_id").alias("id")), "items")
-
+def _linked(docs: DataFrame, items: DataFrame, common: Broadcast, words: int, percent: int, broadcast_rows: int) -> DataFrame:
+    """(id, comp) of the items with links. ``common``: as in :func:`_prefixes`."""
     named = docs.where("doc_id is not null")
     prefixes = named.mapInArrow(
         lambda b: _prefixes(b, words, percent, common.value), "doc_id long, d1 long, prefix array<long>, bits array<long>, n long"
@@ -233,9 +203,46 @@ def ngram_jaccard(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, b
         return both.select("a", "b", dist, (100 * F.col("common") >= percent * F.col("union")).alias("linked"))
 
     possible = (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & _rest_suffices(percent) & ~_met_before()
-    comp, _ = linked_components(
+    return linked_components(
         members, measure, possible, 1 - percent / 100, "regions", F.col("before1").isNull(), "before1", "at", "n", _any_suffices(percent)
-    )
+    )[0]
+
+
+def ngram_jaccard(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Documents whose shingle sets have a Jaccard similarity of ``percent`` or more, as components.
+
+    1 - similarity is a metric, and the join works on it. Equal sets become one item. Items
+    that share a rare shingle form a region: an item is put into a region for each of the
+    first n - ceil(n * percent / 100) + 1 shingles of its set, in one order for all, which
+    holds a region of every item within the distance. Regions elect pivots, measure exact
+    distances to them, skip pairs that the triangle inequality rules out and recurse without
+    the pivot (``regions.linked_components``). Common shingles come last in the order, so
+    passages in many documents make no regions; what counts as common changes cost only.
+    Before whole sets are fetched, a bitmap of each set rules out pairs that differ too much.
+
+    Takes doc_id and text; returns (doc_id, n_shingles, component_id), a row per input row.
+    Null and empty texts have no shingles and are alone; a null doc_id gets a row and a null
+    component and links nothing. Rows that share a doc_id are judged each by its own set; two
+    sets whose smallest doc_id is the same are one item. Runs jobs when called.
+    """
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    schema = "doc_id long, n_shingles long, d1 long, d2 long, common array<long>, times array<long>"
+    prints = stage(docs.mapInArrow(lambda b: _fingerprints(b, words), schema), "fingerprints")
+
+    listed = prints.where("common is not null").select(F.explode(F.arrays_zip("common", "times")).alias("x"))
+    listed = listed.groupBy(F.col("x.common").alias("hash")).agg(F.sum("x.times").alias("times"))
+    listed = listed.orderBy(F.desc("times"), "hash").limit(COMMON).select("hash").toArrow()
+    found = listed.column("hash").to_numpy()[::-1].copy().view(np.uint64)
+    by_hash = np.argsort(found)
+    common = spark.sparkContext.broadcast((found[by_hash], by_hash))
+
+    key = ["n_shingles", "d1", "d2"]
+    some = prints.where("n_shingles > 0 and doc_id is not null")
+    items = stage(some.groupBy(*key).agg(F.min("doc_id").alias("id")), "items")
+
+    # Prefixes, sets and regions are as large as the texts and not read again once the components are known.
+    comp = stage_last(spark, lambda: _linked(docs, items, common, words, percent, broadcast_rows), "components")
     groups = items.join(comp, "id", "left").select(*key, F.coalesce("comp", "id").alias("class"))
     result = prints.select("doc_id", *key).join(groups, key, "left")
     alone = F.when(F.col("n_shingles") > 0, F.coalesce("class", "doc_id")).otherwise(F.col("doc_id"))

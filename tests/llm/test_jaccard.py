@@ -76,3 +76,12 @@ def test_components_of_a_long_chain(spark):
     edges = spark.range(200).selectExpr("id as a", "id + 1 as b").union(spark.createDataFrame([(900, 901), (5, 5)], "a long, b long"))
     found = {r.id: r.comp for r in components(edges).collect()}
     assert found == {i: 0 for i in range(201)} | {900: 900, 901: 900}
+
+
+def test_passing_tables_are_deleted(spark, tmp_path, monkeypatch):
+    """Sets, prefixes and regions do not outlive the join; its result still reads what it needs."""
+    monkeypatch.setattr("ledgerloom.session.shared_folder", lambda _: str(tmp_path))
+    texts = {i: " ".join(f"w{i // 3}x{k}" for k in range(60)) + f" end{i}" for i in range(30)}
+    found = ngram_jaccard(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()} == {"fingerprints", "items", "components"}
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == jaccard_components(texts)
