@@ -96,9 +96,18 @@ def number_rows(df: DataFrame, order: list[Column]) -> DataFrame:
         .repartitionByRange(*order, "_seq")
         .sortWithinPartitions(*order, "_seq")
         .drop("_seq")
-        .withColumn("_at", F.monotonically_increasing_id())
     )
-    staged = stage(ranged, "ranges").withColumn("_range", F.shiftright("_at", _POSITION_BITS))
+    return number_staged(stage(with_places(ranged), "ranges"))
+
+
+def with_places(ranged: DataFrame) -> DataFrame:
+    """Add ``_at``, the range of each row and its place inside it, to rows sorted by range."""
+    return ranged.withColumn("_at", F.monotonically_increasing_id())
+
+
+def number_staged(ranges: DataFrame) -> DataFrame:
+    """Turn ``_at`` of a staged table into ``row_no``, the global position from 1."""
+    staged = ranges.withColumn("_range", F.shiftright("_at", _POSITION_BITS))
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     counts = (
         staged.groupBy("_range")

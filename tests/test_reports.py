@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import ledger as A
 from ledgerloom.plans import reports
 from ledgerloom.schema import LEDGER, with_numeric_measures
+from ledgerloom.sources.sinks import with_places
 from tests.conftest import rows
 
 DEFAULTS = {
@@ -199,6 +200,39 @@ def test_numbered_rows_follow_the_report_order(ledger):
     assert reports.numbered(reports.liability(df.limit(0), ordered=False), "liability").count() == 0
 
 
+def _hot_ledger(ledger):
+    """A position with most bands, small ones in several years, and NULLs in the position's keys."""
+    hot = [{"base_pay": str(i % 50), "hourly_rate": str(i), "leave_period": f"2024-0{1 + i % 6}", "leave_earned": "1", "end_balance": str(i % 7)} for i in range(400)]
+    hot += [{"base_pay": None, "department_name": None, "leave_used": "2"}, {"benefit_name": "A", "leave_period": "2024-06", "end_balance": None}]
+    few = [{"ueid": f"F{i % 20}", "leave_period": f"20{10 + i % 9}-0{1 + i % 9}", "base_pay": str(i % 3), "leave_earned": str(i), "misc_amt": "1", "end_balance": str(i)} for i in range(200)]
+    none = [{"ueid": None, "leave_earned": "3"}, {"benefit_id": None, "end_balance": "4"}, {"leave_period": None, "leave_earned": "5"}, {"hourly_rate": None}]
+    return ledger(*hot, *few, *none)
+
+
+@pytest.mark.parametrize("salted", [True, False])
+def test_numbered_positions_equal_the_numbered_report(ledger, monkeypatch, salted):
+    df = _hot_ledger(ledger)
+    expected = reports.numbered(reports.rollforward_position(df, ordered=False), "rollforward_position")
+    if not salted:
+        monkeypatch.setattr(reports, "hot_salts", lambda *_: {})
+    found = reports.numbered_rollforward_position(df)
+    assert found.columns == expected.columns
+    assert rows(found, "row_no") == rows(expected, "row_no") and found.count() > 500
+    assert reports.numbered_rollforward_position(df.limit(0)).count() == 0
+
+
+def test_numbered_positions_move_their_bands_once(ledger, tmp_path, monkeypatch):
+    """The totals are taken where the ranges of the sort lie, and the bands are deleted."""
+    plans = []
+    monkeypatch.setattr("ledgerloom.session.shared_folder", lambda _: str(tmp_path))
+    monkeypatch.setattr(reports, "hot_salts", lambda *_: {})
+    monkeypatch.setattr(reports, "with_places", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or with_places(df))
+    reports.numbered_rollforward_position(_hot_ledger(ledger))
+    (plan,) = plans
+    assert plan.count("Exchange") == plan.count("rangepartitioning") == plan.count("FileScan") == 1
+    assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["ranges"]
+
+
 def test_columns_are_named_alike(ledger):
     assert reports.earned_used(ledger({})).columns == [
         "fy", "org_code", "cbid", "benefit_id", "benefit_name", "beginning_balance", "total_earned", "total_used",
